@@ -44,8 +44,7 @@ def salary_display(currency: Column | str, low: Column | str, high: Column | str
     low_n, high_n = safe_number(low), safe_number(high)
 
     def money(n: Column) -> Column:
-        return F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(
-            F.format_number(n, "#,##0.######"))
+        return F.call_function("format_number", n, F.lit("#,##0.######"))
 
     label = F.coalesce(blank_to_null(currency), F.lit("USD"))
     text = (
