@@ -68,6 +68,8 @@ def normalise_columns(df: DataFrame, mode: str = "first") -> DataFrame:
         if mode == "first" or len(at) == 1:
             return F.col(f"_c{at[0]}")
         filled = [blank_to_null(f"_c{i}") if kinds[f"_c{i}"] == "string" else F.col(f"_c{i}") for i in at]
+        if len({kinds[f"_c{i}"] for i in at}) > 1:
+            filled = [c.cast("string") for c in filled]
         return F.coalesce(*filled)
 
     return positional.select(*[merged(at).alias(name) for name, at in places.items()])

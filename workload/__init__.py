@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import QUERIES, SQL
 
-MODULES = ["ranking", "cleaning", "searching", "vectors", "extraction", "storage", "streams"]
+MODULES = ["ranking", "cleaning", "searching", "vectors", "extraction", "storage", "streams", "composed"]
 
 
 def load():

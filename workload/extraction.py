@@ -94,18 +94,25 @@ _ROLE = "coalesce(" + ", ".join(f"CASE WHEN contains(h, '{r}') THEN '{r}' END" f
 _VOCABULARY = str(TECH_VOCABULARY)
 
 
-@query("rule_extract", with_scored(f"""
-SELECT id, coalesce({_first_word_sql('h', enrich.SENIORITY_WORDS)}, {_first_word_sql('b', enrich.SENIORITY_WORDS)}, 'Mid') AS seniority,
+def rules_sql(role: str) -> str:
+    """Rule-extracted fields over columns h (title), b (text) and t (both), all in lower case."""
+    return f"""coalesce({_first_word_sql('h', enrich.SENIORITY_WORDS)}, {_first_word_sql('b', enrich.SENIORITY_WORDS)}, 'Mid') AS seniority,
   coalesce({_first_word_sql('t', enrich.EMPLOYMENT_WORDS)}, 'Full-time') AS employment_type,
   coalesce(CAST(nullif(regexp_extract(t, '{enrich.YEARS}', 1), '') AS INTEGER), 0) AS min_years_exp,
   CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 1), ',', ''), '') AS DOUBLE) AS salary_min,
   CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 2), ',', ''), '') AS DOUBLE) AS salary_max,
   array_to_string(list_sort(list_distinct([w for w in [rtrim(w, '.') for w in regexp_split_to_array(t, '{enrich.WORD_BREAK}')]
     if list_contains({_VOCABULARY}, w)])), '|') AS tech_stack,
-  CASE WHEN {_ROLE} IS NULL THEN 'false' ELSE 'true' END AS is_relevant,
+  {role} AS is_relevant"""
+
+
+_LOWERED = "lower(title) AS h, lower(description_text) AS b, lower(title) || chr(10) || lower(description_text) AS t"
+
+
+@query("rule_extract", with_scored(f"""
+SELECT id, {rules_sql(f"CASE WHEN {_ROLE} IS NULL THEN 'false' ELSE 'true' END")},
   CASE WHEN {_ROLE} IS NULL THEN 'title names no data role' ELSE 'title names ' || {_ROLE} END AS reason
-FROM (SELECT id, lower(title) AS h, lower(description_text) AS b, lower(title) || chr(10) || lower(description_text) AS t FROM adverts)""",
-    ADVERTS_SQL))
+FROM (SELECT id, {_LOWERED} FROM adverts)""", ADVERTS_SQL))
 def _rule_extract(spark, d):
     out = enrich.rule_extract(adverts(spark, d), "data")
     return out.select("id", "seniority", "employment_type", "min_years_exp", "salary_min", "salary_max",
