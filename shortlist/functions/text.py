@@ -5,6 +5,8 @@ All of it is built-in column work, so it stays inside one JVM stage.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -12,13 +14,13 @@ from pyspark.sql import Column, functions as F
 # Unicode whitespace, spelt so that Java and RE2 agree.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 # Comments and raw-text elements; one alternation, so the leftmost opener wins.
-RAW_PARTS = (r"(?is)<!--.*?-->"
-             r"|<script(?:[\s/][^>]*)?>.*?(?:</script\s*>|\z)"
-             r"|<style(?:[\s/][^>]*)?>.*?(?:</style\s*>|\z)")
+RAW_PARTS = (r"(?is)<(?:!--.*?--"
+             r"|script(?:[\s/][^>]*)?>.*?(?:</script\s*|\z)"
+             r"|style(?:[\s/][^>]*)?>.*?(?:</style\s*|\z))(?:>|\z)")
 # Page furniture dropped with its content.
-FURNITURE = "(?is)" + "|".join(
-    rf"<{tag}(?:[\s/][^>]*)?>.*?</{tag}\s*>" for tag in ("noscript", "header", "footer", "nav"))
-TAG = r"(?s)</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+FURNITURE = "(?is)<(?:" + "|".join(
+    rf"{tag}(?:[\s/][^>]*)?>.*?</{tag}" for tag in ("noscript", "header", "footer", "nav")) + r")\s*>"
+TAG = r"<[a-zA-Z/!?][^>]*>"
 H1 = r"(?is)<h1(?:[\s/][^>]*)?>(.*?)</h1\s*>"
 TITLE = r"(?is)<title(?:[\s/][^>]*)?>(.*?)</title\s*>"
 
@@ -35,6 +37,11 @@ def blank_to_null(col: Column | str) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 
 
+def bind(col: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply an expression that names its input several times, computing that input once."""
+    return F.transform(F.array(col), use)[0]
+
+
 def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, WHITESPACE, " "))
 
@@ -45,57 +52,54 @@ def _code_point(code: Column) -> Column:
     return F.decode(F.unhex(hex8), "UTF-32")
 
 
+_NAMED_ENTITIES = json.dumps({**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"})
+
+
 def _entity_piece(piece: Column) -> Column:
     """Decode the entity at the start of a piece of text that followed an ampersand."""
-    name = F.regexp_extract(piece, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,9});", 1)
-    rest = F.substr(piece, F.length(name) + 2)
-    named = F.create_map(*[F.lit(part) for entity, code in {**name2codepoint, "apos": 39}.items()
-                           for part in (entity, chr(code))])
-    decoded = (
+    named = F.from_json(F.lit(_NAMED_ENTITIES), "map<string,string>")     # folded to a constant
+    name = F.regexp_extract(F.substring(piece, 1, 12),
+                            r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,9});", 1)
+    text = (
         F.when(name == "", F.lit(None))
         .when(name.rlike("^#[xX]"), _code_point(F.conv(F.substr(name, F.lit(3)), 16, 10).cast("long")))
         .when(name.startswith("#"), _code_point(F.substr(name, F.lit(2)).cast("long")))
-        .otherwise(F.try_element_at(named, name))
-    )
-    return F.when(decoded.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(decoded, rest))
+        .otherwise(F.try_element_at(named, name)))
+    return F.coalesce(F.concat(text, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
 
 def decode_entities(col: Column) -> Column:
-    pieces = F.split(col, "&")
-    decoded = F.concat(
-        pieces[0],
-        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _entity_piece), ""),
-    )
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    """Named and numeric entities to characters, in one pass over the pieces between ampersands."""
+    return F.array_join(F.transform(
+        F.split(col, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_entity_piece(piece))), "")
 
 
-def _strip(col: Column, *patterns: str) -> Column:
-    for pattern in (*patterns, TAG):
+def _without(col: Column, *patterns: str) -> Column:
+    for pattern in patterns:
         col = F.regexp_replace(col, pattern, " ")
-    return collapse(decode_entities(col))
+    return col
 
 
 def html_to_text(col: Column | str) -> Column:
-    """Visible text; null gives an empty string. Plain text passes through collapsed."""
+    """Visible text; null gives an empty string. Texts without markup skip those passes."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(
-        F.when(F.contains(col, F.lit("<")), _strip(col, RAW_PARTS))
-        .otherwise(collapse(decode_entities(col))), F.lit(""))
+    plain = bind(col, lambda c: F.when(
+        F.contains(c, F.lit("<")), _without(c, RAW_PARTS, TAG)).otherwise(c))
+    return F.coalesce(collapse(decode_entities(plain)), F.lit(""))
 
 
 def page_text(col: Column | str) -> Column:
     """Text of a fetched page without scripts, styles and page furniture."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(_strip(col, RAW_PARTS, FURNITURE), F.lit(""))
+    return F.coalesce(collapse(decode_entities(_without(col, RAW_PARTS, FURNITURE, TAG))), F.lit(""))
 
 
 def page_title(col: Column | str) -> Column:
     """First h1, else title, else empty."""
     col = F.col(col) if isinstance(col, str) else col
-    parts = F.regexp_replace(col, RAW_PARTS, " ")
-    inner = F.when(parts.rlike(H1), F.regexp_extract(parts, H1, 1)).otherwise(
-        F.regexp_extract(parts, TITLE, 1))
-    return F.coalesce(_strip(inner), F.lit(""))
+    inner = bind(_without(col, RAW_PARTS), lambda c: F.when(c.rlike(H1), F.regexp_extract(c, H1, 1)).otherwise(
+        F.regexp_extract(c, TITLE, 1)))
+    return F.coalesce(collapse(decode_entities(_without(inner, TAG))), F.lit(""))
 
 
 def best_text(title: Column | str = "title", company: Column | str = "company",
@@ -123,5 +127,5 @@ def gate_status(text: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Whitespace-separated words of a text."""
-    clean = collapse(F.coalesce(col, F.lit("")))
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    return bind(collapse(F.coalesce(col, F.lit(""))), lambda c: F.when(c == "", 0).otherwise(
+        F.size(F.split(c, " "))))

@@ -12,10 +12,8 @@ HIGH, MIDDLE = 0.55, 0.45
 
 def strategy_stats(scored: DataFrame, key: str = "strategy") -> DataFrame:
     """Rows and rounded median, mean and maximum score per strategy."""
-    rows = scored.groupBy(key).agg(F.count("*").alias("jobs"))
-    stats = value_stats(scored, [key], SCORE)
-    return rows.join(stats, key, "left").select(
-        key, "jobs",
+    return value_stats(scored.select(key, SCORE), [key], SCORE).select(
+        key, F.col("rows").alias("jobs"),
         *[F.coalesce(F.round(c, 4), F.lit(0.0)).alias(f"{c}_score") for c in ("median", "mean", "max")])
 
 

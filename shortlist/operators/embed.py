@@ -41,8 +41,9 @@ class HashedWords:
         rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
         for stage in stages:
             rows = stage.transform(rows)
+        vector = vector_to_array("_unit", "float32")
         return rows.select(*[c for c in kept if c != out],
-                           vector_to_array("_unit", "float32").alias(out))
+                           F.when(F.col(text).isNotNull(), vector).alias(out))
 
 
 @dataclass(frozen=True)
@@ -73,14 +74,17 @@ class BatchVectoriser:
                 offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
                 yield pa.ListArray.from_arrays(pa.array(offsets), flat)
 
-        return df.withColumn(out, encode(F.col(text)))
+        # exploding a one-element array keeps one row and makes Spark finish the text before the
+        # Python call, whatever expression it comes from
+        rows = df.select("*", F.explode(F.array(text)).alias("_given"))
+        return rows.withColumn(out, F.when(F.col("_given").isNotNull(), encode(F.col("_given")))).drop("_given")
 
 
 Vectoriser = HashedWords | BatchVectoriser
 
 
 def embed(df: DataFrame, text: str, vectoriser: Vectoriser, out: str = "embedding") -> DataFrame:
-    """Add the unit-length vector of a text column and the vectoriser's own name."""
+    """Add the unit-length vector of a text column and the vectoriser's own name; no text, no vector."""
     return vectoriser.vectors(df, text, out).withColumn("embedding_model", F.lit(vectoriser.name))
 
 

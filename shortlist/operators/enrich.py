@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shortlist.functions.text import (MIN_TEXT, blank_to_null, page_text, snippet)
+from shortlist.functions.fields import contains_any
+from shortlist.functions.text import MIN_TEXT, bind, blank_to_null, page_text, snippet
 from shortlist.lookups import (DOMAIN_ROLES, EXTRACT_EMPLOYMENT, EXTRACT_SENIORITY, TECH_VOCABULARY)
 from shortlist.operators.groups import first_per_group, numbered
 from shortlist.schema import EXTRACTED
@@ -97,45 +100,83 @@ def merge_extraction(raw: DataFrame, extracted: DataFrame,
                          *[overlay(f) for f in EXTRACTED.fields])
 
 
-def _word(pattern: str) -> str:
-    """Whole-word match that Java and RE2 read alike."""
-    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{pattern})(?:[^\p{{L}}\p{{N}}]|$)"
-
-
 # -- fixed values: wording looked for, in order of precedence -----------------
 SENIORITY_WORDS = {
-    "Intern": "intern|internship", "VP": "vp|vice president", "Head": "head of",
-    "Director": "director", "Manager": "manager", "Lead": "lead", "Staff": "staff",
-    "Senior": "senior|sr", "Junior": "junior|jr|entry level", "Mid": "mid",
+    "Intern": ["intern", "internship"], "VP": ["vp", "vice president"], "Head": ["head of"],
+    "Director": ["director"], "Manager": ["manager"], "Lead": ["lead"], "Staff": ["staff"],
+    "Senior": ["senior", "sr"], "Junior": ["junior", "jr", "entry level"], "Mid": ["mid"],
 }
 EMPLOYMENT_WORDS = {
-    "Part-time": "part[- ]time", "Contract": "contract|contractor",
-    "Freelance": "freelance|freelancer", "Internship": "internship", "Full-time": "full[- ]time",
+    "Part-time": ["part-time", "part time"], "Contract": ["contract", "contractor"],
+    "Freelance": ["freelance", "freelancer"], "Internship": ["internship"],
+    "Full-time": ["full-time", "full time"],
 }
-YEARS = r"(?:^|[^\p{L}\p{N}])([0-9]{1,2})\s?\+?\s?(?:years|yrs)(?:[^\p{L}\p{N}]|$)"
+# patterns start with a narrow class where they can, which keeps the scan of long texts fast
+YEARS = r"([0-9]+)\s?\+?\s?(?:years|yrs)(?:[^\p{L}\p{N}]|$)"
+MAX_YEARS_DIGITS = 2
+YEARS_MARKS = ["years", "yrs"]
 SALARY = (r"(?:usd|eur|gbp|[$€£])\s?([0-9]{2,3}(?:,[0-9]{3})+|[0-9]{4,7})"
           r"(?:\s?(?:-|to)\s?(?:usd|eur|gbp)?\s?[$€£]?\s?([0-9]{2,3}(?:,[0-9]{3})+|[0-9]{4,7}))?")
-WORD_BREAK = r"[^\p{L}\p{N}+#.]+"
+SALARY_MARKS = ["usd", "eur", "gbp", "$", "€", "£"]
+WORD_BREAK = r"[^\p{L}\p{N}+#]+"
+
+
+def word_pattern(words: list[str]) -> str:
+    """Whole-word match that Java and RE2 read alike."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?:[^\p{{L}}\p{{N}}]|$)"
 
 
-def _first_word(text: Column, words: dict[str, str], allowed: list[str]) -> Column:
+def _first_word(text: Column, table: dict[str, list[str]], allowed: list[str]) -> Column:
+    """First value with one of its words in the text; a plain substring test comes before the pattern."""
     case = F.when(F.lit(False), F.lit(None).cast("string"))
-    for value, pattern in words.items():
+    for value, words in table.items():
         if value in allowed:
-            case = case.when(text.rlike(_word(pattern)), value)
+            case = case.when(contains_any(text, words) & text.rlike(word_pattern(words)), value)
     return case
 
 
+def _years(text: Column) -> Column:
+    digits = F.when(contains_any(text, YEARS_MARKS), F.regexp_extract(text, YEARS, 1))
+    return bind(digits, lambda n: F.when(F.length(n).between(1, MAX_YEARS_DIGITS), n.cast("int")).otherwise(0))
+
+
+def _salary(text: Column) -> Column:
+    """First amount or range; the long text is searched once, the bounds come from the hit."""
+    def bound(hit: Column, group: int) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(hit, SALARY, group), ",", "")
+        return F.nullif(digits, F.lit("")).cast("double")
+
+    hit = F.when(contains_any(text, SALARY_MARKS), F.regexp_extract(text, SALARY, 0))
+    return bind(hit, lambda h: F.struct(bound(h, 1).alias("low"), bound(h, 2).alias("high")))
+
+
 def rule_extract(df: DataFrame, domain: str | Column = "any", title: str = "title",
                  text: str = "description_text", vocabulary: list[str] | None = None) -> DataFrame:
     """Structured fields of a posting by fixed rules; overwrites columns of the same names."""
+    names = vocabulary or TECH_VOCABULARY
+    simple = F.array(*[F.lit(v) for v in names if re.fullmatch(r"[\w+#]+", v)])
+    spelt = [v for v in names if not re.fullmatch(r"[\w+#]+", v)]
+
+    def tools(text: Column) -> Column:
+        """Vocabulary words of the text; names with other signs are looked for one by one."""
+        found = F.array_intersect(F.split(text, WORD_BREAK), simple)
+        more = [F.when(F.contains(text, F.lit(v)) & text.rlike(word_pattern([re.escape(v)])), F.lit(v))
+                for v in spelt]
+        return F.array_sort(F.concat(found, F.array_compact(F.array(*more))) if more else found)
+
+    def fields(head: Column, body: Column, both: Column) -> Column:
+        return F.struct(
+            F.coalesce(_first_word(head, SENIORITY_WORDS, EXTRACT_SENIORITY),
+                       _first_word(body, SENIORITY_WORDS, EXTRACT_SENIORITY), F.lit("Mid")).alias("seniority"),
+            F.coalesce(_first_word(both, EMPLOYMENT_WORDS, EXTRACT_EMPLOYMENT),
+                       F.lit("Full-time")).alias("employment_type"),
+            _years(both).alias("min_years_exp"), _salary(both).alias("salary"),
+            tools(both).alias("tech_stack"))
+
     head = F.lower(F.coalesce(title, F.lit("")))
     body = F.lower(F.coalesce(text, F.lit("")))
-    both = F.concat(head, F.lit("\n"), body)
-    amounts = [F.regexp_replace(F.regexp_extract(both, SALARY, i), ",", "") for i in (1, 2)]
-    words = F.split(both, WORD_BREAK)
-    tidy = F.transform(words, lambda w: F.rtrim(w, F.lit(".")))
-    tech = F.array_sort(F.array_intersect(tidy, F.array(*[F.lit(v) for v in (vocabulary or TECH_VOCABULARY)])))
+    found = bind(F.struct(head.alias("head"), body.alias("body")), lambda t: bind(
+        F.concat(t["head"], F.lit("\n"), t["body"]), lambda both: fields(t["head"], t["body"], both)))
     domain = F.lit(domain) if isinstance(domain, str) else domain
     role = F.lit(None).cast("string")
     for name, roles in DOMAIN_ROLES.items():
@@ -146,16 +187,10 @@ def rule_extract(df: DataFrame, domain: str | Column = "any", title: str = "titl
         F.when(~domain.isin(list(DOMAIN_ROLES)), F.lit("every role is accepted"))
         .when(role.isNotNull(), F.concat(F.lit("title names "), role))
         .otherwise(F.concat(F.lit("title names no "), domain, F.lit(" role"))))
-    return df.withColumns({
-        "seniority": F.coalesce(_first_word(head, SENIORITY_WORDS, EXTRACT_SENIORITY),
-                                _first_word(body, SENIORITY_WORDS, EXTRACT_SENIORITY), F.lit("Mid")),
-        "employment_type": F.coalesce(_first_word(both, EMPLOYMENT_WORDS, EXTRACT_EMPLOYMENT),
-                                      F.lit("Full-time")),
-        "min_years_exp": F.coalesce(
-            F.nullif(F.regexp_extract(both, YEARS, 1), F.lit("")).cast("int"), F.lit(0)),
-        "salary_min": F.nullif(amounts[0], F.lit("")).cast("double"),
-        "salary_max": F.nullif(amounts[1], F.lit("")).cast("double"),
-        "tech_stack": tech,
-        "is_relevant": F.when(relevant, "true").otherwise("false"),
-        "reason": reason,
-    })
+    rows = df.withColumn("_found", found).withColumns({
+        "is_relevant": F.when(relevant, "true").otherwise("false"), "reason": reason})
+    names = ["seniority", "employment_type", "min_years_exp", "tech_stack"]
+    return rows.withColumns({
+        **{name: F.col("_found")[name] for name in names},
+        "salary_min": F.col("_found.salary.low"), "salary_max": F.col("_found.salary.high"),
+    }).drop("_found")

@@ -88,8 +88,9 @@ def filter_min_score(df: DataFrame, threshold: float, strict: bool = False,
     return df.filter(F.col(col) >= threshold) if strict or threshold > 0 else df
 
 
-def short_text_report(df: DataFrame, text: Column, limit: int = SHORT_TEXT) -> DataFrame:
-    return df.agg(F.count("*").alias("total"), F.count_if(F.length(text) < limit).alias("short_texts"))
+def short_text_report(df: DataFrame, length: Column, limit: int = SHORT_TEXT) -> DataFrame:
+    """Number of cleaned texts, given by their lengths, that are shorter than the limit."""
+    return df.agg(F.count("*").alias("total"), F.count_if(length < limit).alias("short_texts"))
 
 
 def gate_page_text(df: DataFrame, text: str = "page_text") -> DataFrame:

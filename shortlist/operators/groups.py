@@ -67,30 +67,35 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str = "posi
                           out).drop("_one")
 
 
-def value_frequencies(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Distinct non-null values per group with their counts; equal values meet before the shuffle."""
-    return (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
-            .agg(F.count("*").alias("weight")))
+def value_stats(df: DataFrame, group: list[str], value: str, nth: int | None = None) -> DataFrame:
+    """Per group: rows, missing, min, max, mean and exact median of a numeric column.
 
-
-def value_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Per group: n, min, max, mean and the exact median of a numeric column.
-
-    Built on value frequencies, so the wide input is read once and no group is collected.
+    With nth, also the nth largest value. Equal values are counted before the shuffle, so the input
+    is read once and copies of one value do not pile up; what is sorted are distinct values.
     """
-    placed = running_weight(value_frequencies(df, group, value), group, [value], "weight")
-    totals = placed.groupBy(*group).agg(F.sum("weight").alias("n"))
+    counted = df.groupBy(*group, value).agg(F.count("*").alias("weight"))
+    placed = running_weight(counted, group, [value], "weight")      # nulls come first
+    totals = placed.groupBy(*group).agg(
+        F.sum("weight").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("weight"))), F.lit(0)).alias("missing"))
     both = placed.join(totals, group)
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-
-    def covers(position: Column) -> Column:
-        return (F.col("before") <= position) & (position < F.col("before") + F.col("weight"))
-
-    return (both.groupBy(*group)
-            .agg(F.max("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-                 (F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("mean"),
-                 ((F.max(F.when(covers(low), F.col(value)))
-                   + F.max(F.when(covers(high), F.col(value)))) / 2).alias("median")))
+    n, start = F.col("rows") - F.col("missing"), F.col("before") - F.col("missing")
+    known = F.col(value).isNotNull()
+
+    def at(position: Column) -> Column:
+        hit = known & (start <= position) & (position < start + F.col("weight"))
+        return F.max(F.when(hit, F.col(value)))
+
+    weighted = F.when(known, F.col("weight"))
+    measures = [
+        F.max("rows").alias("rows"), F.max("missing").alias("missing"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+        (F.sum(F.col(value) * weighted) / F.sum(weighted)).alias("mean"),
+        ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"),
+    ]
+    if nth:
+        measures.append(at(n - nth).alias("nth_best"))
+    return both.groupBy(*group).agg(*measures)
 
 
 def sliced(df: DataFrame, keys: list[str], max_rows: int) -> list[DataFrame]:

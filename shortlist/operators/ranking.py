@@ -36,17 +36,14 @@ def top_k(df: DataFrame, n: int | None = DEFAULT_TOP, offset: int = 0,
 
 
 def score_summary(df: DataFrame, score: str = SCORE) -> DataFrame:
-    """Range and exact median of all scores, with the counts before and after scoring."""
-    counts = df.agg(F.count("*").alias("total_filtered"), F.count(score).alias("total_scored"))
-    keyed = df.select(F.lit(1).alias("_all"), score)
-    stats = value_stats(keyed, ["_all"], score)
-    tenth = (df.filter(F.col(score).isNotNull()).select(score).orderBy(F.desc(score)).limit(10)
-             .agg(F.when(F.count("*") == 10, F.min(score)).alias("tenth_best")))
-    one = F.lit(1).alias("_all")
-    return (counts.select(one, "*").join(stats, "_all", "left").join(tenth.select(one, "*"), "_all")
-            .select("total_filtered", "total_scored",
-                    *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}_score")
-                      for c in ("max", "min", "median")], "tenth_best"))
+    """Range, exact median and tenth best of all scores, with the counts of rows and of scored rows."""
+    stats = value_stats(df.select(F.lit(1).alias("_all"), score), ["_all"], score, nth=10)
+    # an aggregate without keys gives its one row for an empty input, too
+    return stats.agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("total_filtered"),
+        F.coalesce(F.max(F.col("rows") - F.col("missing")), F.lit(0)).alias("total_scored"),
+        *[F.coalesce(F.max(c), F.lit(0.0)).alias(f"{c}_score") for c in ("max", "min", "median")],
+        F.max("nth_best").alias("tenth_best"))
 
 
 def source_counts(df: DataFrame) -> DataFrame:

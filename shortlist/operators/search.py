@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shortlist.functions.text import bind
 from shortlist.lookups import (ATS_DOMAINS, COUNTRY_CODES, DEFAULT_SOURCES, JAPAN_LOCATIONS)
 from shortlist.operators.groups import sliced, top_n_per_group
 
@@ -118,22 +120,28 @@ def search_postings(postings: DataFrame, grid: DataFrame, cap: int = CAP,
         "_loc", F.lower(F.coalesce("location", F.lit(""))))
     text = F.lower(F.concat_ws(" ", "title", "description_text"))
     where = F.lower(F.coalesce("location", F.lit("")))
+
+    def matched(text: Column, place: Column, keywords: Column, places: Column) -> Column:
+        kws = F.filter(keywords, lambda k: F.contains(text, k))
+        locs = F.filter(places, lambda p: F.contains(place, p) | F.contains(text, p))
+        return bind(kws, lambda k: F.struct(
+            k.alias("kws"), F.when(F.size(k) > 0, locs).otherwise(F.array().cast("array<string>")).alias("locs")))
+
     parts = []
     for part in sliced(needles, ["_kw", "_loc"], max_grid_rows):
         names = part.select("_kw", "_loc").distinct().collect()    # at most the rows of one part
         if not names:
             continue
-        keywords = F.array(*[F.lit(k) for k in sorted({n["_kw"] for n in names})])
-        places = F.array(*[F.lit(p) for p in sorted({n["_loc"] for n in names})])
+        keywords, places = (
+            F.from_json(F.lit(json.dumps(sorted({n[c] for n in names}))), "array<string>")   # constants
+            for c in ("_kw", "_loc"))
         found = (
-            postings.select("id", F.col("source").alias("_source"), text.alias("_text"), where.alias("_where"))
-            .select("id", "_source", "_text", "_where",
-                    F.filter(keywords, lambda k: F.contains(F.col("_text"), k)).alias("_kws"))
-            .filter(F.size("_kws") > 0)
-            .select("id", "_source", "_kws", F.filter(
-                places, lambda p: F.contains(F.col("_where"), p) | F.contains(F.col("_text"), p)).alias("_locs"))
-            .select("id", "_source", "_locs", F.explode("_kws").alias("_kw_"))
-            .select("id", "_source", "_kw_", F.explode("_locs").alias("_loc_")))
+            postings.select("id", F.col("source").alias("_source"), bind(
+                F.struct(text.alias("text"), where.alias("place")),
+                lambda p: matched(p["text"], p["place"], keywords, places)).alias("_m"))
+            .filter(F.size("_m.kws") > 0)
+            .select("id", "_source", "_m.locs", F.explode("_m.kws").alias("_kw_"))
+            .select("id", "_source", "_kw_", F.explode("locs").alias("_loc_")))
         parts.append(found.join(
             F.broadcast(part), (F.col("_source") == F.col("source")) & (F.col("_kw_") == F.col("_kw"))
             & (F.col("_loc_") == F.col("_loc"))).select("id", *grid.columns))

@@ -11,7 +11,7 @@ from shortlist.operators.embed import Vectoriser
 from shortlist.operators.ranking import cosine_scores
 from shortlist.plans.collect import collect_postings
 from shortlist.plans.score import embed_postings
-from shortlist.session import pin
+from shortlist.session import pin, staged
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ def compare_scored(scored: DataFrame, strategies: DataFrame, n: int = 5) -> Comp
     `strategies` has one row (strategy, position) per strategy, also for those without rows. The
     narrow scored rows are written once and read by every statistic.
     """
-    rows = pin(scored.select("strategy", "id", "title", "company", "url", "similarity_score"))
+    rows = staged(scored.select("strategy", "id", "title", "company", "url", "similarity_score"), "compared")
     stats = pin(ops.strategy_stats(rows))
     leaders = ops.top_n_per_strategy(rows, n)
     return Comparison(

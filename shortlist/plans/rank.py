@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shortlist.functions.text import word_count
 from shortlist.operators.embed import Vectoriser
 from shortlist.operators.explain import explain_overlap, match_digest, token_estimate
 from shortlist.operators.filters import (Prefilter, filter_min_score, prefilter, require_embeddings,
                                          short_text_report)
 from shortlist.operators.ranking import cosine_scores, score_summary, top_k
 from shortlist.plans.score import embed_postings, profile_row
+from shortlist.session import spread, staged
 from shortlist.sources.ingest import normalise_columns, scan_postings
 from shortlist.sources.sinks import project_result
 
@@ -57,17 +59,19 @@ def rank_file(spark: SparkSession, path: str, profile: DataFrame, vectoriser: Ve
               min_score: float = 0.0, fmt: str = "csv", ties: tuple[str, ...] = ("title", "company")
               ) -> FileRanking:
     """Rank a file of postings without pre-filters; scores below min_score are always dropped."""
-    return rank_frame(scan_postings(spark, path, fmt), profile, vectoriser, n, min_score, ties)
+    return rank_frame(spread(scan_postings(spark, path, fmt)), profile, vectoriser, n, min_score, ties)
 
 
 def rank_frame(df: DataFrame, profile: DataFrame, vectoriser: Vectoriser, n: int = 10,
                min_score: float = 0.0, ties: tuple[str, ...] = ("title", "company")) -> FileRanking:
+    """Rank postings that need not have ids. The scored rows are written once and serve every result."""
     me = profile_row(profile, vectoriser)
-    texts = embed_postings(df, vectoriser)
-    everything = cosine_scores(texts, me["vector"])
-    scored = filter_min_score(everything, min_score, strict=True)
+    texts = cosine_scores(embed_postings(df, vectoriser), me["vector"])
+    everything = staged(texts.withColumns({
+        "_words": word_count(F.col("clean_text")), "_chars": F.length("clean_text")}).drop("clean_text"), "ranked")
+    scored = filter_min_score(everything.drop("_words", "_chars"), min_score, strict=True)
     top = top_k(scored, n, ties=ties)
     digest = match_digest(top, me["name"] or "", me["version"] or "")
-    return FileRanking(scored.drop("clean_text"), top, score_summary(everything),
-                       short_text_report(texts, F.col("clean_text")), digest,
-                       token_estimate(texts.select("clean_text"), digest))
+    return FileRanking(scored, top, score_summary(everything),
+                       short_text_report(everything, F.col("_chars")), digest,
+                       token_estimate(everything.select("_words"), digest, words="_words"))

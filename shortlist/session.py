@@ -53,3 +53,22 @@ def pin(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder so that its partitions never change again."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """Write df to the shared folder once and read it back, for results that several steps use.
+
+    Being Parquet, each step then reads just the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain scan of few partitions to all cores before heavy per-row work.
+
+    Inputs that already have a partition per core, as any large table does, are left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from workload.searching import HEADLINE_SQL
-from workload.tables import postings, table
+from workload.tables import postings, table, table_rows
 
 LEVELS = ["Senior", "Junior", "Head of", "Staff", "VP", "", "Lead", "Intern", "Director", ""]
 SKILLS = ["python", "sql", "kafka", "spark", "dbt", "looker", "aws"]
@@ -29,7 +29,7 @@ def adverts(spark, d, *columns: str) -> DataFrame:
     rows = postings(spark, d, "description_text", *columns)
     part = table(spark, d, "part")
     heads = part.select("p_partkey", F.expr(HEADLINE_SQL).alias("headline"))
-    rows = rows.join(heads, F.col("id") % F.lit(part.count()) == F.col("p_partkey"), "left")
+    rows = rows.join(heads, F.col("id") % F.lit(table_rows(spark, d, "part")) == F.col("p_partkey"), "left")
     return rows.select("id", *columns, F.expr(_TITLE).alias("title"), F.expr(_TEXT).alias("description_text"))
 
 

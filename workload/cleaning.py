@@ -13,7 +13,7 @@ from shortlist.sources.ingest import (alias_cascade_builtin, alias_cascade_linke
                                       normalise_columns, search_hits_to_postings, tag_source, union_sources)
 from workload.registry import query
 from workload.sqltext import best_text_sql, html_text_sql, inner_html_sql, page_text_sql
-from workload.tables import postings, table, with_postings
+from workload.tables import postings, table, table_rows, texts, with_postings
 
 _RANK = ("CASE source WHEN 'builtin' THEN 1 WHEN 'linkedin' THEN 2 WHEN 'serper' THEN 3 "
          "WHEN 'japan_boards' THEN 4 ELSE 5 END")
@@ -27,12 +27,12 @@ def _first():
 
 @query("html_to_text", f"SELECT page_id, {html_text_sql('html')} AS page_text FROM pages")
 def _html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", html_to_text("html").alias("page_text"))
+    return texts(spark, d, "pages", "page_id", "html").select("page_id", html_to_text("html").alias("page_text"))
 
 
 @query("page_text", f"SELECT page_id, {page_text_sql('html')} AS page_text FROM pages")
 def _page_text(spark, d):
-    return table(spark, d, "pages").select("page_id", page_text("html").alias("page_text"))
+    return texts(spark, d, "pages", "page_id", "html").select("page_id", page_text("html").alias("page_text"))
 
 
 _H1 = "(?is)<h1(?:[\\s/][^>]*)?>(.*?)</h1\\s*>"
@@ -43,7 +43,7 @@ _TITLE = "(?is)<title(?:[\\s/][^>]*)?>(.*?)</title\\s*>"
 SELECT page_id, {inner_html_sql(f"CASE WHEN regexp_matches(html, '{_H1}') THEN regexp_extract(html, '{_H1}', 1) ELSE regexp_extract(html, '{_TITLE}', 1) END")} AS title
 FROM pages""")
 def _page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", page_title("html").alias("title"))
+    return texts(spark, d, "pages", "page_id", "html").select("page_id", page_title("html").alias("title"))
 
 
 @query("best_text", with_postings(
@@ -74,10 +74,10 @@ texts AS (SELECT url, {page_text_sql('html')} AS body FROM (
 SELECT id, h.url, CASE WHEN length(t.body) > 100 THEN t.body ELSE description_snippet END AS description_text
 FROM hits h LEFT JOIN texts t ON t.url = h.url AND h.url <> ''""")
 def _enrich_descriptions(spark, d):
-    pages = table(spark, d, "pages")
+    pages = texts(spark, d, "pages", "page_id", "url", "html")
     docs = table(spark, d, "documents").select("doc_id", "lang")
     hits = docs.join(pages.select("page_id", "url"),
-                     F.col("doc_id") % F.lit(pages.count()) == F.col("page_id"), "left").select(
+                     F.col("doc_id") % F.lit(table_rows(spark, d, "pages")) == F.col("page_id"), "left").select(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("url")).alias("url"),
         F.concat(F.lit("snippet "), "lang").alias("description_snippet"))
     return enrich_descriptions(hits, pages).select("id", "url", "description_text")

@@ -20,7 +20,7 @@ from workload.ranking import RULES, _COMPARED, _EMPLOYED, _PAID, _RELEVANT, _SEN
 from workload.registry import query
 from workload.searching import _CODES, PLAN_SQL, strategies
 from workload.sqltext import best_text_sql, inner_html_sql, page_text_sql, words_sql
-from workload.tables import postings, profile_vector, table, with_postings, with_scored
+from workload.tables import postings, profile_vector, table, texts, with_postings, with_scored
 
 # -- one candidate: the customer with the smallest key ------------------------------
 
@@ -38,7 +38,7 @@ def _me(spark, d):
 SELECT doc_id, round(v[1], 5) AS a, round(v[5], 5) AS e, round(list_sum(v), 5) AS total
 FROM (SELECT doc_id, {letters_sql('text')} AS v FROM documents)""")
 def _embed_batches(spark, d):
-    rows = embed(table(spark, d, "documents").select("doc_id", "text"), "text", LETTERS)
+    rows = embed(texts(spark, d, "documents", "doc_id", "text"), "text", LETTERS)
     value = F.transform("embedding", lambda x: x.cast("double"))
     return rows.select("doc_id", F.round(value[0], 5).alias("a"), F.round(value[4], 5).alias("e"),
                        F.round(F.aggregate(value, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
@@ -212,6 +212,6 @@ FROM (SELECT page_id, url, title, body, {_PAGE_STATUS} AS page_status, {rules_sq
       FROM (SELECT *, lower(title) AS h, lower(body) AS b, lower(title) || chr(10) || lower(body) AS t FROM texts))""")
 def _score_pages(spark, d):
     me = profile_row(_me(spark, d), LETTERS)
-    out = score_pages(table(spark, d, "pages"), me["vector"], LETTERS, me["profile_skills"])
+    out = score_pages(texts(spark, d, "pages", "page_id", "url", "html"), me["vector"], LETTERS, me["profile_skills"])
     return out.select("page_id", "url", "title", "page_status", "seniority", "employment_type", "min_years_exp",
                       F.array_join("tech_stack", "|").alias("tech_stack"), "description_text", "similarity_score", "source")

@@ -85,24 +85,25 @@ def _merge_extraction(spark, d):
     return out.select("id", "seniority", "employment_type", "min_years_exp", "tech_stack")
 
 
-def _first_word_sql(text: str, words: dict[str, str]) -> str:
-    return "CASE " + " ".join(
-        f"WHEN regexp_matches({text}, '{enrich._word(p)}') THEN '{v}'" for v, p in words.items()) + " END"
+def _first_word_sql(text: str, table_: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{enrich.word_pattern(words)}') THEN '{value}'"
+                              for value, words in table_.items()) + " END"
 
 
 _ROLE = "coalesce(" + ", ".join(f"CASE WHEN contains(h, '{r}') THEN '{r}' END" for r in DOMAIN_ROLES["data"]) + ")"
-_VOCABULARY = str(TECH_VOCABULARY)
+_VOCABULARY = str([v for v in TECH_VOCABULARY if "." not in v])
+_DOTTED = enrich.word_pattern([r"node\.js"])     # the one name with a dot
 
 
 def rules_sql(role: str) -> str:
     """Rule-extracted fields over columns h (title), b (text) and t (both), all in lower case."""
     return f"""coalesce({_first_word_sql('h', enrich.SENIORITY_WORDS)}, {_first_word_sql('b', enrich.SENIORITY_WORDS)}, 'Mid') AS seniority,
   coalesce({_first_word_sql('t', enrich.EMPLOYMENT_WORDS)}, 'Full-time') AS employment_type,
-  coalesce(CAST(nullif(regexp_extract(t, '{enrich.YEARS}', 1), '') AS INTEGER), 0) AS min_years_exp,
+  CASE WHEN length(regexp_extract(t, '{enrich.YEARS}', 1)) BETWEEN 1 AND 2 THEN CAST(regexp_extract(t, '{enrich.YEARS}', 1) AS INTEGER) ELSE 0 END AS min_years_exp,
   CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 1), ',', ''), '') AS DOUBLE) AS salary_min,
   CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 2), ',', ''), '') AS DOUBLE) AS salary_max,
-  array_to_string(list_sort(list_distinct([w for w in [rtrim(w, '.') for w in regexp_split_to_array(t, '{enrich.WORD_BREAK}')]
-    if list_contains({_VOCABULARY}, w)])), '|') AS tech_stack,
+  array_to_string(list_sort(list_concat(list_distinct([w for w in regexp_split_to_array(t, '{enrich.WORD_BREAK}')
+    if list_contains({_VOCABULARY}, w)]), CASE WHEN regexp_matches(t, '{_DOTTED}') THEN ['node.js'] ELSE [] END)), '|') AS tech_stack,
   {role} AS is_relevant"""
 
 

@@ -10,7 +10,7 @@ from shortlist.operators.filters import Prefilter
 from shortlist.sources.sinks import project_result
 from workload.registry import query
 from workload.sqltext import best_text_sql, page_text_sql
-from workload.tables import postings, scored, table, with_postings, with_scored
+from workload.tables import postings, scored, table, texts, with_postings, with_scored
 
 RULES = Prefilter(relevant_only=True, exclude_seniority=["Internship", "Entry level"],
                   employment_types=["Full-time"], min_salary=60000, seniority_column="seniority_raw")
@@ -80,14 +80,14 @@ def _filter_has_url(spark, d):
 SELECT count(*) AS total, count(*) FILTER (length({best_text_sql()}) < 50) AS short_texts FROM postings"""))
 def _short_text_report(spark, d):
     rows = postings(spark, d, "title", "company", "description_text")
-    return filters.short_text_report(rows, best_text(fallback=None))
+    return filters.short_text_report(rows, F.length(best_text(fallback=None)))
 
 
 @query("gate_page_text", f"""
 SELECT page_id, CASE WHEN n < 100 THEN 'error' WHEN n < 1000 THEN 'thin' ELSE 'ok' END AS page_status
 FROM (SELECT page_id, length({page_text_sql('html')}) AS n FROM pages)""")
 def _gate_page_text(spark, d):
-    rows = table(spark, d, "pages").select("page_id", page_text("html").alias("page_text"))
+    rows = texts(spark, d, "pages", "page_id", "html").select("page_id", page_text("html").alias("page_text"))
     return filters.gate_page_text(rows).drop("page_text")
 
 

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shortlist.operators.ranking import cosine_scores
+from shortlist.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROWS: dict[tuple[str, str], int] = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a given table, which never changes."""
+    if (sf_dir, name) not in _ROWS:
+        _ROWS[sf_dir, name] = table(spark, sf_dir, name).count()
+    return _ROWS[sf_dir, name]
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table read for heavy work on its texts."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 _SENIORITY = ["Internship", "Entry level", "Associate", "Mid-Senior level", " Senior ", "Director",
               "Executive", "Not Applicable", "Staff"]
 
@@ -44,12 +60,13 @@ def postings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     want = list(columns) or _ALL
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id")
+    heavy = bool(set(want) & {"description_text", "lang"})
+    rows = texts(spark, sf_dir, "documents", "doc_id") if heavy else docs.select("doc_id")
 
     def lookup(name: str, key: str, keep: list[str]) -> None:
         nonlocal rows
         side = table(spark, sf_dir, name)
-        modulus = F.lit(side.count())
+        modulus = F.lit(table_rows(spark, sf_dir, name))
         hit = F.col("doc_id") % modulus == F.col(key)
         if name == "embeddings":
             hit = hit & (F.col("doc_id") % 11 != 3)
@@ -66,8 +83,8 @@ def postings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
                [c for c, w in (("embedding", "embedding"), ("label", "strategy")) if w in want])
     if set(want) & set(_LABEL):
         rows = rows.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    if set(want) & {"description_text", "lang"}:
-        rows = rows.join(docs.select("doc_id", "text", "lang"), "doc_id")
+    if heavy:
+        rows = rows.join(texts(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
     plain = {"company": "s_name", "location": "n_name", "description_text": "text", "lang": "lang",
              "embedding": "embedding", "strategy": "label"}
     spell = {**_OWN, **_PART, **_LABEL, **plain}

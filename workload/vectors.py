@@ -10,7 +10,7 @@ from shortlist.operators.embed import HashedWords
 from shortlist.operators.match import match_profiles
 from shortlist.operators.ranking import cosine_scores
 from workload.registry import query
-from workload.tables import postings, profile_vector, scored, table, with_postings, with_scored
+from workload.tables import postings, profile_vector, scored, table, texts, with_postings, with_scored
 
 WORDS = HashedWords(dims=256, stop_words=False)
 
@@ -19,7 +19,7 @@ WORDS = HashedWords(dims=256, stop_words=False)
 SELECT doc_id, {WORDS.dims} AS dims, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}+#]') THEN 1.0::DOUBLE
   ELSE 0.0::DOUBLE END AS length, '{WORDS.name}' AS embedding_model FROM documents""")
 def _embed_texts(spark, d):
-    rows = ops.embed(table(spark, d, "documents").select("doc_id", "text"), "text", WORDS)
+    rows = ops.embed(texts(spark, d, "documents", "doc_id", "text"), "text", WORDS)
     return rows.select("doc_id", F.size("embedding").alias("dims"),
                        F.round(vector_length("embedding"), 4).alias("length"), "embedding_model")
 
