@@ -24,6 +24,10 @@ class Prefilter:
         out = []
         if self.relevant_only and "is_relevant" in columns:
             out.append(("relevant", is_relevant()))
+        needed = [self.seniority_column] * bool(self.exclude_seniority) + [
+            "employment_type"] * bool(self.employment_types)
+        if missing := [c for c in needed if c not in columns]:
+            raise ValueError(f"columns missing: {missing}")
         if self.exclude_seniority:
             out.append(("seniority", seniority_allowed(self.exclude_seniority, self.seniority_column)))
         if self.employment_types:
@@ -53,12 +57,19 @@ def filter_relevant(df: DataFrame, on: bool = True) -> DataFrame:
     return df.filter(is_relevant()) if on and "is_relevant" in df.columns else df
 
 
+def _need(df: DataFrame, col: str) -> DataFrame:
+    """Spark would still find a column dropped earlier in the plan; here it counts as missing."""
+    if col not in df.columns:
+        raise ValueError(f"column {col} is missing")
+    return df
+
+
 def exclude_seniority(df: DataFrame, levels: list[str], col: str = "seniority") -> DataFrame:
-    return df.filter(seniority_allowed(levels, col)) if levels else df
+    return _need(df, col).filter(seniority_allowed(levels, col)) if levels else df
 
 
 def filter_employment(df: DataFrame, types: list[str]) -> DataFrame:
-    return df.filter(employment_allowed(types)) if types else df
+    return _need(df, "employment_type").filter(employment_allowed(types)) if types else df
 
 
 def filter_min_salary(df: DataFrame, floor: float) -> DataFrame:

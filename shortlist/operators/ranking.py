@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shortlist.functions.text import blank_to_null
 from shortlist.functions.vectors import cosine, cosine_arrow
@@ -59,19 +59,23 @@ def source_counts(df: DataFrame) -> DataFrame:
 
 
 def collection_summary(df: DataFrame, grid: DataFrame) -> DataFrame:
-    jobs = df.agg(F.count("*").alias("jobs_collected")).select(F.lit(1).alias("_k"), "*")
-    queries = grid.agg(F.count("*").alias("queries_run")).select(F.lit(1).alias("_k"), "*")
-    return jobs.join(queries, "_k").drop("_k")
+    one, none = F.lit(1), F.lit(0)
+    rows = df.select(one.alias("jobs"), none.alias("queries")).unionByName(
+        grid.select(none.alias("jobs"), one.alias("queries")))
+    return rows.agg(F.coalesce(F.sum("jobs"), none).alias("jobs_collected"),
+                    F.coalesce(F.sum("queries"), none).alias("queries_run"))
 
 
 def tier_quality(df: DataFrame, tier: str = "expected_rank_tier", score: str = SCORE,
                  gate: float = 0.05) -> DataFrame:
     """Mean score per tier beside the margin of top over bottom."""
     means = df.groupBy(tier).agg(F.avg(score).alias("mean_score"))
-    top = F.max(F.when(F.col(tier) == "top", F.col("mean_score")))
-    bottom = F.max(F.when(F.col(tier) == "bottom", F.col("mean_score")))
-    margin = means.agg((top - bottom).alias("margin")).select(F.lit(1).alias("_k"), "*")
-    return (means.withColumn("_k", F.lit(1)).join(margin, "_k").drop("_k")
+    everything = Window.partitionBy(F.lit(1))       # over one row per tier
+
+    def mean_of(name: str) -> Column:
+        return F.max(F.when(F.col(tier) == name, F.col("mean_score"))).over(everything)
+
+    return (means.withColumn("margin", mean_of("top") - mean_of("bottom"))
             .withColumn("passes", F.col("margin") > gate))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shortlist.lookups import SOURCE_PRIORITY
@@ -158,12 +160,12 @@ def _rank_file(spark, d):
     rows = postings(spark, d, "title", "company", "location", "description_text", "url")
     path = sinks.write_raw(rows, scratch_path(spark, "jobs"))
     out = rank_file(spark, path, _me(spark, d), LETTERS, 10)
-    one = [F.lit(1).alias("_k"), "*"]
-    summary = out.summary.select(*one).join(out.short_texts.drop("total").select(*one), "_k").join(
-        out.tokens.select(F.lit(1).alias("_k"), "full_tokens"), "_k")
-    return summary.select("total_filtered", "total_scored",
-                          *[F.round(c, 5).alias(c) for c in ("max_score", "min_score", "median_score")],
-                          "short_texts", "full_tokens")
+    facts = [out.summary.drop("tenth_best"), out.short_texts.select("short_texts"), out.tokens.select("full_tokens")]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return one.select("total_filtered", "total_scored",
+                      *[F.round(c, 5).alias(c) for c in ("max_score", "min_score", "median_score")],
+                      "short_texts", "full_tokens")
 
 
 # -- compare -------------------------------------------------------------------------------
