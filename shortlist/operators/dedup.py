@@ -17,17 +17,21 @@ def source_rank(col: Column | str = "source", priority: list[str] | None = None)
 
 
 def dedup_url(df: DataFrame, order: list[Column], within: tuple[str, ...] = (),
-              keep_blank: bool = False, url: str = "url") -> DataFrame:
+              keep_blank: bool = False, url: str = "url", row_id: str = "id") -> DataFrame:
     """One row per url, the first in the given order.
 
-    Blank urls count as one url, unless keep_blank keeps every one of them; those rows then skip
-    the shuffle altogether.
+    Blank urls count as one url, unless keep_blank keeps every one of them: then each such row is
+    keyed by its own id, which also spreads them evenly. Rows without an id column bypass the
+    shuffle instead.
     """
     key = blank_to_null(url)
-    if keep_blank:
-        return first_per_group(df.filter(key.isNotNull()), [*within, key], order).unionByName(
-            df.filter(key.isNull()))
-    return first_per_group(df, [*within, F.coalesce(key, F.lit(""))], order)
+    if not keep_blank:
+        return first_per_group(df, [*within, F.coalesce(key, F.lit(""))], order)
+    if row_id in df.columns:
+        own = F.concat(F.lit("#"), F.col(row_id).cast("string"))
+        return first_per_group(df, [*within, F.coalesce(key, own)], order)
+    return first_per_group(df.filter(key.isNotNull()), [*within, key], order).unionByName(
+        df.filter(key.isNull()))
 
 
 def dedup_keys(df: DataFrame, order: list[Column],

@@ -61,23 +61,22 @@ class BatchVectoriser:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = load()
             for batch in batches:
-                texts = [t or "" for t in batch.to_pylist()]
+                present = ~np.asarray(batch.is_null(), dtype=bool)
+                texts = batch.drop_null().to_pylist()       # rows without text never reach the model
                 parts = [np.asarray(model(texts[i:i + size]), dtype=np.float64)
                          for i in range(0, len(texts), size)]
-                if not parts:
-                    yield pa.array([], pa.list_(pa.float32()))
-                    continue
-                rows = np.concatenate(parts)
+                rows = np.concatenate(parts) if parts else np.zeros((0, 0))
                 lengths = np.linalg.norm(rows, axis=1, keepdims=True)
                 rows = np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths != 0)
-                flat = pa.array(rows.astype(np.float32).ravel())
-                offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-                yield pa.ListArray.from_arrays(pa.array(offsets), flat)
+                ends = np.cumsum(np.where(present, rows.shape[1], 0), dtype=np.int64)
+                yield pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                    pa.array(rows.astype(np.float32).ravel()), mask=pa.array(~present))
 
         # exploding a one-element array keeps one row and makes Spark finish the text before the
         # Python call, whatever expression it comes from
         rows = df.select("*", F.explode(F.array(text)).alias("_given"))
-        return rows.withColumn(out, F.when(F.col("_given").isNotNull(), encode(F.col("_given")))).drop("_given")
+        return rows.withColumn(out, encode(F.col("_given"))).drop("_given")
 
 
 Vectoriser = HashedWords | BatchVectoriser
@@ -107,13 +106,15 @@ def stale_embeddings(df: DataFrame, model: str, force: bool = False) -> DataFram
 def embed_incremental(df: DataFrame, vectoriser: Vectoriser, text: str, force: bool = False) -> DataFrame:
     """Vectorise only stale rows. The flag `embedded_now` says which rows those were.
 
-    The two halves are disjoint filters of one input; valid rows never reach the vectoriser.
+    One pass over the input: rows that are still valid offer no text, so they cost no vector.
     """
     flagged = stale_embeddings(df, vectoriser.name, force)
-    todo = flagged.filter("stale").drop("embedding", "embedding_model")
-    kept = flagged.filter(~F.col("stale"))
-    done = embed(todo, text, vectoriser)
-    return kept.unionByName(done).withColumnRenamed("stale", "embedded_now")
+    offered = flagged.withColumn("_offered", F.when(F.col("stale"), F.col(text)))
+    done = vectoriser.vectors(offered, "_offered", "_new").drop("_offered")
+    return done.withColumns({
+        "embedding": F.when(F.col("stale"), F.col("_new")).otherwise(F.col("embedding")),
+        "embedding_model": F.lit(vectoriser.name),
+    }).drop("_new").withColumnRenamed("stale", "embedded_now")
 
 
 def reuse_vectors(df: DataFrame, earlier: DataFrame, text: str, key: str = "id") -> DataFrame:

@@ -37,12 +37,11 @@ def extraction_batches(df: DataFrame, size: int = BATCH) -> DataFrame:
     tasks. Only ids are sorted; texts join back by id and meet again in groups of at most `size`.
     """
     placed = batch_positions(df, size)
-    item = F.struct(
-        "idx", F.coalesce("title", F.lit("")).alias("title"),
-        F.coalesce("company", F.lit("")).alias("company"),
-        snippet(F.coalesce("description_text", F.lit("")), "extraction").alias("description"))
-    return (df.select("id", "title", "company", "description_text").join(placed, "id")
-            .groupBy("source", "batch")
+    # the request's own limit applies before the texts travel
+    sent = df.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "company")],
+                     snippet(F.coalesce("description_text", F.lit("")), "extraction").alias("description"))
+    item = F.struct("idx", "title", "company", "description")
+    return (sent.join(placed, "id").groupBy("source", "batch")
             .agg(F.array_sort(F.collect_list(item)).alias("items"))
             .select("source", "batch", F.size("items").alias("postings"),
                     F.to_json("items").alias("payload")))

@@ -12,9 +12,12 @@ from shortlist.operators.groups import first_per_group
 from shortlist.operators.search import (CAP, expand_countries, filter_sites, plan_sources, search_grid,
                                         search_postings)
 from shortlist.functions.text import blank_to_null
+from shortlist.session import pin
 from shortlist.sources.ingest import (add_canonical, alias_cascade_builtin, alias_cascade_linkedin,
                                       normalise_columns, tag_source, union_sources)
 
+MAX_BROADCAST_HITS = 500_000    # hit keys that may be sent to every task; more are joined by shuffle
+
 
 def search_plan(strategies: DataFrame, sources: list[str] | None = None, detect: bool = True,
                 mode: str = "substring") -> DataFrame:
@@ -56,11 +59,13 @@ def collect_postings(landed: dict[str, DataFrame], strategies: DataFrame,
     merged = union_sources(
         {name: landed_source(name, df, pages, (domains or {}).get(name))
          for name, df in landed.items()}, SOURCE_PRIORITY)
-    grid = search_plan(strategies, sources, detect, mode)
+    grid = pin(search_plan(strategies, sources, detect, mode))      # a few rows, used several times
     hits = search_postings(merged, grid, cap, ("strategy", "source", "keyword", "location"))
     wanted = first_per_group(
         hits.select("id", "source", "strategy", "job_domain", "position"),
         ["strategy", "source", "id"], [F.asc("position")])
+    if grid.count() * cap <= MAX_BROADCAST_HITS:    # at most cap hits per grid row
+        wanted = F.broadcast(wanted)
     rows = merged.join(wanted, ["source", "id"])
     usable = rows.filter((F.col("source") == "linkedin") | blank_to_null("url").isNotNull())
     kept = dedup_url(usable, [F.asc("priority"), F.asc("position"), F.asc("id")], ("strategy",), keep_blank)
