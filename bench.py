@@ -3,7 +3,7 @@
 BENCH_SF_DIR   tables to read (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_QUERIES  comma-separated names, or "all" (default: the headline queries)
-BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 3)
+BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 2)
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     all_queries, _ = load()
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(all_queries) if wanted == "all" else wanted.split(",") if wanted else HEADLINE

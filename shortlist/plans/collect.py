@@ -64,11 +64,15 @@ def collect_postings(landed: dict[str, DataFrame], strategies: DataFrame,
     wanted = first_per_group(
         hits.select("id", "source", "strategy", "job_domain", "position"),
         ["strategy", "source", "id"], [F.asc("position")])
-    if grid.count() * cap <= MAX_BROADCAST_HITS:    # at most cap hits per grid row
+    few = grid.count() * cap <= MAX_BROADCAST_HITS      # there are at most cap hits per grid row
+    if few:
         wanted = F.broadcast(wanted)
-    rows = merged.join(wanted, ["source", "id"])
-    usable = rows.filter((F.col("source") == "linkedin") | blank_to_null("url").isNotNull())
+    # winners are found on keys alone; the wide rows are fetched once, for the winners
+    found = merged.select("id", "source", "url", "priority").join(wanted, ["source", "id"])
+    usable = found.filter((F.col("source") == "linkedin") | blank_to_null("url").isNotNull())
     kept = dedup_url(usable, [F.asc("priority"), F.asc("position"), F.asc("id")], ("strategy",), keep_blank)
+    kept = kept.select("id", "source", "strategy", "job_domain", "position")
+    kept = merged.join(F.broadcast(kept) if few else kept, ["source", "id"])
     if extract:
         kept = rule_extract(kept, F.col("job_domain"))
     return normalise_columns(add_canonical(kept, fill=None), mode="coalesce")

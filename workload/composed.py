@@ -49,9 +49,10 @@ def _embed_batches(spark, d):
 # -- collect -----------------------------------------------------------------------------
 
 def landed(spark, d):
-    """The postings of each source under that source's own column names."""
+    """The postings of each source under that source's own column names, landed as a table by source."""
     rows = postings(spark, d, "title", "company", "location", "description_text", "source", "url", "salary_min",
                     "seniority_raw")
+    rows = spark.read.parquet(sinks.write_scored(rows, scratch_path(spark, "landed")))
     by = {name: rows.filter(F.col("source") == name) for name in SOURCE_PRIORITY}
     core = ["id", "title", "location"]
     return {
