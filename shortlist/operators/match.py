@@ -48,6 +48,11 @@ def _one_pass(postings: DataFrame, profiles: DataFrame, k: int, digits: int) ->
                    .reshape(len(ids), -1))
     shared = postings.sparkSession.sparkContext.broadcast((ids, matrix))
 
+    # everything the tasks call is local, so workers need not have this package installed
+    def unit(rows: np.ndarray) -> np.ndarray:
+        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths != 0)
+
     def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile_ids, targets = shared.value
         top_ids = np.zeros((len(profile_ids), 0), dtype=np.int64)
@@ -57,7 +62,7 @@ def _one_pass(postings: DataFrame, profiles: DataFrame, k: int, digits: int) ->
             posting_ids = np.asarray(batch.column(0), dtype=np.int64)
             if not len(posting_ids):
                 continue
-            block = _unit(np.asarray(batch.column(1).flatten(), dtype=np.float64)
+            block = unit(np.asarray(batch.column(1).flatten(), dtype=np.float64)
                           .reshape(len(posting_ids), -1))
             for at in range(0, len(posting_ids), step):
                 scores = np.round(targets @ block[at:at + step].T, digits)

@@ -11,13 +11,17 @@ from shortlist.operators.embed import BatchVectoriser
 _LETTERS = string.ascii_lowercase
 
 
-def _load():
-    def vectors(texts: list[str]) -> np.ndarray:
-        return np.array([[t.count(c) for c in _LETTERS] for t in map(str.lower, texts)], dtype=np.float64)
-    return vectors
+def _loader():
+    letters = _LETTERS
 
+    def load():     # local, so workers need not have this package installed
+        def vectors(texts: list[str]) -> np.ndarray:
+            return np.array([[t.count(c) for c in letters] for t in map(str.lower, texts)], dtype=np.float64)
+        return vectors
+    return load
 
-LETTERS = BatchVectoriser("letters", _load)
+
+LETTERS = BatchVectoriser("letters", _loader())
 
 
 def letters_sql(text: str) -> str:
