@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shortlist.llm.common import table
 from shortlist.llm.language import held_out, predict_language, train_language
 from shortlist.llm.packing import pack_tokens
+from shortlist.llm.passages import drop_repeated_passages
 from shortlist.llm.quality import quality_rules
 
 
@@ -32,11 +33,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "kept", "n_grams", "ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
