@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlist.llm.common import table
 from shortlist.llm.language import held_out, predict_language, train_language
+from shortlist.llm.near_copies import near_components
 from shortlist.llm.packing import pack_tokens
 from shortlist.llm.passages import drop_repeated_passages
 from shortlist.llm.quality import quality_rules
@@ -33,6 +34,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "n_grams", "ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
