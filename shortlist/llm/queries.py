@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.llm.common import table
+from shortlist.llm.hamming import nearest_codes
 from shortlist.llm.language import held_out, predict_language, train_language
 from shortlist.llm.near_copies import near_components
 from shortlist.llm.packing import pack_tokens
@@ -48,5 +49,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "n_grams", "ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op8_substring_dedup, op9_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_codes(rows, rows.filter("vec_id % 50 = 0"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_topk": """
+        WITH bits AS (
+            SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) > 0 AS bit FROM embeddings),
+        near AS (
+            SELECT q.vec_id AS query_id, b.vec_id AS id, CAST(count(*) FILTER (WHERE q.bit <> b.bit) AS INTEGER) AS distance
+            FROM bits q JOIN bits b ON q.i = b.i WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM near)
+        SELECT query_id, id, distance, rank FROM ranked WHERE rank <= 10""",
+}
