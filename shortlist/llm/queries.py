@@ -11,6 +11,7 @@ from shortlist.llm.language import held_out, predict_language, train_language
 from shortlist.llm.near_copies import near_components
 from shortlist.llm.packing import pack_tokens
 from shortlist.llm.passages import drop_repeated_passages
+from shortlist.llm.pieces import decode_pieces, encode_pieces
 from shortlist.llm.quality import quality_rules
 
 
@@ -39,6 +40,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the CRC-32 of the text that decoding them gives."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    coded = decode_pieces(encode_pieces(docs, model), model)
+    return coded.select("doc_id", "ids", "n_ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -54,7 +65,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(rows, rows.filter("vec_id % 50 = 0"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op6_sentencepiece, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """
         WITH bits AS (
