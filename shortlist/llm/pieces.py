@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shortlist.llm.common import process_cache, texts_of
 
@@ -222,5 +223,4 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids_column: str = "ids",
                 texts = [machine.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_column])
 
-    schema = encoded.schema.add(out_column, "string")
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_column, StringType())]))
