@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shortlist.llm.common import table
 from shortlist.llm.hamming import nearest_codes
 from shortlist.llm.language import held_out, predict_language, train_language
+from shortlist.llm.main_text import main_text
 from shortlist.llm.near_copies import near_components
 from shortlist.llm.packing import pack_tokens
 from shortlist.llm.passages import drop_repeated_passages
@@ -50,6 +51,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(rows, rows.filter("vec_id % 50 = 0"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op6_sentencepiece, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_minhash_near_dedup, op6_sentencepiece, op7_html_extraction, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """
         WITH bits AS (
