@@ -108,3 +108,24 @@ def repeated_windows(docs, size=50):
                 gone[i:i + size] = [True] * size
         out[d] = (ws, gone)
     return out
+
+
+def base_identifiers(text):
+    """{kind: [(start, end)]} by the plain patterns."""
+    text = text or ""
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            x = int(c) * (1 + i % 2)
+            total += x - 9 * (x > 9)
+        return total % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    }
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text) if good(m[0])] for k, (p, good) in kinds.items()}
