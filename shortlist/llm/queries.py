@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.llm.common import table
+from shortlist.llm.fuzzy_lines import dedup_lines
 from shortlist.llm.hamming import nearest_codes
 from shortlist.llm.identifiers import KINDS, find_identifiers, listed
 from shortlist.llm.language import held_out, predict_language, train_language
@@ -38,6 +39,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_identifiers(table(spark, sf_dir, "documents")).select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -77,7 +83,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(rows, rows.filter("vec_id % 50 = 0"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op4_pii, op5_minhash_near_dedup, op6_sentencepiece, op7_html_extraction, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_line_dedup, op4_pii, op5_minhash_near_dedup, op6_sentencepiece, op7_html_extraction, op8_substring_dedup, op9_quality_rules, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_topk": """
         WITH bits AS (

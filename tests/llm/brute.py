@@ -129,3 +129,29 @@ def base_identifiers(text):
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
     }
     return {k: [(m.start(), m.end()) for m in re.finditer(p, text) if good(m[0])] for k, (p, good) in kinds.items()}
+
+
+def deduped_lines(docs, percent=80, size=8):
+    """docs: {doc_id: text}; -> {doc_id: (lines, removed, text)} by comparing all pairs of lines that share a shingle."""
+    def cut(line):
+        return frozenset(line[i:i + size] for i in range(max(1, len(line) - size + 1)))
+
+    places = [(d, i, line) for d in sorted(docs) for i, line in enumerate((docs[d] or "").split("\n")) if re.search(r"\S", line)]
+    lines = {line: cut(line) for _, _, line in places}
+    holders = {}
+    for line, s in lines.items():
+        for x in s:
+            holders.setdefault(x, []).append(line)
+    pairs = {}
+    for own in holders.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1:]:
+                pairs[(a, b)] = pairs.get((a, b), 0) + 1
+    comp = groups(lines, [(a, b) for (a, b), n in pairs.items() if 100 * n >= percent * (len(lines[a]) + len(lines[b]) - n)])
+    seen, gone = set(), set()
+    for d, i, line in places:
+        if comp[line] in seen:
+            gone.add((d, i))
+        seen.add(comp[line])
+    return {d: (sum(1 for p in places if p[0] == d), sum(1 for p in gone if p[0] == d),
+                "\n".join(x for i, x in enumerate((t or "").split("\n")) if (d, i) not in gone)) for d, t in docs.items()}
