@@ -28,7 +28,7 @@ MIN_TEXT = 100      # below this a description is too short to use
 SHORT_TEXT = 50     # below this a cleaned text is reported as short
 THIN_PAGE = 1000    # below this a page is thin
 
-# Prefix lengths by use.
+# Prefix lengths that callers of `snippet` can name; no other operator shortens a text.
 SNIPPET = {"extraction": 4000, "page": 6000, "explanation": 600, "digest": 800, "page_result": 1500}
 
 

@@ -137,15 +137,10 @@ TAXONOMY = {
     ],
 }
 
-# -- fixed values: levels and types a posting can be given -------------------
-EXTRACT_SENIORITY = ["Intern", "VP", "Head", "Director", "Manager", "Lead", "Staff", "Senior",
-                     "Junior", "Mid"]
-EXTRACT_EMPLOYMENT = ["Part-time", "Contract", "Freelance", "Internship", "Full-time"]
-
-# Tools looked for by the rule extractor; callers may pass their own list.
+# Tools looked for by the rule extractor; callers may pass their own list. Words of plain prose (go, r) are left out.
 TECH_VOCABULARY = [
     "airflow", "aws", "azure", "clay", "cuda", "dbt", "docker", "embeddings", "excel", "gcp",
-    "go", "hubspot", "huggingface", "java", "javascript", "kafka", "kubernetes", "llm", "looker",
-    "n8n", "node.js", "oracle", "postgresql", "python", "pytorch", "r", "react", "salesforce",
+    "golang", "hubspot", "huggingface", "java", "javascript", "kafka", "kubernetes", "llm", "looker",
+    "n8n", "node.js", "oracle", "postgresql", "python", "pytorch", "react", "salesforce",
     "snowflake", "spark", "sql", "tableau", "terraform", "typescript",
 ]

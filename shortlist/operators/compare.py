@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shortlist.functions.numbers import three_decimals
 from shortlist.operators.groups import first_per_group, top_n_per_group, value_stats
 from shortlist.operators.ranking import SCORE, score_order
 
@@ -69,6 +70,8 @@ def strategy_uplift(stats: DataFrame, strategies: DataFrame, key: str = "strateg
         F.collect_list(F.struct((-F.col("median_score")).alias("minus"), "position",
                                 F.col(key).cast("string").alias("name"), "median_score"))).alias("p"))
     best, second = F.try_element_at("p", F.lit(1)), F.try_element_at("p", F.lit(2))
+    pair = pair.withColumn("_best", three_decimals(best["median_score"])).withColumn(
+        "_second", three_decimals(second["median_score"]))
     b, s = best["median_score"], second["median_score"]
     percent = F.when(s > 0, F.bround((b - s) / s * 100, 0).cast("long"))
     # fixed values: wording of the recommendation
@@ -76,8 +79,8 @@ def strategy_uplift(stats: DataFrame, strategies: DataFrame, key: str = "strateg
         F.when(s.isNull(), "Only one strategy returned results — no comparison available.")
         .when(s <= 0, F.format_string("'%s' is the only strategy with positive scores.", best["name"]))
         .otherwise(F.format_string(
-            "'%s' returns %d%% higher median score (%.3f) than '%s' (%.3f). "
+            "'%s' returns %d%% higher median score (%s) than '%s' (%s). "
             "Prioritise '%s' for future scrapes.",
-            best["name"], percent, b, second["name"], s, best["name"])))
+            best["name"], percent, F.col("_best"), second["name"], F.col("_second"), best["name"])))
     return pair.select(best["name"].alias("best"), second["name"].alias("second"),
                        percent.alias("percent"), sentence.alias("recommendation"))

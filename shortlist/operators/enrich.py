@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shortlist.functions.fields import contains_any
-from shortlist.functions.text import MIN_TEXT, bind, blank_to_null, page_text, snippet
-from shortlist.lookups import (DOMAIN_ROLES, EXTRACT_EMPLOYMENT, EXTRACT_SENIORITY, TECH_VOCABULARY)
+from shortlist.functions.text import MIN_TEXT, bind, blank_to_null, page_text
+from shortlist.lookups import DOMAIN_ROLES, TECH_VOCABULARY
 from shortlist.operators.groups import first_per_group, numbered
 from shortlist.schema import EXTRACTED
 
@@ -31,15 +31,14 @@ def enrich_descriptions(hits: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def extraction_batches(df: DataFrame, size: int = BATCH) -> DataFrame:
-    """Consecutive groups of `size` postings per source, as JSON request payloads.
+    """Consecutive groups of `size` postings per source, as JSON request payloads with the whole texts.
 
     Positions come from a range sort, so a source with most of the postings is numbered by many
     tasks. Only ids are sorted; texts join back by id and meet again in groups of at most `size`.
     """
     placed = batch_positions(df, size)
-    # the request's own limit applies before the texts travel
     sent = df.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "company")],
-                     snippet(F.coalesce("description_text", F.lit("")), "extraction").alias("description"))
+                     F.coalesce("description_text", F.lit("")).alias("description"))
     item = F.struct("idx", "title", "company", "description")
     return (sent.join(placed, "id").groupBy("source", "batch")
             .agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -111,11 +110,13 @@ EMPLOYMENT_WORDS = {
     "Full-time": ["full-time", "full time"],
 }
 # patterns start with a narrow class where they can, which keeps the scan of long texts fast
-YEARS = r"([0-9]+)\s?\+?\s?(?:years|yrs)(?:[^\p{L}\p{N}]|$)"
+YEARS = r"([0-9]+)(?:\s?(?:-|–|to)\s?[0-9]+)?\s?\+?\s?(?:years|yrs)(?:[^\p{L}\p{N}]|$)"
 MAX_YEARS_DIGITS = 2
 YEARS_MARKS = ["years", "yrs"]
-SALARY = (r"(?:usd|eur|gbp|[$€£])\s?([0-9]{2,3}(?:,[0-9]{3})+|[0-9]{4,7})"
-          r"(?:\s?(?:-|to)\s?(?:usd|eur|gbp)?\s?[$€£]?\s?([0-9]{2,3}(?:,[0-9]{3})+|[0-9]{4,7}))?")
+AMOUNT = r"([0-9]{2,3}(?:,[0-9]{3})+|[0-9]{4,7}|[0-9]{2,3}(?:\.[0-9])?\s?k\b)"
+CURRENCY = "(?:usd|eur|gbp|[$€£])"
+SALARY = rf"{CURRENCY}\s?{AMOUNT}(?:\s?(?:-|–|to)\s?{CURRENCY}?\s?{AMOUNT})?"
+SALARY_BEHIND = rf"{AMOUNT}(?:\s?(?:-|–|to)\s?{AMOUNT})?\s?{CURRENCY}(?:[^\p{{L}}\p{{N}}]|$)"
 SALARY_MARKS = ["usd", "eur", "gbp", "$", "€", "£"]
 WORD_BREAK = r"[^\p{L}\p{N}+#]+"
 
@@ -125,28 +126,34 @@ def word_pattern(words: list[str]) -> str:
     return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?:[^\p{{L}}\p{{N}}]|$)"
 
 
-def _first_word(text: Column, table: dict[str, list[str]], allowed: list[str]) -> Column:
+def _first_word(text: Column, table: dict[str, list[str]]) -> Column:
     """First value with one of its words in the text; a plain substring test comes before the pattern."""
     case = F.when(F.lit(False), F.lit(None).cast("string"))
     for value, words in table.items():
-        if value in allowed:
-            case = case.when(contains_any(text, words) & text.rlike(word_pattern(words)), value)
+        case = case.when(contains_any(text, words) & text.rlike(word_pattern(words)), value)
     return case
 
 
 def _years(text: Column) -> Column:
-    digits = F.when(contains_any(text, YEARS_MARKS), F.regexp_extract(text, YEARS, 1))
-    return bind(digits, lambda n: F.when(F.length(n).between(1, MAX_YEARS_DIGITS), n.cast("int")).otherwise(0))
+    """Smallest number of years named; of a range the lower bound, numbers of three digits and more are none."""
+    named = F.when(contains_any(text, YEARS_MARKS), F.regexp_extract_all(text, F.lit(YEARS), F.lit(1)))
+    valid = F.filter(named, lambda n: F.length(n) <= MAX_YEARS_DIGITS)
+    return F.coalesce(F.array_min(F.transform(valid, lambda n: n.cast("int"))), F.lit(0))
 
 
 def _salary(text: Column) -> Column:
-    """First amount or range; the long text is searched once, the bounds come from the hit."""
-    def bound(hit: Column, group: int) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(hit, SALARY, group), ",", "")
-        return F.nullif(digits, F.lit("")).cast("double")
+    """First amount or range with a currency before it, or else behind it; the long text is searched once for each."""
+    def bound(hit: Column, pattern: str, group: int) -> Column:
+        amount = F.regexp_replace(F.regexp_extract(hit, pattern, group), r"[,\s]", "")
+        thousands = F.when(amount.endswith("k"), F.regexp_replace(amount, "k", "").try_cast("double") * 1000)
+        return F.coalesce(thousands, F.nullif(amount, F.lit("")).try_cast("double"))
 
-    hit = F.when(contains_any(text, SALARY_MARKS), F.regexp_extract(text, SALARY, 0))
-    return bind(hit, lambda h: F.struct(bound(h, 1).alias("low"), bound(h, 2).alias("high")))
+    def both(pattern: str):
+        return lambda h: F.when(h != "", F.struct(bound(h, pattern, 1).alias("low"), bound(h, pattern, 2).alias("high")))
+
+    marked = contains_any(text, SALARY_MARKS)
+    return F.coalesce(bind(F.when(marked, F.regexp_extract(text, SALARY, 0)), both(SALARY)),
+                      bind(F.when(marked, F.regexp_extract(text, SALARY_BEHIND, 0)), both(SALARY_BEHIND)))
 
 
 def rule_extract(df: DataFrame, domain: str | Column = "any", title: str = "title",
@@ -165,9 +172,9 @@ def rule_extract(df: DataFrame, domain: str | Column = "any", title: str = "titl
 
     def fields(head: Column, body: Column, both: Column) -> Column:
         return F.struct(
-            F.coalesce(_first_word(head, SENIORITY_WORDS, EXTRACT_SENIORITY),
-                       _first_word(body, SENIORITY_WORDS, EXTRACT_SENIORITY), F.lit("Mid")).alias("seniority"),
-            F.coalesce(_first_word(both, EMPLOYMENT_WORDS, EXTRACT_EMPLOYMENT),
+            F.coalesce(_first_word(head, SENIORITY_WORDS),
+                       _first_word(body, SENIORITY_WORDS), F.lit("Mid")).alias("seniority"),
+            F.coalesce(_first_word(both, EMPLOYMENT_WORDS),
                        F.lit("Full-time")).alias("employment_type"),
             _years(both).alias("min_years_exp"), _salary(both).alias("salary"),
             tools(both).alias("tech_stack"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shortlist.session import pin
@@ -70,32 +72,45 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str = "posi
 def value_stats(df: DataFrame, group: list[str], value: str, nth: int | None = None) -> DataFrame:
     """Per group: rows, missing, min, max, mean and exact median of a numeric column.
 
-    With nth, also the nth largest value. Equal values are counted before the shuffle, so the input
-    is read once and copies of one value do not pile up; what is sorted are distinct values.
+    With nth, also the nth largest value. Equal values are counted before the shuffle and range-sorted by group and
+    value. Everything else comes from one row per sorted partition and group: these tell in which partition a wanted
+    position lies, and only there values are looked at again. No value is shuffled by its group.
     """
     counted = df.groupBy(*group, value).agg(F.count("*").alias("weight"))
-    placed = running_weight(counted, group, [value], "weight")      # nulls come first
-    totals = placed.groupBy(*group).agg(
-        F.sum("weight").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("weight"))), F.lit(0)).alias("missing"))
-    both = placed.join(totals, group)
-    n, start = F.col("rows") - F.col("missing"), F.col("before") - F.col("missing")
-    known = F.col(value).isNotNull()
-
-    def at(position: Column) -> Column:
-        hit = known & (start <= position) & (position < start + F.col("weight"))
-        return F.max(F.when(hit, F.col(value)))
-
-    weighted = F.when(known, F.col("weight"))
-    measures = [
-        F.max("rows").alias("rows"), F.max("missing").alias("missing"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        (F.sum(F.col(value) * weighted) / F.sum(weighted)).alias("mean"),
-        ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"),
-    ]
-    if nth:
-        measures.append(at(n - nth).alias("nth_best"))
-    return both.groupBy(*group).agg(*measures)
+    ordered = pin(counted.repartitionByRange(*group, value).withColumn("_part", F.spark_partition_id()))
+    known, weight = F.col(value).isNotNull(), F.col("weight")
+    parts = pin(ordered.groupBy("_part", *group).agg(
+        F.sum("weight").alias("rows"), F.coalesce(F.sum(F.when(known, weight)), F.lit(0)).alias("_known"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.col(value) * weight).alias("_sum")))
+    totals = parts.groupBy(*group).agg(
+        F.sum("rows").alias("rows"), (F.sum("rows") - F.sum("_known")).alias("missing"), F.min("min").alias("min"),
+        F.max("max").alias("max"), (F.sum("_sum") / F.nullif(F.sum("_known"), F.lit(0))).alias("mean"), F.sum("_known").alias("_n"))
+
+    n = F.col("_n")
+    wanted = {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), **({"nth_best": n - nth} if nth else {})}
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.cast("long").alias("at")) for k, p in wanted.items()]))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_known").over(earlier), F.lit(0))
+    places = (matched(parts.withColumn("_before", offset), totals.select(*group, "_n"), group)
+              .select("_part", *group, "_known", "_before", asked.alias("_w"))
+              .filter((F.col("_w.at") >= F.col("_before")) & (F.col("_w.at") < F.col("_before") + F.col("_known")))
+              .select("_part", *group, "_w.kind", (F.col("_w.at") - F.col("_before")).alias("at")))
+    inside = (Window.partitionBy("_part", *group, "kind").orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(F.sum("weight").over(inside), F.lit(0))
+    found = (matched(ordered.filter(known), places, ["_part", *group]).withColumn("_before", before)
+             .filter((F.col("_before") <= F.col("at")) & (F.col("at") < F.col("_before") + weight)))
+    picked = found.groupBy(*group).agg(*[F.max(F.when(F.col("kind") == k, F.col(value))).alias(f"_{k}") for k in wanted])
+    return matched(totals, picked, group, "left").select(
+        *group, "rows", "missing", "min", "max", "mean", ((F.col("_lower") + F.col("_upper")) / 2).alias("median"),
+        *([F.col("_nth_best").alias("nth_best")] if nth else []))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null with null."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda x, y: x & y, [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def sliced(df: DataFrame, keys: list[str], max_rows: int) -> list[DataFrame]:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shortlist.functions.text import collapse
 
-RECENT_ROLES = 4
-
 
 def _strings() -> Column:
     return F.array().cast("array<string>")
@@ -34,12 +32,9 @@ def _each(col: str | Column, parts) -> Column:
     return F.coalesce(F.flatten(F.transform(col, parts)), _strings())
 
 
-def _roles() -> Column:
-    return F.slice("experience", 1, RECENT_ROLES)
-
-
-def profile_text(profiles: DataFrame, out: str = "profile_text") -> DataFrame:
-    """Weighted text of each profile; skills and keywords appear twice."""
+def profile_text(profiles: DataFrame, out: str = "profile_text", roles: int | None = None) -> DataFrame:
+    """Weighted text of each profile; skills and keywords appear twice. `roles` keeps only the first ones."""
+    experience = F.col("experience") if roles is None else F.slice("experience", 1, roles)
     skill_lines = F.transform(_lists("technical_skills"), lambda v: F.array_join(v, " "))
     domains = _lists("domain_expertise")
 
@@ -56,7 +51,7 @@ def profile_text(profiles: DataFrame, out: str = "profile_text") -> DataFrame:
         F.flatten(F.transform(skill_lines, lambda line: F.array(line, line))),
         F.flatten(domains),
         _list(F.try_element_at("domain_expertise", F.lit("bioinformatics_focus"))),
-        _each(_roles(), role_parts),
+        _each(experience, role_parts),
         _each("certifications", lambda c: F.array(c["name"])),
         _each("projects", lambda p: F.concat(
             F.array(p["name"], p["description"]), _list(p["tech_used"]))),
@@ -70,10 +65,10 @@ def profile_text(profiles: DataFrame, out: str = "profile_text") -> DataFrame:
 
 
 def profile_skills(profiles: DataFrame, out: str = "profile_skills") -> DataFrame:
-    """Distinct lower-case skills, tools used in recent roles and keywords, sorted."""
+    """Distinct lower-case skills, tools used in all roles and keywords, sorted."""
     every = F.concat(
         F.flatten(_lists("technical_skills")),
-        _each(_roles(), lambda role: _list(role["tech_used"])),
+        _each("experience", lambda role: _list(role["tech_used"])),
         _list("ats_keywords_pool"))
     lowered = F.transform(F.filter(every, lambda s: s.isNotNull()), F.lower)
     return profiles.withColumn(out, F.array_sort(F.array_distinct(lowered)))

@@ -11,8 +11,7 @@ from shortlist.functions.text import bind
 from shortlist.lookups import (ATS_DOMAINS, COUNTRY_CODES, DEFAULT_SOURCES, JAPAN_LOCATIONS)
 from shortlist.operators.groups import sliced, top_n_per_group
 
-MAX_GRID_ROWS = 5_000   # grid rows searched at a time
-CAP = 20                # hits kept per grid row
+MAX_WORDS = 20_000      # different keywords tested in one reading
 
 
 def search_grid(strategies: DataFrame) -> DataFrame:
@@ -63,20 +62,24 @@ def route_locations(locations: DataFrame, watch: list[str] | None = None,
 
 def plan_sources(grid: DataFrame, sources: list[str] | None = None,
                  mode: str = "substring") -> DataFrame:
-    """Give every grid row to the active sources; japan boards are searched by keyword only."""
-    active = DEFAULT_SOURCES if sources is None else [s.lower() for s in sources]
-    general = [s for s in DEFAULT_SOURCES if s in active]
-    with_japan = sources is None or "japan" in active
-    empty = F.array().cast("array<string>")
-    chosen = F.when(
-        is_japan("location", mode=mode),
-        F.array(F.lit("japan_boards")) if with_japan else empty,
-    ).otherwise(F.array(*[F.lit(s) for s in general]) if general else empty)
-    rows = grid.select("*", F.explode(chosen).alias("source"))
+    """Give every grid row to the active sources; japan boards are searched by keyword only.
+
+    A column `sources` (array of strings) names the sources of each row; where it is null or absent, `sources` of the
+    call holds for all rows, and all sources if that is None.
+    """
+    none = F.lit(None).cast("array<string>")
+    given = none if sources is None else F.array(*[F.lit(s.lower()) for s in sources]).cast("array<string>")
+    own = F.transform("sources", F.lower) if "sources" in grid.columns else none
+    active = F.coalesce(own, given)
+    general = F.filter(F.array(*[F.lit(s) for s in DEFAULT_SOURCES]), lambda s: active.isNull() | F.array_contains(active, s))
+    japan = F.when(active.isNull() | F.array_contains(active, "japan"), F.array(F.lit("japan_boards"))).otherwise(
+        F.array().cast("array<string>"))
+    rows = grid.select("*", F.explode(F.when(is_japan("location", mode=mode), japan).otherwise(general)).alias("source"))
     keywords_only = F.col("source") == "japan_boards"
-    rows = rows.withColumn("location", F.when(~keywords_only, F.col("location")))
+    rows = rows.withColumn("location", F.when(~keywords_only, F.col("location"))).drop("sources")
     keys = [c for c in rows.columns if c != "position"]
-    return rows.groupBy(*keys).agg(F.min("position").alias("position")).select(*grid.columns, "source")
+    return rows.groupBy(*keys).agg(F.min("position").alias("position")).select(
+        *[c for c in grid.columns if c != "sources"], "source")
 
 
 def url_host(url: Column) -> Column:
@@ -106,48 +109,47 @@ def filter_sites(postings: DataFrame, domains: list[str] | None = None) -> DataF
     return postings.filter(on_site("url", domains))
 
 
-def search_postings(postings: DataFrame, grid: DataFrame, cap: int = CAP,
+def search_postings(postings: DataFrame, grid: DataFrame, cap: int | None = None,
                     keys: tuple[str, ...] = ("source", "keyword", "location"),
-                    max_grid_rows: int = MAX_GRID_ROWS) -> DataFrame:
-    """Hits of the search grid in landed postings, at most cap per grid row by posting id.
-
-    A hit has the grid row's source and contains its keyword, and its location if it has one, in
-    any letter case. Each posting is tested against the distinct keywords and the distinct
-    locations, not against their product; only ids and grid keys go on to the cap. A grid of more
-    than max_grid_rows rows is searched in parts, so what the tasks receive stays small.
+                    max_words: int = MAX_WORDS) -> DataFrame:
+    """Hits of the search grid in landed postings, all of them.
+
+    A hit has the grid row's source and contains its keyword, and its location if it has one, in any letter case. The
+    postings are read once: each is tested against the distinct keywords, and if one is in it against the distinct
+    locations. Its keywords then meet the grid's (source, keyword) with the locations asked there, so only pairs that
+    the grid asks for are made. Only ids and grid keys travel. More than max_words different keywords are taken in
+    parts. With a cap, at most that many hits per grid row stay, by posting id, numbered in `hit`.
     """
     needles = grid.withColumn("_kw", F.lower("keyword")).withColumn(
         "_loc", F.lower(F.coalesce("location", F.lit(""))))
+    asked = needles.groupBy("source", "_kw").agg(F.collect_set("_loc").alias("_asked"))
     text = F.lower(F.concat_ws(" ", "title", "description_text"))
     where = F.lower(F.coalesce("location", F.lit("")))
+    places = constants(needles, "_loc")
 
-    def matched(text: Column, place: Column, keywords: Column, places: Column) -> Column:
-        kws = F.filter(keywords, lambda k: F.contains(text, k))
-        locs = F.filter(places, lambda p: F.contains(place, p) | F.contains(text, p))
-        return bind(kws, lambda k: F.struct(
-            k.alias("kws"), F.when(F.size(k) > 0, locs).otherwise(F.array().cast("array<string>")).alias("locs")))
+    def locations(text: Column, place: Column) -> Column:
+        return F.filter(places, lambda p: F.contains(place, p) | F.contains(text, p))
 
     parts = []
-    for part in sliced(needles, ["_kw", "_loc"], max_grid_rows):
-        names = part.select("_kw", "_loc").distinct().collect()    # at most the rows of one part
-        if not names:
-            continue
-        keywords, places = (
-            F.from_json(F.lit(json.dumps(sorted({n[c] for n in names}))), "array<string>")   # constants
-            for c in ("_kw", "_loc"))
+    for part in sliced(needles.select("_kw").distinct(), ["_kw"], max_words):
+        words = constants(part, "_kw")
         found = (
-            postings.select("id", F.col("source").alias("_source"), bind(
-                F.struct(text.alias("text"), where.alias("place")),
-                lambda p: matched(p["text"], p["place"], keywords, places)).alias("_m"))
-            .filter(F.size("_m.kws") > 0)
-            .select("id", "_source", "_m.locs", F.explode("_m.kws").alias("_kw_"))
-            .select("id", "_source", "_kw_", F.explode("locs").alias("_loc_")))
-        parts.append(found.join(
-            F.broadcast(part), (F.col("_source") == F.col("source")) & (F.col("_kw_") == F.col("_kw"))
-            & (F.col("_loc_") == F.col("_loc"))).select("id", *grid.columns))
+            postings.select("id", F.col("source").alias("source"), text.alias("_text"), where.alias("_place"))
+            .select("id", "source", bind(F.struct("_text", "_place"), lambda p: bind(
+                F.filter(words, lambda k: F.contains(p["_text"], k)),
+                lambda k: F.when(F.size(k) > 0, F.struct(k.alias("kws"), locations(p["_text"], p["_place"]).alias("locs"))))).alias("_m"))
+            .filter(F.col("_m").isNotNull())
+            .select("id", "source", "_m.locs", F.explode("_m.kws").alias("_kw")))
+        pairs = found.join(asked, ["source", "_kw"]).select(
+            "id", "source", "_kw", F.explode(F.array_intersect("locs", "_asked")).alias("_loc"))
+        parts.append(pairs.join(needles, ["source", "_kw", "_loc"]).select("id", *grid.columns))
     if not parts:
-        id_type = postings.schema["id"].dataType
-        return grid.filter(F.lit(False)).select(
-            F.lit(None).cast(id_type).alias("id"), "*", F.lit(1).alias("hit"))
+        parts = [grid.filter(F.lit(False)).select(F.lit(None).cast(postings.schema["id"].dataType).alias("id"), "*")]
     hits = reduce(DataFrame.unionByName, parts)
-    return top_n_per_group(hits, list(keys), [F.asc("id")], cap, "hit")
+    return hits if cap is None else top_n_per_group(hits, list(keys), [F.asc("id")], cap, "hit")
+
+
+def constants(df: DataFrame, col: str) -> Column:
+    """The distinct values of a planning table's column as a constant array."""
+    values = sorted({r[0] for r in df.select(col).distinct().collect()})
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")

@@ -9,23 +9,25 @@ from shortlist.lookups import SOURCE_PRIORITY
 from shortlist.operators.dedup import dedup_url
 from shortlist.operators.enrich import enrich_descriptions, rule_extract
 from shortlist.operators.groups import first_per_group
-from shortlist.operators.search import (CAP, expand_countries, filter_sites, plan_sources, search_grid,
+from shortlist.operators.search import (expand_countries, filter_sites, plan_sources, search_grid,
                                         search_postings)
 from shortlist.functions.text import blank_to_null
 from shortlist.session import pin
 from shortlist.sources.ingest import (add_canonical, alias_cascade_builtin, alias_cascade_linkedin,
                                       normalise_columns, tag_source, union_sources)
 
-MAX_BROADCAST_HITS = 500_000    # hit keys that may be sent to every task; more are joined by shuffle
-
 
 def search_plan(strategies: DataFrame, sources: list[str] | None = None, detect: bool = True,
                 mode: str = "substring") -> DataFrame:
-    """Grid rows (strategy, job_domain, source, keyword, location, position) of all strategies."""
+    """Grid rows (strategy, job_domain, source, keyword, location, position) of all strategies.
+
+    A strategy's own `sources` go before those of the call.
+    """
     named = F.concat_ws(" ", "keywords")
     asked = F.col("job_domain") if "job_domain" in strategies.columns else F.lit(None).cast("string")
     domain = F.coalesce(blank_to_null(asked), detect_domain(named) if detect else F.lit("any"))
-    grid = search_grid(strategies.select("strategy", "keywords", "locations", domain.alias("job_domain")))
+    own = ["sources"] if "sources" in strategies.columns else []
+    grid = search_grid(strategies.select("strategy", "keywords", "locations", domain.alias("job_domain"), *own))
     planned = plan_sources(grid, sources, mode)
     coded = expand_countries(planned)
     location = F.when(F.col("source") == "builtin", F.col("location_key")).otherwise(F.col("location"))
@@ -46,7 +48,7 @@ def landed_source(name: str, df: DataFrame, pages: DataFrame | None = None,
 
 
 def collect_postings(landed: dict[str, DataFrame], strategies: DataFrame,
-                     sources: list[str] | None = None, cap: int = CAP,
+                     sources: list[str] | None = None, cap: int | None = None,
                      pages: DataFrame | None = None, domains: dict[str, list[str]] | None = None,
                      keep_blank: bool = False, detect: bool = True, mode: str = "substring",
                      extract: bool = True) -> DataFrame:
@@ -64,15 +66,12 @@ def collect_postings(landed: dict[str, DataFrame], strategies: DataFrame,
     wanted = first_per_group(
         hits.select("id", "source", "strategy", "job_domain", "position"),
         ["strategy", "source", "id"], [F.asc("position")])
-    few = grid.count() * cap <= MAX_BROADCAST_HITS      # there are at most cap hits per grid row
-    if few:
-        wanted = F.broadcast(wanted)
     # winners are found on keys alone; the wide rows are fetched once, for the winners
     found = merged.select("id", "source", "url", "priority").join(wanted, ["source", "id"])
     usable = found.filter((F.col("source") == "linkedin") | blank_to_null("url").isNotNull())
     kept = dedup_url(usable, [F.asc("priority"), F.asc("position"), F.asc("id")], ("strategy",), keep_blank)
     kept = kept.select("id", "source", "strategy", "job_domain", "position")
-    kept = merged.join(F.broadcast(kept) if few else kept, ["source", "id"])
+    kept = merged.join(kept, ["source", "id"])
     if extract:
         kept = rule_extract(kept, F.col("job_domain"))
     return normalise_columns(add_canonical(kept, fill=None), mode="coalesce")

@@ -41,7 +41,7 @@ def compare_scored(scored: DataFrame, strategies: DataFrame, n: int = 5) -> Comp
 
 
 def compare_searches(landed: dict[str, DataFrame], strategies: DataFrame, vector: list[float],
-                     vectoriser: Vectoriser, n: int = 5, cap: int = 10, **collect_options) -> Comparison:
+                     vectoriser: Vectoriser, n: int = 5, cap: int | None = None, **collect_options) -> Comparison:
     """Run all strategies in one plan, score what each finds and compare the scores.
 
     `strategies` has columns strategy, position, keywords, locations and optionally job_domain,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from shortlist.functions.text import best_text, gate_status, page_text, page_title, snippet
+from shortlist.functions.text import best_text, gate_status, page_text, page_title
 from shortlist.operators.embed import Vectoriser, embed
 from shortlist.operators.enrich import rule_extract
 from shortlist.operators.explain import explain_overlap
@@ -23,8 +23,7 @@ def score_pages(pages: DataFrame, vector: list[float], vectoriser: Vectoriser,
                 skills: list[str]) -> DataFrame:
     """Extract, vectorise, score and explain a table of pages, each by its whole text.
 
-    Pages with too little text keep a row with status 'error' and no score. Only the description
-    that is shown in the result is shortened.
+    Pages with too little text keep a row with status 'error' and no score.
     """
     rows = page_postings(pages).withColumn("description_text", F.col("page_text"))
     rows = rule_extract(rows, "any").withColumn(
@@ -36,4 +35,4 @@ def score_pages(pages: DataFrame, vector: list[float], vectoriser: Vectoriser,
     return explained.select(
         "page_id", "url", "title", "company", "seniority", "employment_type", "tech_stack",
         "min_years_exp", "is_relevant", SCORE, "fit_explanation",
-        snippet("page_text", "page_result").alias("description_text"), "page_status", "source")
+        F.col("page_text").alias("description_text"), "page_status", "source")

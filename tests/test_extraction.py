@@ -12,7 +12,7 @@ def test_batches_of_a_hot_source(spark):
     rows = enrich.extraction_batches(df).collect()
     assert sorted({r["postings"] for r in rows}) == [6, 14, 20] and sum(r["postings"] for r in rows) == 1000
     items = json.loads(next(r for r in rows if r["source"] == "hot" and r["batch"] == 1)["payload"])
-    assert [i["idx"] for i in items] == list(range(20)) and len(items[0]["description"]) == 4000 and items[0]["company"] == ""
+    assert [i["idx"] for i in items] == list(range(20)) and len(items[0]["description"]) == 5000 and items[0]["company"] == ""
 
 
 @pytest.mark.parametrize("response, want", [
@@ -39,6 +39,9 @@ def test_merge_keeps_postings_of_short_and_failed_batches(spark):
 @pytest.mark.parametrize("title, text, want", [
     ("Senior Data Engineer", "5+ years of Python, SQL. USD 90,000 - 120,000", ("Senior", "Full-time", 5, 90000.0, 120000.0, ["python", "sql"], "true")),
     ("Engineer", "part-time, node.js. Pay $75000", ("Mid", "Part-time", 0, 75000.0, None, ["node.js"], "false")),
+    ("Engineer", "3-5 years, 150 years of history; go to market. $90k - $120k", ("Mid", "Full-time", 3, 90000.0, 120000.0, [], "false")),
+    ("Engineer", "150 years old firm, 5 years of sql, 90000 EUR", ("Mid", "Full-time", 5, 90000.0, None, ["sql"], "false")),
+    ("Engineer", "7 yrs or 4 to 6 years. 85.5k eur", ("Mid", "Full-time", 4, 85500.0, None, [], "false")),
     ("Seniority analyst", "internal leader; 2019 yearslong", ("Mid", "Full-time", 0, None, None, [], "false")),
     (None, None, ("Mid", "Full-time", 0, None, None, [], "false"))])
 def test_rules(spark, title, text, want):
@@ -63,7 +66,8 @@ def test_explanations_fill_gaps_only(spark):
     rows = explain.explain_overlap(top, ["python"]).collect()
     assert [r["fit_explanation"] for r in rows] == ["Matching skills: python. Missing skills: go.", "kept"]
     request = explain.explain_requests(top, "pitch").collect()
-    assert len(request) == 1 and "Job: T at  ()" in request[0]["request"] and "0.500" in request[0]["request"]
+    sent = json.loads(request[0]["request"])
+    assert len(request) == 1 and (sent["title"], sent["company"], sent["score"], sent["candidate"]) == ("T", "", "0.500", "pitch")
 
 
 def test_digest_lines(spark):
@@ -72,7 +76,9 @@ def test_digest_lines(spark):
     lines = [json.loads(r["line"]) for r in explain.match_digest(top, "Robin", "2").collect()]
     assert lines[0] == {"candidate": {"name": "Robin", "profile_version": "2"}}
     assert lines[1] == {"title": "B", "company": "C", "location": "L", "similarity_score": 0.9, "description_snippet": ""}
-    assert lines[2] == {"title": "T", "similarity_score": 0.1235, "description_snippet": "d" * 800}
+    assert lines[2] == {"title": "T", "similarity_score": 0.1235, "description_snippet": "d" * 900}
+    cut = [json.loads(r["line"]) for r in explain.match_digest(top, "Robin", "2", chars=800).collect()]
+    assert cut[2]["description_snippet"] == "d" * 800
     row = explain.token_estimate(spark.createDataFrame([("a b c",), ("d",)], "clean_text string"),
                                  spark.createDataFrame([("x y",)], "line string")).first()
     assert (row["full_tokens"], row["digest_tokens"], row["percent"]) == (5, 2, 40.0)

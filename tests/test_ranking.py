@@ -102,6 +102,25 @@ def test_winner_has_the_higher_median(spark):
     assert report == {"A": (2, None), "B": (1, None), "C": (0, "no results")}
 
 
+def test_recommendation_rounds_exact_values(spark):
+    out = comparison(spark, [("A", 1, "A1", "c", "url1", 0.5125), ("B", 2, "B1", "c", "url2", 0.0625)])
+    assert "(0.512)" in out.recommendation.first()["recommendation"] and "(0.062)" in out.recommendation.first()["recommendation"]
+
+
+def test_statistics_move_no_value_by_its_group(spark):
+    from shortlist.operators.groups import value_stats
+
+    rows = spark.range(5000).select(F.lit("all").alias("g"), F.when(F.col("id") % 10 > 0, (F.col("id") * 7919 % 3001) / 8).alias("x"))
+    out = value_stats(rows, ["g"], "x", 10)
+    values = sorted(r["x"] for r in rows.collect() if r["x"] is not None)
+    row = out.first()
+    assert (row["rows"], row["missing"], row["min"], row["max"]) == (5000, 500, values[0], values[-1])
+    assert row["median"] == (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2 and row["nth_best"] == values[-10]
+    assert abs(row["mean"] - sum(values) / len(values)) < 1e-9
+    two = value_stats(rows.select((F.col("x") > 100).alias("g"), "x"), ["g"], "x").collect()
+    assert {r["g"]: r["rows"] for r in two} == {None: 500, True: sum(v > 100 for v in values), False: sum(v <= 100 for v in values)}
+
+
 def test_ties_go_to_the_earlier_strategy_and_urls_are_merged(spark):
     out = comparison(spark, [("A", 1, "A1", "c", "u", 0.5), ("B", 2, "B1", "c", "u", 0.5), ("B", 3, "B2", "c", "v", 0.5)])
     assert out.winner.first()["winner"] == "A"

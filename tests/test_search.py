@@ -65,9 +65,28 @@ def test_search_caps_a_hot_keyword_and_splits_large_grids(spark):
         "source string, keyword string, location string, position int")
     want = [("W3", None, 7 * i + 3) for i in range(5)] + [("engineer", "berlin", i) for i in range(5)]
     for limit in (100, 2):
-        hits = search_postings(posts, grid, 5, max_grid_rows=limit)
+        hits = search_postings(posts, grid, 5, max_words=limit)
         assert sorted(((r["keyword"], r["location"], r["id"]) for r in hits.collect()), key=str) == sorted(want, key=str)
     assert search_postings(posts, grid.filter("false"), 5).count() == 0
+    assert search_postings(posts, grid).count() == 3000 + sum(i % 7 == 3 for i in range(3000))
+
+
+def test_a_large_grid_reads_the_postings_once_and_is_not_broadcast_by_hand(spark):
+    posts = spark.range(50).select("id", F.lit("serper").alias("source"), F.lit("engineer").alias("title"),
+                                   F.concat(F.lit("in place"), F.col("id")).alias("description_text"), F.lit(None).cast("string").alias("location"))
+    grid = spark.range(20_000).select(F.lit("serper").alias("source"), F.lit("engineer").alias("keyword"),
+                                      F.concat(F.lit("place"), F.col("id")).alias("location"), F.col("id").alias("position"))
+    hits = search_postings(posts, grid)
+    text = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (0, 50") == 1 and "broadcast" not in text.lower()
+    assert hits.count() == sum(1 for i in range(50) for p in range(20_000) if f"place{p}" in f"engineer in place{i}")
+
+
+def test_sources_of_a_strategy(spark):
+    both = strategies(spark, ["kw"], ["Berlin", "Tokyo"]).withColumn("sources", F.array(F.lit("LinkedIn"), F.lit("japan"))).unionByName(
+        strategies(spark, ["other"], ["Berlin"]).withColumn("strategy", F.lit("t")).withColumn("sources", F.array(F.lit("builtin"))))
+    rows = search_plan(both).collect()
+    assert sorted((r["strategy"], r["source"]) for r in rows) == [("s", "japan_boards"), ("s", "linkedin"), ("t", "builtin")]
 
 
 @pytest.fixture(scope="module")

@@ -109,7 +109,7 @@ def plain_profile_text(p):
     parts = [p["summary"]["headline"], p["summary"]["elevator_pitch"]]
     for items in p["technical_skills"].values():
         parts += [" ".join(items)] * 2
-    for role in p["experience"][:4]:
+    for role in p["experience"]:
         parts += [f"{role['role']} at {role['company']}", role.get("summary", "")]
         for done in role.get("achievements", []):
             parts += [done["description"], done["impact"]]
@@ -124,7 +124,9 @@ def test_profile_text_and_skills(spark):
     text = profile_text(profile).first()["profile_text"]
     assert text == plain_profile_text(json.load(open(path))) and len(text) > 200
     skills = profile_skills(profile).first()["profile_skills"]
-    assert {"python", "n8n", "llm"} <= set(skills) and "fortran" not in skills and skills == sorted(set(skills))
+    assert {"abaqus", "mig welding", "leica", "steel"} <= set(skills) and skills == sorted(set(skills))
+    short = profile_text(profile, roles=4).first()["profile_text"]
+    assert "Apprentice welder" in text and "Apprentice welder" not in short
 
 
 def test_empty_profile(spark):
@@ -149,6 +151,6 @@ def test_ranking_quality_gates(spark):
 def test_rank_file(spark):
     profile = scan_profiles(spark, os.path.join(HERE, "profile.json"))
     out = rank_file(spark, os.path.join(HERE, "jobs.csv"), profile, HashedWords(), n=5)
-    assert out.top.count() == 5 and out.summary.first()["total_scored"] == 20 and out.digest.count() == 6
-    assert out.short_texts.first()["total"] == 20 and out.tokens.first()["percent"] > 0
+    assert out.top.count() == 5 and out.summary.first()["total_scored"] == 12 and out.digest.count() == 6
+    assert out.short_texts.first()["total"] == 12 and out.tokens.first()["percent"] > 0
     assert rank_frame(scan_postings(spark, os.path.join(HERE, "jobs.csv")), profile, HashedWords(), 5, min_score=0.99).top.count() == 0

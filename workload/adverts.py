@@ -67,5 +67,5 @@ PROFILE_TEXT_SQL = (
     "lower(c_mktsegment) || ' specialist' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' Works in ' || c_mktsegment END"
     " || ' Clarity ' || " + _SKILL_LINES
     + " || CASE WHEN c_custkey % 2 = 0 THEN ' genomics data ' || c_mktsegment || ' genomics' ELSE '' END || ' ' || "
-    + " || ' ' || ".join(_ROLE_TEXT.format(i) for i in range(1, 5))
+    + " || ' ' || ".join(_ROLE_TEXT.format(i) for i in range(1, 6))
     + " || ' Cloud Side Go LLM ' || c_mktsegment || ' LLM ' || c_mktsegment || ' Data Engineer BSc TU'")

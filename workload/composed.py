@@ -72,7 +72,7 @@ def _planned_strategies(spark, d):
         "position", F.ascii("strategy"))
 
 
-def _collected_sql(cap: int) -> list[str]:
+def _collected_sql() -> list[str]:
     """Hits of all strategies and the surviving rows, as named parts."""
     return [
         *PLAN_SQL,
@@ -80,11 +80,10 @@ def _collected_sql(cap: int) -> list[str]:
           SELECT strategy, source, keyword, position, unnest(CASE WHEN source = 'builtin' THEN {_CODES} ELSE [location] END) AS place
           FROM planned) GROUP BY ALL)""",
         """texts AS (SELECT *, lower(concat_ws(' ', title, description_text)) AS t, lower(coalesce(location, '')) AS w FROM postings)""",
-        """hits AS (SELECT *, row_number() OVER (PARTITION BY strategy, source, keyword, place ORDER BY id) AS hit FROM (
-          SELECT x.id, g.strategy, g.source, g.keyword, g.location AS place, g.position FROM coded g JOIN texts x
+        """hits AS (SELECT x.id, g.strategy, g.source, g.keyword, g.location AS place, g.position FROM coded g JOIN texts x
             ON x.source = g.source AND contains(x.t, lower(g.keyword))
-           AND (g.location IS NULL OR contains(x.w, lower(g.location)) OR contains(x.t, lower(g.location)))))""",
-        f"""wanted AS (SELECT strategy, id, min(position) AS position FROM hits WHERE hit <= {cap} GROUP BY ALL)""",
+           AND (g.location IS NULL OR contains(x.w, lower(g.location)) OR contains(x.t, lower(g.location))))""",
+        f"""wanted AS (SELECT strategy, id, min(position) AS position FROM hits GROUP BY ALL)""",
         """collected AS (SELECT * FROM (SELECT p.*, w.strategy AS searched, row_number() OVER (
           PARTITION BY w.strategy, trim(coalesce(p.url, '')) ORDER BY CASE p.source WHEN 'builtin' THEN 1 WHEN 'linkedin' THEN 2
           WHEN 'serper' THEN 3 ELSE 4 END, w.position, p.id) AS rn
@@ -102,9 +101,9 @@ SELECT strategy, id, source, nullif(trim(url), '') AS url, title, company, job_d
     {rules_sql("CASE WHEN searched = 'ECONOMY' THEN 'false' ELSE 'true' END")}
   FROM (SELECT *, salary_min AS s, lower(title) AS h, lower(description_text) AS b, lower(title) || chr(10) || lower(description_text) AS t
         FROM (SELECT id, searched, source, url, title, company, salary_min, description_text FROM collected)))""",
-    *_collected_sql(20)).replace("*, salary_min AS s, lower", "* EXCLUDE (salary_min), salary_min AS s, lower"))
+    *_collected_sql()).replace("*, salary_min AS s, lower", "* EXCLUDE (salary_min), salary_min AS s, lower"))
 def _collect_postings(spark, d):
-    out = collect_postings(landed(spark, d), _planned_strategies(spark, d), cap=20)
+    out = collect_postings(landed(spark, d), _planned_strategies(spark, d))
     return out.select("strategy", "id", "source", F.nullif(F.trim("url"), F.lit("")).alias("url"), "title",
                       F.coalesce("company", F.lit("")).alias("company"), "job_domain", "seniority",
                       "employment_type", "min_years_exp", "salary_min", "is_relevant")
@@ -193,7 +192,7 @@ SELECT ascii(searched) AS position, searched AS strategy, count(*) AS jobs, roun
 FROM (SELECT searched, {_LETTER_SCORED.format(letters_sql('clean'))} AS s FROM (
   SELECT searched, {best_text_sql(company="CASE WHEN source IN ('builtin', 'linkedin') THEN company ELSE '' END",
          fallback="CASE WHEN source IN ('builtin', 'linkedin') THEN description_text ELSE '' END")} AS clean FROM collected))
-GROUP BY searched""", *_collected_sql(10), _ME_SQL))
+GROUP BY searched""", *_collected_sql(), _ME_SQL))
 def _compare_searches(spark, d):
     me = profile_row(_me(spark, d), LETTERS)
     out = compare_searches(landed(spark, d), _planned_strategies(spark, d), me["vector"], LETTERS)
@@ -209,7 +208,7 @@ _PAGE_STATUS = "CASE WHEN length(body) < 100 THEN 'error' WHEN length(body) < 10
 @query("score_pages", f"""WITH {_ME_SQL},
 texts AS (SELECT page_id, url, {inner_html_sql(f"regexp_extract(html, '{_H1}', 1)")} AS title, {page_text_sql('html')} AS body FROM pages)
 SELECT page_id, url, title, page_status, seniority, employment_type, min_years_exp, tech_stack,
-  substring(body, 1, 1500) AS description_text, CASE WHEN page_status <> 'error' THEN round(score, 4) END AS similarity_score, 'snipe' AS source
+  body AS description_text, CASE WHEN page_status <> 'error' THEN round(score, 4) END AS similarity_score, 'snipe' AS source
 FROM (SELECT page_id, url, title, body, {_PAGE_STATUS} AS page_status, {rules_sql("'true'")},
         {_LETTER_SCORED.format(letters_sql(best_text_sql(title='title', company="''", text='body', fallback='body')))} AS score
       FROM (SELECT *, lower(title) AS h, lower(body) AS b, lower(title) || chr(10) || lower(body) AS t FROM texts))""")

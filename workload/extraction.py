@@ -26,14 +26,16 @@ def _batch_positions(spark, d):
 
 @query("extraction_batches", with_postings("""
 SELECT source, batch, CAST(count(*) AS INTEGER) AS postings, max(title) FILTER (idx = 0) AS first_title,
-  CAST(sum(length(substring(description_text, 1, 4000))) AS BIGINT) AS chars FROM placed GROUP BY source, batch""", _PLACED))
+  CAST(sum(length(description_text)) AS BIGINT) AS chars,
+  md5(string_agg(concat(title, '|', description_text), '|' ORDER BY idx)) AS digest FROM placed GROUP BY source, batch""", _PLACED))
 def _extraction_batches(spark, d):
     rows = postings(spark, d, "source", "title", "company", "description_text")
     out = enrich.extraction_batches(rows)
     items = F.from_json("payload", "array<struct<idx:int,title:string,description:string>>")
     return out.select(
         "source", "batch", "postings", F.get_json_object("payload", "$[0].title").alias("first_title"),
-        F.aggregate(items, F.lit(0).cast("bigint"), lambda a, i: a + F.length(i["description"])).alias("chars"))
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda a, i: a + F.length(i["description"])).alias("chars"),
+        F.md5(F.array_join(F.transform(items, lambda i: F.concat(i["title"], F.lit("|"), i["description"])), "|").cast("binary")).alias("digest"))
 
 
 # One response per part, in six shapes: array, object with a list, one object, one object with a
@@ -95,13 +97,20 @@ _VOCABULARY = str([v for v in TECH_VOCABULARY if "." not in v])
 _DOTTED = enrich.word_pattern([r"node\.js"])     # the one name with a dot
 
 
+def _amount_sql(group: int) -> str:
+    """Bound of the salary with its currency before it, or else behind it, in units."""
+    before, behind = (f"regexp_replace(regexp_extract(t, '{p}', {group}), '[,\\s]', '', 'g')" for p in (enrich.SALARY, enrich.SALARY_BEHIND))
+    text = f"CASE WHEN regexp_matches(t, '{enrich.SALARY}') THEN {before} ELSE {behind} END"
+    return f"CASE WHEN ends_with({text}, 'k') THEN CAST(replace({text}, 'k', '') AS DOUBLE) * 1000 ELSE CAST(nullif({text}, '') AS DOUBLE) END"
+
+
 def rules_sql(role: str) -> str:
     """Rule-extracted fields over columns h (title), b (text) and t (both), all in lower case."""
     return f"""coalesce({_first_word_sql('h', enrich.SENIORITY_WORDS)}, {_first_word_sql('b', enrich.SENIORITY_WORDS)}, 'Mid') AS seniority,
   coalesce({_first_word_sql('t', enrich.EMPLOYMENT_WORDS)}, 'Full-time') AS employment_type,
-  CASE WHEN length(regexp_extract(t, '{enrich.YEARS}', 1)) BETWEEN 1 AND 2 THEN CAST(regexp_extract(t, '{enrich.YEARS}', 1) AS INTEGER) ELSE 0 END AS min_years_exp,
-  CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 1), ',', ''), '') AS DOUBLE) AS salary_min,
-  CAST(nullif(replace(regexp_extract(t, '{enrich.SALARY}', 2), ',', ''), '') AS DOUBLE) AS salary_max,
+  coalesce(list_min([CAST(n AS INTEGER) FOR n IN regexp_extract_all(t, '{enrich.YEARS}', 1) IF length(n) <= 2]), 0) AS min_years_exp,
+  {_amount_sql(1)} AS salary_min,
+  {_amount_sql(2)} AS salary_max,
   array_to_string(list_sort(list_concat(list_distinct([w for w in regexp_split_to_array(t, '{enrich.WORD_BREAK}')
     if list_contains({_VOCABULARY}, w)]), CASE WHEN regexp_matches(t, '{_DOTTED}') THEN ['node.js'] ELSE [] END)), '|') AS tech_stack,
   {role} AS is_relevant"""
@@ -121,24 +130,26 @@ def _rule_extract(spark, d):
 
 
 def _top(spark, d, *columns):
-    rows = postings(spark, d, *columns, "embedding")
-    return top_k(cosine_scores(rows, profile_vector(spark, d)), 10)
+    """The ten best by key and score; their other columns are fetched for these ten alone."""
+    best = top_k(cosine_scores(postings(spark, d, "embedding"), profile_vector(spark, d)), 10)
+    return postings(spark, d, *columns).join(F.broadcast(best.select("id", "similarity_score")), "id")
 
 
 _TOP10 = "best AS (SELECT * FROM scored ORDER BY similarity_score DESC NULLS LAST, id LIMIT 10)"
 
 
 @query("explain_requests", with_scored("""
-SELECT id, concat('Say in two or three plain sentences why this posting fits the candidate or not; name matching skills and gaps.',
-  chr(10), chr(10), 'Candidate: I build pipelines.', chr(10), chr(10), 'Job: ', coalesce(title, ''), ' at ', coalesce(company, ''),
-  ' (', coalesce(location, ''), ')', chr(10), 'Similarity score: ', printf('%.3f', similarity_score), chr(10),
-  'Description: ', substring(description_text, 1, 600), chr(10), 'Tech stack: ', '["', replace(title, ' ', '","'), '"]', chr(10)) AS request
+SELECT id, 'fit_explanation' AS task, 'I build pipelines.' AS candidate, coalesce(title, '') AS title, coalesce(company, '') AS company,
+  coalesce(location, '') AS location, printf('%.3f', similarity_score) AS score,
+  '["' || replace(title, ' ', '","') || '"]' AS skills_asked, description_text AS description
 FROM best WHERE id % 3 <> 0""", _TOP10))
 def _explain_requests(spark, d):
     top = _top(spark, d, "title", "company", "location", "description_text")
     top = top.withColumn("tech_stack", F.split("title", " ")).withColumn(
         "fit_explanation", F.when(F.col("id") % 3 == 0, "known"))
-    return explain.explain_requests(top, "I build pipelines.").select("id", "request")
+    sent = F.from_json("request", "task string, candidate string, title string, company string, location string, score string, "
+                       "skills_asked string, description string")
+    return explain.explain_requests(top, "I build pipelines.").select("id", sent.alias("r")).select("id", "r.*")
 
 
 @query("explain_overlap", with_scored("""
@@ -167,9 +178,9 @@ def _digest(spark, d):
 
 @query("match_digest", with_scored(f"""
 SELECT {_CANDIDATE} AS candidate, NULL::VARCHAR AS title, NULL::VARCHAR AS company, NULL::VARCHAR AS location, NULL::VARCHAR AS url,
-  NULL::DOUBLE AS score, NULL::INTEGER AS snippet_chars
+  NULL::DOUBLE AS score, NULL::VARCHAR AS description
 UNION ALL SELECT NULL, title, company, location, nullif(url, ''), round(similarity_score, 4),
-  CAST(length(substring(description_text, 1, 800)) AS INTEGER) FROM best""", _TOP10))
+  description_text FROM best""", _TOP10))
 def _match_digest(spark, d):
     def field(path):
         return F.get_json_object("line", path)
@@ -178,11 +189,11 @@ def _match_digest(spark, d):
         field("$.candidate.name").alias("candidate"), field("$.title").alias("title"), field("$.company").alias("company"),
         field("$.location").alias("location"), field("$.url").alias("url"),
         field("$.similarity_score").cast("double").alias("score"),
-        F.length(field("$.description_snippet")).alias("snippet_chars"))
+        field("$.description_snippet").alias("description"))
 
 
 _RECORD = """CAST(to_json({'title': title, 'company': company, 'location': location, 'url': nullif(url, ''),
-  'similarity_score': round(similarity_score, 4), 'description_snippet': substring(description_text, 1, 800)}) AS VARCHAR)"""
+  'similarity_score': round(similarity_score, 4), 'description_snippet': description_text}) AS VARCHAR)"""
 
 
 @query("token_estimate", with_scored(f"""
@@ -203,7 +214,7 @@ def _profile_text(spark, d):
 
 @query("profile_skills", """
 SELECT c_custkey AS profile_id, array_to_string(list_sort(list_distinct(['python', 'sql', lower(c_mktsegment),
-  'nation_' || c_nationkey, 'spark', 'tool1', 'tool2', 'tool3', 'tool4', 'llm'])), '|') AS profile_skills FROM customer""")
+  'nation_' || c_nationkey, 'spark', 'tool1', 'tool2', 'tool3', 'tool4', 'tool5', 'llm'])), '|') AS profile_skills FROM customer""")
 def _profile_skills(spark, d):
     return profile_skills(profiles(spark, d)).select(
         "profile_id", F.array_join("profile_skills", "|").alias("profile_skills"))

@@ -85,19 +85,18 @@ def _filter_sites(spark, d):
 _HITS = f"""
 texts AS (SELECT id, source, lower(concat_ws(' ', title, description_text)) AS t,
   lower(coalesce(location, '')) AS w FROM postings),
-hits AS (SELECT *, row_number() OVER (PARTITION BY strategy, source, keyword, location ORDER BY id) AS hit FROM (
-  SELECT x.id, g.strategy, g.source, g.keyword, g.location, g.position FROM planned g JOIN texts x
+hits AS (SELECT x.id, g.strategy, g.source, g.keyword, g.location, g.position FROM planned g JOIN texts x
     ON x.source = g.source AND contains(x.t, lower(g.keyword))
-   AND (g.location IS NULL OR contains(x.w, lower(g.location)) OR contains(x.t, lower(g.location)))))"""
+   AND (g.location IS NULL OR contains(x.w, lower(g.location)) OR contains(x.t, lower(g.location))))"""
 
 
 @query("search_postings", with_postings(
-    "SELECT id, strategy, keyword, location, position, source, CAST(hit AS INTEGER) AS hit FROM hits WHERE hit <= 20",
+    "SELECT id, strategy, keyword, location, position, source FROM hits",
     *PLAN_SQL, _HITS))
 def _search_postings(spark, d):
     rows = postings(spark, d, "source", "title", "location", "description_text")
     grid = plan_sources(search_grid(strategies(spark, d)))
-    return search_postings(rows, grid, 20, ("strategy", "source", "keyword", "location"))
+    return search_postings(rows, grid)
 
 
 @query("collection_summary", with_postings(
