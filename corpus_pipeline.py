@@ -27,14 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     known = predict_language(docs, train_language(docs)).filter("lang_pred <> 'und'").select(
         "doc_id", F.col("lang_pred").alias("_lang")).dropDuplicates(["doc_id"])
-    kept = docs.filter(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
+    kept = docs.select(COLUMNS).filter(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
     return kept.join(known, "doc_id").withColumn("lang", F.col("_lang")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from every document but the first that has them; a document left without a line goes too."""
     lines = dedup_lines(docs.select(COLUMNS))
-    return with_length(lines.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines"))))
+    return with_length(lines.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
