@@ -29,6 +29,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it new."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def process_cache(name: str) -> dict:
     """A dictionary of this Python process that outlives a task (workers are reused)."""
     holder = sys.modules.setdefault("_shortlist_llm_cache", types.ModuleType("_shortlist_llm_cache"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import byte_chunks, mix, range_hashes, written
+from shortlist.llm.common import byte_chunks, mix, range_hashes, unused, written
 from shortlist.llm.components import components
 
 #: Characters of a shingle, bins of a signature, and bands of three bins: a pair of similarity 0.8 is missed once in 1,300.
@@ -205,7 +205,7 @@ def line_components(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All columns of `docs` with the text left of it, and _n_lines, _n_removed.
+    """All columns of `docs` with the text left of it, and n_lines, n_removed (with underscores where these names are taken).
 
     Lines are what line feeds part; blank ones are left alone. Lines whose sets of SHINGLE characters reach `percent`
     similarity are linked, and of every component (equal lines included) only the first line by doc_id, text and place
@@ -220,13 +220,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
         F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line").distinct(), "lines")
     place = F.struct("doc_id", "text_key", "line")
     first = places.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high")
+    own, own_text, cut = unused(docs.columns, "_key", "_text_key", "_gone")
+    counted, removed = unused(docs.columns, "n_lines", "n_removed")
     gone = places.join(first.select("group", "low"), "group").filter(place != F.col("low")).groupBy("doc_id", "text_key").agg(
-        F.collect_list("line").alias("_gone")).select(F.col("doc_id").alias("_key"), F.col("text_key").alias("_text_key"), "_gone")
-    keyed = docs.withColumns({"_key": key, "_text_key": F.xxhash64(text)}).join(gone, ["_key", "_text_key"], "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return keyed.withColumns({
-        text_column: F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n")),
-        "_n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long"),
-        "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    }).select(*docs.columns, "_n_lines", "_n_removed")
+        F.collect_list("line").alias(cut)).select(F.col("doc_id").alias(own), F.col("text_key").alias(own_text), cut)
+    keyed = docs.withColumns({own: key, own_text: F.xxhash64(text)}).join(gone, [own, own_text], "left")
+    lines = F.split(text_column, "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(cut), i))
+    return keyed.select(
+        *[F.when(F.col(cut).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_column else F.col(c)
+          for c in docs.columns],
+        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long").alias(counted),
+        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(removed))

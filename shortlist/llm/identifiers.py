@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import written
+from shortlist.llm.common import unused, written
 
 #: Patterns of the base kinds. Possessive repeats give the same matches without backtracking; a match begins where its
 #: run of characters begins or where the last match ended, so long runs are read once.
@@ -159,12 +159,13 @@ def redact(docs: DataFrame) -> DataFrame:
     def with_mark(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("mark")))
 
+    key, text_key, spans = unused(docs.columns, "_key", "_text_key", "_spans")
     found = find_identifiers(docs).select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key"), F.col("text_key").alias("_text_key"),
-        F.array_sort(F.concat(*[with_mark(k) for k in (*KINDS, "id")])).alias("_spans"))
-    found = found.filter(F.size("_spans") > 0).dropDuplicates(["_key", "_text_key"])
-    keyed = docs.withColumns({"_key": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))),
-                              "_text_key": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias(key), F.col("text_key").alias(text_key),
+        F.array_sort(F.concat(*[with_mark(k) for k in (*KINDS, "id")])).alias(spans))
+    found = found.filter(F.size(spans) > 0).dropDuplicates([key, text_key])
+    keyed = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))),
+                              text_key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
     kind = "struct<at:int,out:string>"
 
     def step(state: Column, s: Column) -> Column:
@@ -172,7 +173,7 @@ def redact(docs: DataFrame) -> DataFrame:
             state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), s["mark"])).otherwise(state["out"])
         return F.struct(F.greatest(s["end"], state["at"]).alias("at"), shown.alias("out")).cast(kind)
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step,
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step,
                         lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.char_length("text"))))
-    joined = keyed.join(found, ["_key", "_text_key"], "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    joined = keyed.join(found, [key, text_key], "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

@@ -41,7 +41,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+        "doc_id", "n_lines", "n_removed", "text")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
