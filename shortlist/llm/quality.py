@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on, at most (of those with the smallest id hashes).
 TRUSTED_ROWS = 20_000
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.09
 MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " \
            "n_grams long, ratio double"
 
@@ -51,13 +51,17 @@ def corpus_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     return marked.select("text", "trusted").mapInArrow(run, COUNTS)
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw); all zero without trusted text."""
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 20.0) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | raw); all zero without trusted text.
+
+    Each bucket has `smoothing` more n-grams in the raw text, and their expected share in the target: rare n-grams say
+    little, whatever the size of the corpus.
+    """
     names, matrix = count_matrix(counts, buckets, 2)
     rows = dict(zip(names, matrix, strict=True))
     if "target" not in rows or "raw" not in rows:
         return np.zeros(buckets, np.float32)
-    target, raw = rows["target"] + smoothing, rows["raw"] + smoothing
+    target, raw = rows["target"] + smoothing * rows["target"].sum() / rows["raw"].sum(), rows["raw"] + smoothing
     return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
 
 
