@@ -15,9 +15,11 @@ def smallest_neighbours(pairs: DataFrame) -> DataFrame:
 def star_step(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; edges are (a, b) with a > b."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lows = smallest_neighbours(both).withColumn("m", F.least("a", "m"))
+    # written before the join, so that Spark can split the rows of a node with very many edges
+    lows = written(smallest_neighbours(both).withColumn("m", F.least("a", "m")), "edges")
     large = both.join(lows, "a").filter("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    lows = smallest_neighbours(large)
+    large = written(large, "edges")
+    lows = written(smallest_neighbours(large), "edges")
     small = large.join(lows, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(lows.select("a", F.col("m").alias("b"))).distinct()
 
