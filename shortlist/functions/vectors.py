@@ -71,6 +71,13 @@ def encode_vector(col: Column | str) -> Column:
     return F.to_json(_col(col))
 
 
+def with_vectors(df):
+    """The rows with vectors that came as JSON text (from delimited files) decoded."""
+    if dict(df.dtypes).get("embedding") != "string":
+        return df
+    return df.withColumn("embedding", decode_vector("embedding"))
+
+
 def decode_vector(col: Column | str) -> Column:
     """Vector from JSON text; text that is not a list of numbers gives null."""
     parsed = F.from_json(_col(col), "array<float>")

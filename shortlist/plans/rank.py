@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shortlist.functions.text import word_count
+from shortlist.functions.vectors import with_vectors
 from shortlist.operators.embed import Vectoriser
 from shortlist.operators.explain import explain_overlap, match_digest, token_estimate
 from shortlist.operators.filters import (Prefilter, filter_min_score, prefilter, require_embeddings,
@@ -30,8 +31,13 @@ def top_jobs(df: DataFrame, vector: list[float], n: int | None = None, min_score
              rules: Prefilter | None = None, skills: list[str] | None = None, explain: bool = True,
              offset: int = 0, ties: tuple[str, ...] = ("id",), kernel: str = "expression",
              check: bool = True) -> Ranking:
-    """Best postings for a profile vector. Explanations are made for the top rows only."""
-    rows = prefilter(normalise_columns(df), rules or Prefilter())
+    """Best postings for a profile vector. Explanations are made for the top rows only.
+
+    Vectors may be JSON text, as a delimited file has them. Equal scores go by `ties`, or by title, company and url
+    where these columns are absent.
+    """
+    rows = prefilter(with_vectors(normalise_columns(df)), rules or Prefilter())
+    ties = tuple(c for c in ties if c in rows.columns) or tuple(c for c in ("title", "company", "url") if c in rows.columns)
     if check:
         require_embeddings(rows)
     scored = cosine_scores(rows, vector, kernel=kernel)

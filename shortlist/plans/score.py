@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shortlist.functions.text import best_text
+from shortlist.functions.vectors import with_vectors
 from shortlist.operators.embed import Vectoriser, embed, embed_incremental
 from shortlist.operators.profile import profile_skills, profile_text
 from shortlist.sources.ingest import normalise_columns
@@ -20,7 +21,7 @@ def posting_text(df: DataFrame) -> Column:
 
 def score_postings(df: DataFrame, vectoriser: Vectoriser, force: bool = False) -> DataFrame:
     """Give every posting a valid vector; `embedded_now` marks the rows that needed one."""
-    rows = normalise_columns(df)
+    rows = with_vectors(normalise_columns(df))
     rows = rows.withColumn("_text", posting_text(rows))
     return embed_incremental(rows, vectoriser, "_text", force).drop("_text")
 

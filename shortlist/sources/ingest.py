@@ -17,15 +17,36 @@ def scan_postings(spark: SparkSession, path: str | list[str], fmt: str = "csv",
                   schema: T.StructType | None = None) -> DataFrame:
     """Postings from delimited files or Parquet, with normalised column names.
 
-    CSV columns are strings; give a schema for data of many files, so that no header is looked up.
+    CSV columns are strings. Files of different headers are read with their own header each and then put together by
+    name, so neither order nor missing columns mix values up. The header lines are looked up with one Spark job over
+    the files' first blocks. A schema names the columns wanted and their types.
     """
-    if fmt == "csv":
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        raw = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    else:
+    if fmt != "csv":
         reader = spark.read.schema(schema) if schema else spark.read
-        raw = reader.format(fmt).load(path)
-    return normalise_columns(raw)
+        return normalise_columns(reader.format(fmt).load(path))
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if schema:
+        names = [f.name for f in schema.fields]
+        parts = [read_named(reader, files, names) for _, files in by_header(spark, path)]
+        raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+        return normalise_columns(raw.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+    parts = [normalise_columns(reader.csv(files)) for _, files in by_header(spark, path)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else normalise_columns(reader.csv(path))
+
+
+def by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str]]]:
+    """(header line, files with it). One line per file comes to the driver, as file names do anyway."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value").filter("block = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    return sorted((r["head"], sorted(r["files"])) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect())
+
+
+def read_named(reader, files: list[str], names: list[str]) -> DataFrame:
+    """The named columns of files with one header; those it lacks are null."""
+    raw = reader.csv(files)
+    return raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names])
 
 
 def scan_profiles(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:

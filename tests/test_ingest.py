@@ -2,6 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shortlist.lookups import CANONICAL_COLUMNS
 from shortlist.sources import ingest, sinks
@@ -95,3 +96,12 @@ def test_inventory(spark, tmp_path):
     rows = ingest.file_inventory(spark, [str(tmp_path / "data"), str(tmp_path / "none")]).collect()
     assert [(r["name"], r["location"], r["size_kb"]) for r in rows] == [("a.csv", "data", 2.0)]
     assert ingest.file_inventory(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_files_of_other_headers_keep_their_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,company,url\nA,CoA,http://a\n")
+    (tmp_path / "b.csv").write_text("company,url,title,salary\nCoB,http://b,\"B\nb\",7\n")
+    rows = sorted(tuple(r) for r in ingest.scan_postings(spark, str(tmp_path)).select("title", "company", "url", "salary").collect())
+    assert rows == [("A", "CoA", "http://a", None), ("B\nb", "CoB", "http://b", "7")]
+    typed = ingest.scan_postings(spark, str(tmp_path), schema=T.StructType([T.StructField("url", T.StringType()), T.StructField("salary", T.DoubleType())]))
+    assert sorted(tuple(r) for r in typed.collect()) == [("http://a", None), ("http://b", 7.0)]

@@ -15,6 +15,7 @@ from shortlist.plans.rank import rank_file, top_jobs
 from shortlist.plans.score import profile_row, score_postings
 from shortlist.session import scratch_path
 from shortlist.sources import sinks
+from shortlist.sources.ingest import scan_postings
 from workload.adverts import PROFILE_TEXT_SQL, profiles
 from workload.extraction import rules_sql
 from workload.letters import LETTERS, letters_sql
@@ -137,6 +138,34 @@ def _top_jobs(spark, d):
             .withColumn("similarity_score", F.round("similarity_score", 6)))
 
 
+@query("score_and_rank_csv", with_scored(f"""
+SELECT title, company, location, employment_type, coalesce(url, '') AS url, round(s.similarity_score, 6) AS similarity_score
+FROM scored s WHERE {_RELEVANT} AND {_SENIOR} AND {_EMPLOYED} AND {_PAID}
+ORDER BY s.similarity_score DESC NULLS LAST, title, company, s.url LIMIT 10"""))
+def _score_and_rank_csv(spark, d):
+    """Scored rows written as CSV without their ids, read again and ranked."""
+    path = sinks.write_raw(postings(spark, d).drop("id"), scratch_path(spark, "scored"))
+    ranking = top_jobs(scan_postings(spark, path), profile_vector(spark, d), 10, rules=RULES, explain=False)
+    return ranking.result.select("title", "company", "location", "employment_type", F.coalesce("url", F.lit("")).alias("url"),
+                                 F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@query("scan_mixed_files", """
+SELECT s_name AS title, 'supplier ' || s_nationkey AS company, 'https://x.example.com/s' || s_suppkey AS url, NULL::VARCHAR AS salary FROM supplier
+UNION ALL SELECT c_name, 'customer "' || c_nationkey || '", new', 'https://x.example.com/c' || c_custkey, CAST(c_custkey AS VARCHAR) FROM customer""")
+def _scan_mixed_files(spark, d):
+    """Two folders of files whose headers differ in order and number."""
+    one = table(spark, d, "supplier").select(
+        F.col("s_name").alias("title"), F.concat(F.lit("supplier "), "s_nationkey").alias("company"),
+        F.concat(F.lit("https://x.example.com/s"), "s_suppkey").alias("url"))
+    two = table(spark, d, "customer").select(
+        F.concat(F.lit('customer "'), "c_nationkey", F.lit('", new')).alias("company"),
+        F.concat(F.lit("https://x.example.com/c"), "c_custkey").alias("url"), F.col("c_name").alias("title"),
+        F.col("c_custkey").cast("string").alias("salary"))
+    paths = [sinks.write_raw(x, scratch_path(spark, "mixed")) for x in (one, two)]
+    return scan_postings(spark, paths).select("title", "company", "url", "salary")
+
+
 @query("top_jobs_summary", with_scored(f"""
 SELECT count(*) AS total_filtered, count(similarity_score) AS total_scored, round(max(similarity_score), 6) AS max_score,
   round(min(similarity_score), 6) AS min_score, round(median(similarity_score), 6) AS median_score
