@@ -119,7 +119,9 @@ def embed_incremental(df: DataFrame, vectoriser: Vectoriser, text: str, force: b
 
 def reuse_vectors(df: DataFrame, earlier: DataFrame, text: str, key: str = "id") -> DataFrame:
     """Take over vectors of an earlier run where id and text are unchanged."""
-    cached = earlier.select(key, F.xxhash64(text).alias("_hash"), "embedding", "embedding_model")
+    found = F.struct("embedding", "embedding_model")
+    cached = (earlier.groupBy(key, F.xxhash64(text).alias("_hash")).agg(F.min_by(found, "embedding_model").alias("_old"))
+              .select(key, "_hash", "_old.*"))      # one row per id and text, however many earlier runs there were
     fresh = df.drop("embedding", "embedding_model").withColumn("_hash", F.xxhash64(text))
     return fresh.join(cached, [key, "_hash"], "left").drop("_hash")
 

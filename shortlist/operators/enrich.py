@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from shortlist.functions.fields import contains_any
 from shortlist.functions.text import MIN_TEXT, bind, blank_to_null, page_text
 from shortlist.lookups import DOMAIN_ROLES, TECH_VOCABULARY
-from shortlist.operators.groups import first_per_group, numbered
+from shortlist.operators.groups import numbered
 from shortlist.schema import EXTRACTED
 
 BATCH = 20
@@ -20,9 +20,11 @@ def enrich_descriptions(hits: DataFrame, pages: DataFrame) -> DataFrame:
 
     Hits without url get a key of their own, so they spread over all tasks.
     """
-    page = first_per_group(
-        pages.select(F.col("url").alias("_key"), "page_id", "html"), ["_key"], [F.asc("page_id")])
-    page = page.select("_key", page_text("html").alias("_page"))
+    # chosen on keys alone, and only among urls that hits have; the text of no other page is made
+    asked = hits.select(F.col("url").alias("_key")).distinct()
+    first = pages.groupBy(F.col("url").alias("_key")).agg(F.min("page_id").alias("_page_id")).join(asked, "_key", "left_semi")
+    page = (pages.join(first, (pages["url"] == first["_key"]) & (pages["page_id"] == first["_page_id"]))
+            .select("_key", page_text("html").alias("_page")).dropDuplicates(["_key"]))
     key = F.coalesce(blank_to_null("url"), F.concat(F.lit("#"), F.col("id").cast("string")))
     body = F.when(F.length("_page") > MIN_TEXT, F.col("_page")).otherwise(F.col("description_snippet"))
     return (hits.withColumn("_key", key).join(page, "_key", "left")

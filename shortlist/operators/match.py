@@ -14,68 +14,73 @@ from shortlist.operators.groups import sliced, top_n_per_group
 MAX_BROADCAST_FLOATS = 16_000_000   # about 128 MB of doubles per pass
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths != 0)
-
-
 def match_profiles(postings: DataFrame, profiles: DataFrame, k: int = 10, digits: int = 6,
                    max_floats: int = MAX_BROADCAST_FLOATS) -> DataFrame:
-    """Top k postings (id, embedding) per profile (profile_id, embedding) by rounded cosine.
+    """Top k postings (id, embedding) per profile (profile_id, embedding) by cosine, rounded in the result.
 
-    Postings stay where they are; the profile matrix goes to the tasks in slices of at most
-    max_floats numbers, one pass per slice. Each task multiplies block by block and keeps k rows per
-    profile, so pairs are never materialised. Ties go to the smaller posting id.
+    Ids may be integers or strings. Postings stay where they are; the profile matrix goes to the tasks in slices of at
+    most max_floats numbers, one pass per slice. Each task multiplies block by block and keeps k rows per profile, so
+    pairs are never materialised. Scores that agree to twelve decimals are ties and go to the smaller posting id.
     """
     profiles = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
     wide = profiles.agg(F.max(F.size("embedding"))).first()[0]
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((postings, "id"), (profiles, "profile_id"))}
     if not wide:
         return postings.sparkSession.createDataFrame(
-            [], "profile_id long, id long, score double, rank int")
+            [], f"profile_id {kinds['profile_id']}, id {kinds['id']}, score double, rank int")
     rows = postings.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    passes = [_one_pass(rows, part, k, digits)
+    passes = [_one_pass(rows, part, k)
               for part in sliced(profiles, ["profile_id"], max(1, max_floats // wide))]
     best = reduce(DataFrame.unionByName, passes)
-    return top_n_per_group(best, ["profile_id"], [F.desc("score"), F.asc("id")], k)
+    ranked = top_n_per_group(best, ["profile_id"], [F.desc("score"), F.asc("id")], k)
+    return ranked.select(F.col("profile_id").cast(kinds["profile_id"]).alias("profile_id"),
+                         F.col("id").cast(kinds["id"]).alias("id"), F.round("score", digits).alias("score"), "rank")
 
 
-def _one_pass(postings: DataFrame, profiles: DataFrame, k: int, digits: int) -> DataFrame:
-    table = profiles.toArrow()      # size checked by the caller
-    ids = np.asarray(table["profile_id"], dtype=np.int64)
-    if not len(ids):
-        return postings.sparkSession.createDataFrame([], "profile_id long, id long, score double")
-    matrix = _unit(np.asarray(table["embedding"].combine_chunks().flatten(), dtype=np.float64)
-                   .reshape(len(ids), -1))
-    shared = postings.sparkSession.sparkContext.broadcast((ids, matrix))
+def _one_pass(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    whole = ("tinyint", "smallint", "int", "bigint")
+    types = {c: "long" if df.schema[c].dataType.simpleString() in whole else "string"
+             for df, c in ((postings, "id"), (profiles, "profile_id"))}
+    schema = f"profile_id {types['profile_id']}, id {types['id']}, score double"
+    postings = postings.withColumn("id", F.col("id").cast(types["id"]))
+    table = profiles.withColumn("profile_id", F.col("profile_id").cast(types["profile_id"])).toArrow()    # size checked by the caller
 
     # everything the tasks call is local, so workers need not have this package installed
+    def ids_of(column) -> np.ndarray:
+        return np.array(column.to_pylist(), dtype=np.str_ if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else np.int64)
+
     def unit(rows: np.ndarray) -> np.ndarray:
         lengths = np.linalg.norm(rows, axis=1, keepdims=True)
         return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths != 0)
 
+    if not table.num_rows:
+        return postings.sparkSession.createDataFrame([], schema)
+    ids = ids_of(table["profile_id"].combine_chunks())
+    matrix = unit(np.asarray(table["embedding"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1))
+    shared = postings.sparkSession.sparkContext.broadcast((ids, matrix))
+
     def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile_ids, targets = shared.value
-        top_ids = np.zeros((len(profile_ids), 0), dtype=np.int64)
-        top_scores = np.zeros((len(profile_ids), 0))
+        top_ids, top_scores = None, np.zeros((len(profile_ids), 0))
         step = max(k, 4_000_000 // len(profile_ids))
         for batch in batches:
-            posting_ids = np.asarray(batch.column(0), dtype=np.int64)
-            if not len(posting_ids):
+            if not batch.num_rows:
                 continue
+            posting_ids = ids_of(batch.column(0))
             block = unit(np.asarray(batch.column(1).flatten(), dtype=np.float64)
                           .reshape(len(posting_ids), -1))
             for at in range(0, len(posting_ids), step):
-                scores = np.round(targets @ block[at:at + step].T, digits)
-                all_ids = np.concatenate(
-                    [top_ids, np.broadcast_to(posting_ids[at:at + step], scores.shape)], axis=1)
+                scores = np.round(targets @ block[at:at + step].T, 12)
+                new_ids = np.broadcast_to(posting_ids[at:at + step], scores.shape)
+                all_ids = new_ids if top_ids is None else np.concatenate([top_ids, new_ids], axis=1)
                 all_scores = np.concatenate([top_scores, scores], axis=1)
                 order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
                 top_ids = np.take_along_axis(all_ids, order, axis=1)
                 top_scores = np.take_along_axis(all_scores, order, axis=1)
-        width = top_ids.shape[1]
-        if width:
+        if top_ids is not None:
+            width = top_ids.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(profile_ids, width)), pa.array(top_ids.ravel()),
+                [pa.array(np.repeat(profile_ids, width).tolist()), pa.array(top_ids.ravel().tolist()),
                  pa.array(top_scores.ravel())], names=["profile_id", "id", "score"])
 
-    return postings.mapInArrow(best_rows, "profile_id long, id long, score double")
+    return postings.mapInArrow(best_rows, schema)

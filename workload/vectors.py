@@ -105,10 +105,22 @@ def _decode_vectors(spark, d):
 
 @query("match_profiles", with_postings("""
 SELECT profile_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT profile_id, id, round(exact, 6) AS score, row_number() OVER (PARTITION BY profile_id ORDER BY exact DESC, id) AS rank FROM (
     SELECT v.vec_id AS profile_id, p.id,
-      round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score
+      round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS exact
     FROM embeddings v, postings p WHERE p.embedding IS NOT NULL)) WHERE rank <= 5"""))
 def _match_profiles(spark, d):
     profiles = table(spark, d, "embeddings").select(F.col("vec_id").alias("profile_id"), "embedding")
     return match_profiles(postings(spark, d, "embedding"), profiles, k=5)
+
+
+@query("match_profiles_text_ids", with_postings("""
+SELECT profile_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT profile_id, id, round(exact, 6) AS score, row_number() OVER (PARTITION BY profile_id ORDER BY exact DESC, id) AS rank FROM (
+    SELECT 'v' || v.vec_id AS profile_id, 'p' || p.id AS id,
+      round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS exact
+    FROM embeddings v, postings p WHERE p.embedding IS NOT NULL)) WHERE rank <= 3"""))
+def _match_profiles_text_ids(spark, d):
+    profiles = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("profile_id"), "embedding")
+    rows = postings(spark, d, "embedding").select(F.concat(F.lit("p"), "id").alias("id"), "embedding")
+    return match_profiles(rows, profiles, k=3)
