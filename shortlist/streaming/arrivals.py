@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from shortlist.operators.embed import Vectoriser, embed
 from shortlist.operators.ranking import cosine_scores
+from shortlist.plans.score import posting_text
 
 
 def stream_score(stream: DataFrame, vector: list[float], kernel: str = "expression") -> DataFrame:
@@ -13,6 +15,16 @@ def stream_score(stream: DataFrame, vector: list[float], kernel: str = "expressi
     return cosine_scores(stream, vector, kernel=kernel)
 
 
+def stream_score_text(stream: DataFrame, vector: list[float], vectoriser: Vectoriser,
+                      text: Column | None = None, kernel: str = "expression") -> DataFrame:
+    """Vectorise and score arriving postings by their text, or pages by `text` (for instance page_text("html")).
+
+    Text, vector and score are made row by row, so the result equals the batch one.
+    """
+    rows = stream.withColumn("clean_text", posting_text(stream) if text is None else text)
+    return stream_score(embed(rows, "clean_text", vectoriser), vector, kernel)
+
+
 def stream_dedup_url(stream: DataFrame, ts: str, delay: str, url: str = "url") -> DataFrame:
     """First arrival per url inside the watermark; the state holds one entry per live url."""
     return (stream.withColumn(ts, stream[ts].cast("timestamp")).withWatermark(ts, delay)

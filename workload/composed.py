@@ -16,12 +16,14 @@ from shortlist.plans.score import profile_row, score_postings
 from shortlist.session import scratch_path
 from shortlist.sources import sinks
 from shortlist.sources.ingest import scan_postings
+from shortlist.streaming.arrivals import run_available, stream_score_text
 from workload.adverts import PROFILE_TEXT_SQL, profiles
 from workload.extraction import rules_sql
 from workload.letters import LETTERS, letters_sql
 from workload.ranking import RULES, _COMPARED, _EMPLOYED, _PAID, _RELEVANT, _SENIOR, _scored_by_strategy, _strategies
 from workload.registry import query
 from workload.searching import _CODES, PLAN_SQL, strategies
+from workload.streams import stream_of
 from workload.sqltext import best_text_sql, inner_html_sql, page_text_sql, words_sql
 from workload.tables import postings, profile_vector, table, texts, with_postings, with_scored
 
@@ -228,6 +230,17 @@ def _compare_searches(spark, d):
     return out.strategies
 
 
+@query("stream_score_text", f"""WITH {_ME_SQL}
+SELECT doc_id, round({_LETTER_SCORED.format(letters_sql('text'))}, 5) AS similarity_score FROM documents""")
+def _stream_score_text(spark, d):
+    """Arriving documents, vectorised and scored as they come."""
+    me = profile_row(_me(spark, d), LETTERS)
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
+    arrivals = stream_of(spark, d, "documents").select("doc_id", "text")
+    run_available(stream_score_text(arrivals, me["vector"], LETTERS, F.col("text")).select("doc_id", "similarity_score"), out, state)
+    return spark.read.parquet(out).select("doc_id", F.round("similarity_score", 5).alias("similarity_score"))
+
+
 # -- pages -----------------------------------------------------------------------------------
 
 _H1 = "(?is)<h1(?:[\\s/][^>]*)?>(.*?)</h1\\s*>"

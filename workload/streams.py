@@ -10,7 +10,7 @@ from workload.registry import query
 from workload.tables import profile_vector, table
 
 
-def _stream(spark, d, name):
+def stream_of(spark, d, name):
     # a pattern, so that both one file and a folder of files can be followed
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}[.]parquet")
 
@@ -20,14 +20,14 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[],
   (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity_score FROM embeddings""")
 def _stream_score(spark, d):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    run_available(stream_score(_stream(spark, d, "embeddings"), profile_vector(spark, d)), out, state)
+    run_available(stream_score(stream_of(spark, d, "embeddings"), profile_vector(spark, d)), out, state)
     return spark.read.parquet(out).select("vec_id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 @query("stream_dedup_url", "SELECT DISTINCT concat('https://jobs.example.com/u/', user_id) AS url FROM events")
 def _stream_dedup_url(spark, d):
     out, state = scratch_path(spark, "stream"), scratch_path(spark, "state")
-    arrivals = _stream(spark, d, "events").withColumn(
+    arrivals = stream_of(spark, d, "events").withColumn(
         "url", F.concat(F.lit("https://jobs.example.com/u/"), F.col("user_id").cast("string")))
     run_available(stream_dedup_url(arrivals, "ts", "400 days"), out, state)
     return spark.read.parquet(out).select("url")
