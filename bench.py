@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,7 +25,7 @@ HEADLINE = [
     "merged_top_k", "dedup_url", "dedup_title_company_url", "union_sources", "html_to_text", "page_text",
     "best_text", "search_postings", "enrich_descriptions", "extraction_batches", "parse_extraction",
     "rule_extract", "embed_texts", "embed_incremental", "cosine_to_profile", "match_profiles", "profile_text",
-    "collect_postings", "score_postings", "top_jobs", "compare_scored", "score_pages", "rank_file",
+    "collect_postings", "score_postings", "top_jobs", "compare_scored", "compare_searches", "score_pages", "rank_file",
     "stream_score", "stream_dedup_url",
 ]
 
@@ -36,7 +37,7 @@ def main() -> None:
     all_queries, _ = load()
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(all_queries) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
-    spark = local_session(cpus, partitions=int(cpus))
+    spark = local_session(cpus, partitions=int(cpus), spark__checkpoint__dir=tempfile.mkdtemp(prefix="shortlist-bench-"))
     times: dict[str, float] = {}
     for name in names:
         taken = []

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,4 +11,5 @@ from shortlist.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, partitions=4)
+    # the shared folder is named as on a cluster, so that this way is the one that is tested
+    return local_session(8, partitions=4, spark__checkpoint__dir=tempfile.mkdtemp(prefix="shortlist-tests-"))
