@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from workload import load
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = load()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -26,7 +28,7 @@ def test_entry(spark):
     assert 0 < len(rows) <= 10
 
 
-SHRINK_FIRST = {"dedup_url", "dedup_title_company_url", "top_n_per_strategy", "search_postings", "match_profiles"}
+SHRINK_FIRST = {"dedup_url", "dedup_title_company_url", "top_n_per_strategy", "match_profiles"}
 BUILT_IN = {"html_to_text", "rule_extract", "embed_texts", "embed_incremental", "cosine_to_profile", "profile_text"}
 TOP_ONLY = {"top_k", "next_page", "project_result", "top_jobs", "merged_top_k"}
 
