@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shortlist.llm.blocks import links_across, open_groups
 from shortlist.llm.common import byte_chunks, mix, range_hashes, unused, written
 from shortlist.llm.components import components
 
@@ -150,28 +151,30 @@ def line_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return written(found.join(needed, "node", "left_semi").dropDuplicates(["node"]), "lines")
 
 
+def line_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of texts of one line each."""
+    out = []
+    for _, _, data, offsets in byte_chunks(column):
+        points, first, end, row, _ = split_lines(data, offsets)
+        values, _ = line_nodes(points, first, end)
+        hashes, line = shingle_hashes(values, first, end)
+        bounds = np.searchsorted(row[line], np.arange(len(offsets)))
+        out += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose lines' shingle sets reach the threshold."""
     texts = line_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, _, data, offsets in byte_chunks(column):
-            points, first, end, row, _ = split_lines(data, offsets)
-            values, _ = line_nodes(points, first, end)
-            hashes, line = shingle_hashes(values, first, end)
-            bounds = np.searchsorted(row[line], np.arange(len(offsets)))
-            out += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                for i, (x, y) in enumerate(zip(sets(part.column(2)), sets(part.column(3)), strict=True)):
+                for i, (x, y) in enumerate(zip(line_sets(part.column(2)), line_sets(part.column(3)), strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good[lo + i] = 100 * both >= percent * (len(x) + len(y) - both)
             keep = np.flatnonzero(good)
@@ -183,24 +186,19 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def line_components(docs: DataFrame, percent: int) -> DataFrame:
     """node, component of the lines that are similar to another line.
 
-    Each member of a band's list meets the list's hub (another one in every band). Lists that then still hold several
-    components compare their members across these.
+    Each member of a band's list meets the list's hub, its smallest node. Lists that then still hold several
+    components compare their members' full sets across these, in blocks.
     """
     lists = written(shared_keys(band_keys(docs)), "lines")
-    hubs = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", "v").alias("h"), "node")).alias("hub"))
-    met = lists.join(hubs, "v").select("node", F.col("hub.node").alias("hub")).filter("node <> hub")
+    hubs = written(lists.groupBy("v").agg(F.min("node").alias("hub")), "lines")
+    met = lists.join(hubs, "v").select("node", "hub").filter("node <> hub")
     tried = written(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "lines")
     links = similar_pairs(tried, docs, percent)
     found = written(components(links), "lines")
-    placed = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("v")
-    rest = written(placed.join(split, "v"), "lines")
-    x, y = (rest.select("v", F.col("node").alias(f"node_{s}"), F.col("component").alias(f"component_{s}")) for s in "xy")
-    across = x.join(y, "v").filter("component_x < component_y").select(
-        F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    more = written(across.join(tried, ["a", "b"], "left_anti"), "lines")
-    if not more.isEmpty():
-        found = written(components(links.unionByName(similar_pairs(more, docs, percent))), "lines")
+    groups = open_groups(lists, hubs, found)
+    if not groups.isEmpty():
+        texts = line_texts(docs, groups.select("node").distinct())
+        found = written(components(links.unionByName(links_across(groups, texts, line_sets, percent))), "lines")
     return found
 
 

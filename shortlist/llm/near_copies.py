@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shortlist.llm.blocks import links_across, open_groups
 from shortlist.llm.common import byte_chunks, byte_values, mix, range_hashes, windows_of, word_spans, written
 from shortlist.llm.components import components
 
@@ -19,8 +19,6 @@ RETAINED = 48
 SHARED = 0.6
 #: Estimates this far below the threshold (five deviations) are still verified.
 SLACK = 0.25
-#: Shingles of a block of documents that are compared with each other.
-BLOCK_SHINGLES = 150_000
 SKETCH = "doc_id long, n_shingles long, hi long, lo long, sketch array<long>"
 
 
@@ -107,56 +105,6 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return written(full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "near")
 
 
-def open_groups(lists: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
-    """hub, node, n, component of the lists that still hold several components, lists with the same centre together."""
-    placed = lists.join(found, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("v")
-    named = written(split.join(hubs.select("v", F.col("centre.node").alias("hub")), "v"), "near")
-    return written(placed.join(named, "v").select("hub", "node", "n", "component").distinct(), "near")
-
-
-def links_across(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links that join the components of each group, from exact intersections of all full sets across components.
-
-    A group is dealt into blocks of about BLOCK_SHINGLES and each pair of blocks is one task, so memory is bounded for a
-    group of any size; a task counts intersections along its own inverted lists and gives a link only where it joins two
-    components that no earlier link of the task joined.
-    """
-    sums = groups.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = groups.join(written(sums, "near"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("hub", "node", "component", "block", other).select(
-        "hub", "node", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    texts = written(docs.join(groups.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(
-        F.col("doc_id").alias("node"), "text"), "near")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["component"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [s for _, part in shingle_sets(pa.array(pdf["text"], pa.large_string()), size) for s in part]
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, which = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(which))])
-        nodes, component = pdf["node"].to_numpy(), pdf["component"].to_numpy().copy()
-        names, label, number = np.unique(component, return_inverse=True, return_counts=True)
-        ends, links = np.concatenate([[0], np.cumsum(sizes)]), []
-        for i in np.flatnonzero(label != number.argmax()):
-            own = which[ends[i]:ends[i + 1]]
-            begin, count = starts[own], starts[own + 1] - starts[own]
-            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            both = np.bincount(holders[at], minlength=len(sets))
-            near = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (both > 0) & (component != component[i]))
-            for j in near:
-                if component[j] != component[i]:
-                    links.append((nodes[i], nodes[j]))
-                    component[component == component[j]] = component[i]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return written(dealt.join(texts, "node").groupBy("hub", "x", "y").applyInPandas(run, "a long, b long"), "near")
-
-
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int = RETAINED, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked at `percent` similarity of word shingles.
@@ -171,7 +119,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     marked = written(sketches(rows, size, k), "near")
     known = marked.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    owners = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
+    owners = written(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "near")
     nodes = written(known.join(owners, ["hi", "lo"]).filter("doc_id = node").select(
         "node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"]), "near")
     lists = written(rare_lists(nodes, k), "near")
@@ -187,9 +135,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     tried = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b").distinct(), "near")
     links = verified(tried, rows, size, percent)
     found = written(components(links), "near")
-    groups = open_groups(lists, hubs, found)
+    groups = open_groups(lists, hubs.select("v", F.col("centre.node").alias("hub")), found)
     if not groups.isEmpty():
-        found = written(components(links.unionByName(links_across(groups, rows, size, percent))), "near")
+        texts = written(rows.join(groups.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(
+            F.col("doc_id").alias("node"), "text"), "near")
+        more = links_across(groups, texts, lambda c: [s for _, sets in shingle_sets(c, size) for s in sets], percent)
+        found = written(components(links.unionByName(more)), "near")
 
     out = marked.select("doc_id", "n_shingles", "hi", "lo").join(owners, ["hi", "lo"], "left")
     out = out.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))
