@@ -163,9 +163,8 @@ def line_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines' shingle sets reach the threshold."""
-    texts = line_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines' (node, text) shingle sets reach the threshold."""
     full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -174,8 +173,11 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             good = np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                for i, (x, y) in enumerate(zip(line_sets(part.column(2)), line_sets(part.column(3)), strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                nodes, place, back = np.unique(np.concatenate([part.column(0), part.column(1)]), return_index=True, return_inverse=True)
+                sets = line_sets(pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(place)))
+                for i in range(part.num_rows):
+                    x, y = sets[back[i]], sets[back[i + part.num_rows]]
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                     good[lo + i] = 100 * both >= percent * (len(x) + len(y) - both)
             keep = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
@@ -193,11 +195,11 @@ def line_components(docs: DataFrame, percent: int) -> DataFrame:
     hubs = written(lists.groupBy("v").agg(F.min("node").alias("hub")), "lines")
     met = lists.join(hubs, "v").select("node", "hub").filter("node <> hub")
     tried = written(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "lines")
-    links = similar_pairs(tried, docs, percent)
+    texts = line_texts(docs, lists.select("node").distinct())
+    links = similar_pairs(tried, texts, percent)
     found = written(components(links), "lines")
     groups = open_groups(lists, hubs, found)
     if not groups.isEmpty():
-        texts = line_texts(docs, groups.select("node").distinct())
         found = written(components(links.unionByName(links_across(groups, texts, line_sets, percent))), "lines")
     return found
 
@@ -217,10 +219,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     places = written(line_places(rows).join(found, "node", "left").select(
         F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line").distinct(), "lines")
     place = F.struct("doc_id", "text_key", "line")
-    first = places.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high")
+    first = written(places.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high").select("group", "low"), "lines")
     own, own_text, cut = unused(docs.columns, "_key", "_text_key", "_gone")
     counted, removed = unused(docs.columns, "n_lines", "n_removed")
-    gone = places.join(first.select("group", "low"), "group").filter(place != F.col("low")).groupBy("doc_id", "text_key").agg(
+    gone = places.join(first, "group").filter(place != F.col("low")).groupBy("doc_id", "text_key").agg(
         F.collect_list("line").alias(cut)).select(F.col("doc_id").alias(own), F.col("text_key").alias(own_text), cut)
     keyed = docs.withColumns({own: key, own_text: F.xxhash64(text)}).join(gone, [own, own_text], "left")
     lines = F.split(text_column, "\n", -1)
