@@ -54,19 +54,20 @@ class PieceTransducer:
         self.out = [bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else
                     b"" if p.type in (kinds.CONTROL, kinds.UNKNOWN) else p.piece.replace(SPACE, " ").encode()
                     for p in model.pieces]
-        self.trie: dict[str, list] = {}
+        self.trie: dict = {}
         for piece, number in self.ids.items():
-            level = self.trie
+            node = self.trie
             for c in piece:
-                node = level.setdefault(c, [None, {}])
-                level = node[1]
-            node[0] = number
+                node = node.setdefault(c, {})
+            node[None] = number
         # no piece holds a mark behind another character, so paths through the parts below never depend on each other
         separate = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if separate else r"(?s).+")
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.weights: dict[tuple[int, int], float] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.finite: dict[int, dict[int, bool]] = {}
+        self.arcs = 0
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.text = [p.piece for p in model.pieces]
 
     def halves(self, piece: int) -> tuple[int, int] | None:
@@ -115,54 +116,80 @@ class PieceTransducer:
             return INFINITE
         return 0.0 if before < 0 or self.apart(before, piece) else INFINITE
 
-    def shortest_path(self, text: str) -> tuple[int, ...]:
-        """Compose with one part and take the shortest path.
+    def shortest_path(self, text: str) -> list[int]:
+        """Compose with one part and take the shortest path; one state is kept for each position.
 
-        In a merge model every position has one state with a finite path (the segmentation of the text before it), in a
-        unigram model only the cheapest state of a position can go on; so one state is kept for each position.
+        In a unigram model only the cheapest state of a position can go on. In a merge model every position has exactly
+        one state with a finite path, the segmentation of the text before it; so the first one found is taken.
         """
         n = len(text)
-        cost, last, came = [INFINITE] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
-        cost[0] = 0.0
-        weights, trie = self.weights, self.trie
-        for i in range(n):
-            here, before = cost[i], last[i]
-            if here == INFINITE:
-                continue
-            node, j = trie.get(text[i]), i + 1
-            if node is None or node[0] is None:
-                if here + FALLBACK_COST < cost[j]:
-                    cost[j], last[j], came[j] = here + FALLBACK_COST, -1, i
-            while node is not None:
-                arc = node[0]
-                if arc is not None:
-                    key = (before, arc)
-                    w = weights.get(key)
-                    if w is None:
-                        w = weights[key] = self.weight(before, arc)
-                    if here + w < cost[j]:
-                        cost[j], last[j], came[j] = here + w, arc, i
-                if j == n:
-                    break
-                node, j = node[1].get(text[j]), j + 1
+        last, came = [-2] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        if self.merges:
+            finite = self.finite
+            for i in range(n):
+                known, node, j = finite.get(last[i]), self.trie.get(text[i]), i
+                if known is None:
+                    known = finite[last[i]] = {}
+                if node is None or None not in node:
+                    last[i + 1], came[i + 1] = -1, i
+                while node is not None:
+                    j += 1
+                    arc = node.get(None)
+                    if arc is not None and last[j] == -2:
+                        good = known.get(arc)
+                        if good is None:
+                            good = known[arc] = self.weight(last[i], arc) < INFINITE
+                            self.arcs += 1
+                        if good:
+                            last[j], came[j] = arc, i
+                    if j == n:
+                        break
+                    node = node.get(text[j])
+        else:
+            cost = [0.0] + [INFINITE] * n
+            for i in range(n):
+                node, j = self.trie.get(text[i]), i
+                if (node is None or None not in node) and cost[i] + FALLBACK_COST < cost[i + 1]:
+                    cost[i + 1], last[i + 1], came[i + 1] = cost[i] + FALLBACK_COST, -1, i
+                while node is not None:
+                    j += 1
+                    arc = node.get(None)
+                    if arc is not None and (total := cost[i] + self.weight(last[i], arc)) < cost[j]:
+                        cost[j], last[j], came[j] = total, arc, i
+                    if j == n:
+                        break
+                    node = node.get(text[j])
         ids: list[int] = []
         while n:
-            piece = last[n]
-            ids.extend([piece] if piece >= 0 else [self.bytes[b] for b in reversed(text[came[n]:n].encode())])
-            n = came[n]
-        return tuple(reversed(ids))
+            piece, i = last[n], came[n]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend([self.bytes[x] for x in reversed(text[i:n].encode())])
+            n = i
+        ids.reverse()
+        return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text. Paths of parts are kept in two generations, so frequent ones stay when memory is bounded."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        if self.arcs > 4 * CACHE_WORDS:
+            self.finite, self.arcs = {}, 0
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        if len(self.words) > CACHE_WORDS or len(self.weights) > 4 * CACHE_WORDS:
-            self.words.clear()
-            self.weights.clear()
-        known, parts = self.words, self.parts.findall(text)
-        for p in set(parts).difference(known):
-            known[p] = self.shortest_path(p)
-        return [i for p in parts for i in known[p]]
+        known, older, out = self.words, self.older, []
+        for p in self.parts.findall(text):
+            path = known.get(p)
+            if path is None:
+                path = older.get(p)
+                if path is None:
+                    path = np.array(self.shortest_path(p), "<i4").tobytes()
+                known[p] = path
+            out.append(path)
+        return np.frombuffer(b"".join(out), "<i4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The inverse: bytes of all pieces, without the mark that was put first; broken bytes become U+FFFD."""
@@ -193,7 +220,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id", t
         for batch in batches:
             texts = texts_of(batch.column(1))
             for at in range(0, batch.num_rows, 256):
-                ids = [np.array(machine.encode(t), np.int32) for t in texts.slice(at, 256).to_pylist()]
+                ids = [machine.encode(t) for t in texts.slice(at, 256).to_pylist()]
                 sizes = np.array([len(x) for x in ids], np.int32)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
