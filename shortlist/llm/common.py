@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shortlist.session import scratch_path
 
 #: Bytes of text that a task looks at together.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: White space of all word definitions here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 

@@ -173,17 +173,18 @@ def drop_repeated_passages(docs: DataFrame, size: int = 50, id_column: str = "do
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     stats = written(digests(rows, size), "passages")
     known = stats.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= size))
-    owners = known.groupBy("digest").agg(F.min("doc_id").alias("owner"))
+    owners = written(known.groupBy("digest").agg(F.min("doc_id").alias("owner")), "passages")
 
     anchors = known.select("digest", F.substring("digest", 1, 8).alias("short"), F.explode("anchors").alias("anchor"))
+    # what is counted by key is written before it is joined by that key: then Spark can split the rows of a frequent key
     recurring = anchors.groupBy("anchor").agg(F.min("short").alias("a"), F.max("short").alias("b")).filter("a < b")
-    carried = anchors.join(recurring.select("anchor"), "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
+    carried = anchors.join(written(recurring.select("anchor"), "passages"), "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
     carried = carried.join(owners, "digest").select(F.col("owner").alias("doc_id"), "digest", "anchors")
     candidates = written(rows.join(carried, "doc_id"), "passages")
 
-    windows = candidate_windows(candidates, size)
+    windows = written(candidate_windows(candidates, size), "passages")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    hit = windows.join(first.select("w1", "w2", "low"), ["w1", "w2"]).filter("doc_id > low")
+    hit = windows.join(written(first.select("w1", "w2", "low"), "passages"), ["w1", "w2"]).filter("doc_id > low")
     starts = hit.groupBy("doc_id", F.col("digest").alias("short")).agg(F.collect_set("start").alias("starts"))
     affected = candidates.join(starts, "doc_id").filter(F.substring("digest", 1, 8) == F.col("short"))
     cut = cut_windows(affected, size).dropDuplicates(["doc_id", "digest"])
