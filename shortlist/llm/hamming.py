@@ -46,7 +46,12 @@ def masks(radius: int) -> np.ndarray:
 
 
 def best_of(query: np.ndarray, row: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int):
-    """The k nearest rows of every query among the given pairs, ties by id."""
+    """The k nearest ids of every query among the given pairs, each at its smallest distance, ties by id."""
+    order = np.lexsort((distance, ids[row], query))
+    query, row, distance = query[order], row[order], distance[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[row[1:]] != ids[row[:-1]])
+    query, row, distance = query[new], row[new], distance[new]
     order = np.lexsort((ids[row], distance, query))
     query, row, distance = query[order], row[order], distance[order]
     first = np.searchsorted(query, query)
@@ -54,10 +59,18 @@ def best_of(query: np.ndarray, row: np.ndarray, distance: np.ndarray, ids: np.nd
     return query[keep], row[keep], distance[keep]
 
 
+def different(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Positions of the rows without those that repeat another's id and code."""
+    order = np.lexsort((*rows.T, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    return np.sort(order[new])
+
+
 def probe(codes: DataFrame, query_ids: np.ndarray, query_codes: np.ndarray, radius: int, k: int) -> DataFrame:
-    """For each block of rows the k nearest of those with a segment at exactly `radius` from the query's.
+    """For each block of rows the k nearest ids of those with a segment at exactly `radius` from the query's.
 
-    A block's index lists its rows by segment value; the values at that radius are looked up, or all rows are tested
+    Equal rows of a block count once. A block's index lists its rows by segment value; the values at that radius are looked up, or all rows are tested
     where there are fewer of them than values.
     """
     shared = codes.sparkSession.sparkContext.broadcast((query_ids, query_codes))
@@ -70,6 +83,8 @@ def probe(codes: DataFrame, query_ids: np.ndarray, query_codes: np.ndarray, radi
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
+            once = different(ids, rows)
+            ids, rows = ids[once], rows[once]
             lists = []
             for s in range(rows.shape[1]):
                 order = np.argsort(rows[:, s], kind="stable")

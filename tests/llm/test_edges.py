@@ -133,3 +133,22 @@ def test_hamming(spark):
     assert [(r.query_id, r.id, r.distance) for r in out][:2] == [(0, 0, 0), (0, 100, 0)] and len(out) == 3
     assert nearest_codes(df, df.filter("vec_id = 0"), k=50).count() == 31
     assert nearest_codes(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_hamming_repeated_ids(spark):
+    """More copies of an id than k in one batch take no other id's place, and an id with several codes counts once."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(40)]
+    rows = [v for v in vectors for _ in range(2)] + [vectors[3]] * 60
+    rows += [(3, [x if j != p else -x for j, x in enumerate(vectors[0][1])]) for p in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([vectors[i] for i in (0, 3, 7)], df.schema)
+    bits = {}
+    for i, v in rows:
+        bits.setdefault(i, []).append(np.array(v) > 0)
+    out = {}
+    for r in nearest_codes(df, asked, k=5).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.distance, r.id))
+    for q in (0, 3, 7):
+        own = np.array(vectors[q][1]) > 0
+        assert out[q] == sorted((min(int((own != b).sum()) for b in codes), i) for i, codes in bits.items())[:5]
