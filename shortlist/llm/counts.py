@@ -18,10 +18,11 @@ class TaskCounts:
     def __init__(self, buckets: int, most_classes: int = 64):
         self.buckets, self.most, self.by = buckets, most_classes, {}
 
-    def add(self, name: str, codes: np.ndarray) -> None:
+    def add(self, name: str, codes: np.ndarray, times: np.ndarray | None = None) -> None:
+        """times: whole numbers, how often each code counts; once without it."""
         if name not in self.by:
             self.by[name] = np.zeros(self.buckets, np.int64)
-        self.by[name] += np.bincount(codes, minlength=self.buckets)
+        self.by[name] += np.bincount(codes, times, self.buckets).astype(np.int64)
 
     def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
         if last or len(self.by) > self.most:

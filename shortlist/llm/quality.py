@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import byte_chunks, byte_values, mix, range_hashes, windows_of, word_spans
+from shortlist.llm.common import byte_chunks, byte_values, mix, range_hashes, windows_of, word_spans, written
 from shortlist.llm.counts import COUNTS, TaskCounts, count_matrix
 
 BUCKETS = 1 << 16
@@ -17,6 +17,10 @@ BUCKETS = 1 << 16
 TRUSTED_ROWS = 20_000
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
 THRESHOLD = -0.09
+#: Parts of one n-gram that weighted counts are kept in, and rounds that fit the weights to the shares of all groups at most.
+SCALE, FITTING_STEPS = 1 << 16, 200
+#: Columns whose mix in the raw text is made that of the trusted text.
+GROUPS = ("lang", "source")
 MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " \
            "n_grams long, ratio double"
 
@@ -29,26 +33,88 @@ def gram_codes(hashes: np.ndarray, bounds: np.ndarray, buckets: int) -> list[np.
     return [np.concatenate([one[a:b], two[a:max(a, b - 1)]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """class (`raw` over every document, `target` over the trusted ones), bucket, n."""
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+def marked_rows(docs: DataFrame, trusted: DataFrame, group_columns: tuple[str, ...]) -> DataFrame:
+    """text, trusted, and what each group column holds (null as the empty text) as `groups`."""
+    groups = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in group_columns]).cast("array<string>").alias("groups")
+    return docs.join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left").select(
+        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), groups)
+
+
+def group_weights(marked: DataFrame, columns: int) -> dict[tuple[str, ...], int]:
+    """For each combination of groups how much its raw n-grams count, in SCALE-ths.
+
+    Weighted so, every group of every column has the same share of the raw n-grams as of the trusted ones, so a ratio does
+    not tell how much of a language or source is labelled. Groups without trusted text count nothing. The combinations
+    are those of groups that trusted documents have.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, ...], list[int]] = {}
+        for batch in batches:
+            good, groups = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for first, _, data, offsets in byte_chunks(batch.column(0)):
+                words = np.diff(word_spans(data, offsets)[2])
+                for i, n in enumerate(np.maximum(2 * words - 1, 0).tolist()):
+                    own = sums.setdefault(tuple(groups[first + i]), [0, 0])
+                    own[0] += n
+                    own[1] += n * good[first + i]
+            if len(sums) > 100_000:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+
+    def rows(sums: dict[tuple[str, ...], list[int]]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([list(k) for k in sums], pa.list_(pa.string())), pa.array([x for x, _ in sums.values()], pa.int64()),
+             pa.array([x for _, x in sums.values()], pa.int64())], names=["groups", "raw", "target"])
+
+    cells = written(marked.mapInArrow(run, "groups array<string>, raw long, target long").groupBy("groups").agg(
+        F.sum("raw").alias("raw"), F.sum("target").alias("target")), "quality")
+    total, used = cells.agg(F.sum("raw")).first()[0] or 0, cells
+    for c in range(columns):
+        known = cells.filter("target > 0").select(F.col("groups")[c].alias("known")).distinct()
+        used = used.join(known, F.col("groups")[c] == F.col("known"), "left_semi")
+    table = used.toArrow()
+    keys = [tuple(k) for k in table.column("groups").to_pylist()]
+    raw, target = (table.column(c).to_numpy().astype(float) for c in ("raw", "target"))
+    if not target.sum():
+        return {}
+    weights = np.full(len(keys), total / target.sum())
+    sides = [np.unique([k[c] for k in keys], return_inverse=True)[1] for c in range(columns)] or [np.zeros(len(keys), np.int64)]
+    for _ in range(FITTING_STEPS):
+        before = weights.copy()
+        for side in sides:
+            have, wanted = np.bincount(side, weights * raw), np.bincount(side, target) * total / target.sum()
+            weights = weights * np.divide(wanted, have, out=np.zeros(len(have)), where=have > 0)[side]
+        if np.allclose(weights, before, rtol=1e-6, atol=0):
+            break
+    return dict(zip(keys, np.rint(weights * SCALE).astype(np.int64).tolist(), strict=True))
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, group_columns: tuple[str, ...] = ()) -> DataFrame:
+    """class (`raw` over every document, `target` over the trusted ones), bucket, n in SCALE-ths.
+
+    The raw documents count with the weight of their groups.
+    """
+    marked = marked_rows(docs, trusted, group_columns)
+    shared = docs.sparkSession.sparkContext.broadcast(group_weights(marked, len(group_columns)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, values = TaskCounts(buckets), byte_values(True)
+        counts, values, weights = TaskCounts(buckets), byte_values(True), shared.value
         for batch in batches:
-            good = batch.column(1).fill_null(False).to_pylist()
+            good = batch.column(1).to_pylist()
+            weight = np.array([weights.get(tuple(g), 0) for g in batch.column(2).to_pylist()], np.int64)
             for first, _, data, offsets in byte_chunks(batch.column(0)):
                 starts, ends, bounds = word_spans(data, offsets)
                 rows = gram_codes(range_hashes(values[data], starts, ends), bounds, buckets)
                 if rows:
-                    counts.add("raw", np.concatenate(rows))
+                    counts.add("raw", np.concatenate(rows), np.repeat(weight[first:first + len(rows)], [len(r) for r in rows]))
                 chosen = [r for i, r in enumerate(rows) if good[first + i]]
                 if chosen:
-                    counts.add("target", np.concatenate(chosen))
+                    codes = np.concatenate(chosen)
+                    counts.add("target", codes, np.full(len(codes), SCALE))
         yield from counts.rows(True)
 
-    return marked.select("text", "trusted").mapInArrow(run, COUNTS)
+    return marked.mapInArrow(run, COUNTS)
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 20.0) -> np.ndarray:
@@ -58,7 +124,7 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 20.
     little, whatever the size of the corpus.
     """
     names, matrix = count_matrix(counts, buckets, 2)
-    rows = dict(zip(names, matrix, strict=True))
+    rows = dict(zip(names, matrix / SCALE, strict=True))
     if "target" not in rows or "raw" not in rows:
         return np.zeros(buckets, np.float32)
     target, raw = rows["target"] + smoothing * rows["target"].sum() / rows["raw"].sum(), rows["raw"] + smoothing
@@ -147,16 +213,21 @@ def repeated_words(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, least_words: int = 50,
                   most_repeated_percent: int = 50, trusted_rows: int = TRUSTED_ROWS, buckets: int = BUCKETS,
-                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                  id_column: str = "doc_id", text_column: str = "text", group_columns: tuple[str, ...] = GROUPS) -> DataFrame:
     """Base statistics, base_failed, ratio and kept of every document.
 
     The raw multinomial counts words and word pairs of all documents, the target one those of at most `trusted_rows`
     documents labelled with quality 1. A document is kept if it passes the base rules and its mean log-likelihood ratio
-    per n-gram is at least `threshold`. Without labels every ratio is 0 and the base rules alone decide. Null text counts
+    per n-gram is at least `threshold`. Raw documents are weighted so that each value of the `group_columns` that `docs` has
+    holds the same share of the raw n-grams as of the trusted ones; values that no trusted document has count nothing, so
+    words that only they use are neutral. Without labels every ratio is 0 and the base rules alone decide. Null text counts
     as empty (base_failed). Repeated rows and null ids keep their rows; other columns are ignored.
     """
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    ratios = log_ratios(corpus_counts(rows, trusted_ids(labels, trusted_rows), buckets), buckets)
+    groups = [c for c in group_columns if c in docs.columns]
+    names = tuple(f"group{i}" for i in range(len(groups)))
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"),
+                       *[docs[c].cast("string").alias(n) for c, n in zip(groups, names, strict=True)])
+    ratios = log_ratios(corpus_counts(rows, trusted_ids(labels, trusted_rows), buckets, names), buckets)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words"))
     return measure(rows, ratios).withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))

@@ -14,6 +14,7 @@ from shortlist.llm.main_text import TRAINING_PAGES, extract, forest_of, labels_o
 from shortlist.llm.near_copies import near_components
 from shortlist.llm.page_tree import parse
 from shortlist.llm.pieces import transducer
+from shortlist.llm.quality import quality_rules
 from shortlist.llm.queries import QUERIES, bpe_files
 from tests.llm import brute
 
@@ -220,6 +221,24 @@ def test_quality(spark, texts):
     assert sum(out[d]["kept"] for d in good) >= 0.97 * len(good)
 
 
+@pytest.mark.parametrize("size, skew", [("sf0.001", "lang"), ("sf0.01", "lang"), ("sf0.01", "source")])
+def test_quality_of_withheld_documents(spark, size, skew):
+    """Clean documents that were not learned from stay, also of a language or source with few or no labels."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"/root/testdata/{size}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    if skew == "source":  # a third of the rows, with words of its own, and no label
+        docs = spark.createDataFrame([(d, " ".join(f"{w}q" for w in r.text.split()) if d % 3 == 0 else r.text, r.lang, "hot" if d % 3 == 0 else r.source)
+                                      for d, r in rows.items()], "doc_id long, text string, lang string, source string")
+    few = {d for d, r in rows.items() if (r.lang != "en" and zlib.crc32(str(d).encode()) % 5) or zlib.crc32(f"h{d}".encode()) % 3 == 0} if skew == "lang" else {
+        d for d in rows if d % 3 == 0}
+    known = spark.createDataFrame([(d, q) for d, q in labels.items() if d not in few], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_rules(docs, known).collect()}
+    clean = [d for d in few if labels.get(d) == 1 and not out[d].base_failed]
+    assert len(clean) >= 20 and sum(out[d].kept for d in clean) >= 0.97 * len(clean)
+    assert sum(out[d].kept for d, q in labels.items() if q == 0) <= 0.35 * sum(q == 0 for q in labels.values())
+
+
 def test_nearest_codes(spark):
     import numpy as np
 
