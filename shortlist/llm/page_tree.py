@@ -11,11 +11,15 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 BLANKS = re.compile(r"\s+")
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of a page.
-RAW = frozenset("script style noscript template iframe svg math textarea title select object audio video canvas button".split())
+#: Elements whose content is no markup and never text of a page; without an end tag they go on to the end of the page.
+RAW = frozenset("script style textarea title".split())
+#: Elements whose content is markup, but never text of a page; they end with their parent at the latest.
+HIDDEN = frozenset("noscript template iframe svg select object audio video canvas button option optgroup annotation annotation-xml".split())
 #: Elements inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
-                   "span strike strong sub sup time tt u var wbr br img picture source map area".split())
+                   "span strike strong sub sup time tt u var wbr br img picture source map area "
+                   "math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable "
+                   "mtr mtd mstyle mpadded mphantom merror menclose mfenced mmultiscripts mprescripts none".split())
 #: A start tag of the first ends open elements of the second, down to one of the third.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -35,29 +39,57 @@ class Page:
 
 
 def parse(text: str) -> Page:
-    """Lenient: paragraphs, items and cells end where the next begins, stray end tags are passed over."""
+    """Lenient: paragraphs, items and cells end where the next begins, stray end tags are passed over.
+
+    A hidden element goes with all in it if it has its end tag. One that ends with its parent or the page hides only its
+    own words: the elements in it are those of the parent.
+    """
     page = Page()
-    stack: list[tuple[str, int]] = [("#page", 0)]
+    stack: list[tuple[str, int, tuple | None]] = [("#page", 0, None)]       # name, node, what stood before a hidden element
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
+    def block(node: int) -> list[tuple[int, str, int]]:
+        words = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
+        return [(node, words, min(linked, len(words)))] if words else []
+
     def flush() -> None:
         nonlocal linked
         if parts:
-            words = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
-            if words:
-                page.blocks.append((stack[-1][1], words, min(linked, len(words))))
+            if stack[-1][2] is None:
+                page.blocks.extend(block(stack[-1][1]))
             parts.clear()
         linked = 0
 
-    def end(names, until) -> None:
+    def end(names, until, own=False) -> None:
+        nonlocal linked, in_link
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
+                break
             if stack[k][0] in until:
                 return
+        else:
+            return
+        flush()
+        close(k + own * (stack[k][2] is not None))
+        if len(stack) > k:
+            _, _, (n_tags, n_blocks, before, linked, in_link) = stack.pop()
+            for column in (page.tags, page.marks, page.parents, page.depths):
+                del column[n_tags:]
+            del page.blocks[n_blocks:]
+            parts[:] = before
+
+    def close(k: int) -> None:
+        """Ends the elements from the k-th on; what stood before an unclosed hidden one is a block of its parent."""
+        nonlocal linked
+        while len(stack) > k:
+            _, node, state = stack.pop()
+            if state is not None:
+                parts[:], linked = state[2], state[3]
+                if stack[-1][2] is None:
+                    page.blocks[state[1]:state[1]] = block(node)
+                parts.clear()
+        linked = 0
 
     while True:
         found = TOKEN.search(text, at)
@@ -78,6 +110,14 @@ def parse(text: str) -> Page:
                 done = RAW_END[name].search(text, at)
                 at = done.end() if done else len(text)
             continue
+        if name in HIDDEN:
+            if closing:
+                end({name}, (), own=True)
+            elif not attributes.endswith("/"):
+                stack.append((name, stack[-1][1], (len(page.tags), len(page.blocks), parts[:], linked, in_link)))
+                parts.clear()
+                linked = 0
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = not closing
@@ -91,15 +131,16 @@ def parse(text: str) -> Page:
         in_link = False
         if name in VOID:
             continue
-        end({"p"}, {"td", "th", "button", "#page"})
+        end({"p"}, {"td", "th", "#page"} | HIDDEN)
         if name in ENDS:
-            end(*ENDS[name])
+            end(ENDS[name][0], ENDS[name][1] | (HIDDEN if name != "body" else set()))
         page.tags.append(name)
         page.marks.append(attributes)
         page.parents.append(stack[-1][1])
-        page.depths.append(len(stack))
-        stack.append((name, len(page.tags) - 1))
+        page.depths.append(page.depths[stack[-1][1]] + 1)
+        stack.append((name, len(page.tags) - 1, None))
     flush()
+    close(1)
     return page
 
 

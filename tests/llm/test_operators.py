@@ -187,6 +187,21 @@ def test_pages_held_out():
     assert extract(model, [page], {}) == [f"Title & more\n\n{body}\n\n{body}"]
 
 
+@pytest.mark.parametrize("tag", ["button", "object", "select", "svg", "video", "noscript", "iframe", "canvas"])
+def test_elements_without_end_tag_lose_no_article(tag):
+    def told(page):
+        return [t for _, t, _ in parse(page).blocks]
+
+    article = "<article><p>first part</p><p>second part</p></article>"
+    for page in (f"<body><{tag}>menu{article}</body>", f"<body><header><{tag}>menu</header>{article}", f"<body><p>x <{tag}>menu</p>{article}"):
+        assert [t for t in told(page) if t != "x"] == ["first part", "second part"]
+    nested = f"<div>a <{tag}>b<div>c</div><{tag}>d</{tag}>e</{tag}> f</div>{article}"
+    page = parse(nested)
+    assert told(nested) == ["a f", "first part", "second part"] and page.tags == ["#page", "div", "article", "p", "p"]
+    assert told("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert told(f"<body><script>var a = 1; {article}") == []
+
+
 def test_marginals_are_exact():
     """Messages give the marginals that adding up all labellings gives."""
     import itertools
