@@ -23,12 +23,11 @@ def with_length(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with that language; without text or letters they go.
 
-    The model learns from all documents that have a language. Rows are matched by id and text; rows without an id go.
+    The model learns from all documents that have a language. Every row has the language of its own text, whatever its id.
     """
-    known = predict_language(docs, train_language(docs)).filter("lang_pred <> 'und'").select(
-        "doc_id", F.col("lang_pred").alias("_lang")).dropDuplicates(["doc_id"])
     kept = docs.select(COLUMNS).filter(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
-    return kept.join(known, "doc_id").withColumn("lang", F.col("_lang")).select(COLUMNS)
+    known = predict_language(kept, train_language(docs), keep=("text", "source", "n_chars")).filter("lang_pred <> 'und'")
+    return known.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays, the one with the smallest id."""
-    kept = near_components(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """One document of each group of near copies (five words, similarity 0.8) stays, the one with the smallest id.
+
+    Rows without an id stand alone and all stay.
+    """
+    kept = near_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    return named.select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,11 +93,11 @@ def train_language(docs: DataFrame, text_column: str = "text", lang_column: str
 
 
 def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_column: str = "doc_id",
-                     text_column: str = "text") -> DataFrame:
+                     text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (the language's posterior probability) of every row, from its whole text.
 
     A null text, one without a letter, and any text if no language was learned get `und` with score 0. Equal scores
-    go to the first language in order. Repeated rows and null ids keep their rows; other columns are ignored.
+    go to the first language in order. Repeated rows and null ids keep their rows; columns of `keep` follow, others are ignored.
     """
     names, weights, priors = model
     buckets = len(weights) if len(names) else BUCKETS
@@ -123,11 +123,13 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
                     if known[i]:
                         labels[i], scores[i] = names[k], p
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(labels, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                [batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *batch.columns[3:]], names=["doc_id", "lang_pred", "score", *keep])
 
     text = docs[text_column].cast("string")
+    kept = [docs[c].alias(f"kept{i}") for i, c in enumerate(keep)]
+    schema = ", ".join([PREDICTED, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
     return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"),
-                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known")).mapInArrow(run, PREDICTED)
+                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"), *kept).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -70,6 +70,25 @@ def test_packing(stages):
     brute.check_pieces(rows, {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in before.items()})
 
 
+def test_null_and_shared_ids(spark):
+    """Rows without an id go through all stages; rows that share an id have the language of their own text."""
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate([
+        ("the house stands by the river and the people of the town walk there", "en"),
+        ("das Haus steht am Fluss und die Leute der Stadt gehen dort spazieren", "de")] * 3)]
+    english, german = "where the river and the town people walk", "wo die Leute der Stadt und des Flusses gehen"
+    others = ["my sister bought seven apples at this market before noon", "heute regnet es und wir bleiben lieber im warmen Zimmer"]
+    rows += [(90, english, None, "s", 9), (90, german, None, "s", 9), *[(None, t, None, "s", 9) for t in others]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    told = corpus_pipeline.language_id(spark, docs, SF).collect()
+    assert len(told) == len(rows) and all(r.lang == {english: "en", german: "de"}[r.text] for r in told if r.doc_id == 90)
+    near = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(r.text for r in near if r.doc_id is None) == sorted(others)
+    packed = docs
+    for _, stage in corpus_pipeline.STAGES:
+        packed = stage(spark, packed, SF)
+    assert packed.filter("doc_id IS NULL").count() >= 2
+
+
 def test_run_and_sql(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert set(ORACLE_SQL) <= set(QUERIES) and [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
