@@ -39,11 +39,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays, the one with the smallest id.
 
-    Rows without an id stand alone and all stay.
+    Rows that repeat an id and text stay once. Rows without an id stand alone and all stay.
     """
     kept = near_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+        F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
+    return named.select("doc_id", "text", "_rest.*").select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,14 @@ def test_null_and_shared_ids(spark):
     assert packed.filter("doc_id IS NULL").count() >= 2
 
 
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "one two three four five six seven", "en", "s", 33)] * 3 + [(2, "a text of its own that is not like the first", "en", "s", 44)]
+    docs = spark.createDataFrame([*rows, (1, "other words under the same id as before", "en", "s", 39)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted(map(tuple, out.collect())) == sorted({tuple(r) for r in docs.collect()}) and out.columns == docs.columns
+
+
 def test_run_and_sql(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert set(ORACLE_SQL) <= set(QUERIES) and [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
