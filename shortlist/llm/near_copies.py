@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,22 @@ from shortlist.llm.components import components
 
 #: Values a sketch retains.
 RETAINED = 48
-#: Share of a sketch that two linked documents surely share; six deviations below a similarity of 0.85.
-SHARED = 0.6
-#: Estimates this far below the threshold (five deviations) are still verified.
-SLACK = 0.25
+#: Chance that a link at the threshold is missed by its sketches, at most: half by the lists, half by the estimate.
+MISSED = 1e-6
 SKETCH = "doc_id long, n_shingles long, hi long, lo long, sketch array<long>"
 
 
+def least_shared(percent: int, k: int) -> float:
+    """Share of a sketch of k values that two documents at the threshold hold together, but for a chance of MISSED / 2."""
+    p, missed, least = percent / 100, 0.0, 0
+    while least < k:
+        missed += comb(k, least) * p ** least * (1 - p) ** (k - least)
+        if missed > MISSED / 2:
+            break
+        least += 1
+    return least / k
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row) by chunk; A-Z count as a-z; short texts are one shingle."""
     values = byte_values(True)
@@ -54,11 +64,11 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
-def rare_lists(nodes: DataFrame, k: int) -> DataFrame:
+def rare_lists(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """v, node, n, alone: the inverted lists of every node's rarest retained values.
 
-    Two linked nodes share at least SHARED of the smaller sketch. In one order of all values (rare ones first) they must
-    then meet within the first (1 - SHARED) of each, so the frequent values of passages that many texts hold make no
+    Two linked nodes share at least `least_shared` of the smaller sketch. In one order of all values (rare ones first) they
+    must then meet within the first (1 - `least_shared`) of each, so the frequent values of passages that many texts hold make no
     lists. Values of one node make none either. `alone` is the number of such values: few mark the centre of a family.
     """
     values = nodes.select("node", "n", F.explode("sketch").alias("v"))
@@ -66,7 +76,7 @@ def rare_lists(nodes: DataFrame, k: int) -> DataFrame:
     mine = values.join(often, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("xs"))
     held = F.least(F.col("n"), F.lit(k))
     alone = held - F.size("xs")
-    first = (held - F.ceil(held * SHARED) + 1 - alone).cast("int")
+    first = (held - F.ceil(held * least_shared(percent, k) - 1e-9) + 1 - alone).cast("int")
     return mine.withColumn("alone", alone).withColumn("first", first).filter("first > 0").select(
         "node", "n", "alone", F.explode(F.expr("slice(xs, 1, first)")).alias("x")).select("x.v", "node", "n", "alone")
 
@@ -77,7 +87,7 @@ def likely(sa: Column, sb: Column, na: Column, nb: Column, k: int, percent: int)
     whole = (na <= k) & (nb <= k)
     low = F.when(whole, union).otherwise(F.slice(union, 1, k))
     both = F.size(F.array_intersect(low, F.array_intersect(sa, sb)))
-    least = F.when(whole, F.lit(percent / 100)).otherwise(F.lit(percent / 100 - SLACK))
+    least = F.when(whole, F.lit(percent / 100)).otherwise(F.lit(least_shared(percent, k)))
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     return sizes & (both >= least * F.size(low) - 1e-9)
 
@@ -122,7 +132,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     owners = written(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "near")
     nodes = written(known.join(owners, ["hi", "lo"]).filter("doc_id = node").select(
         "node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"]), "near")
-    lists = written(rare_lists(nodes, k), "near")
+    lists = written(rare_lists(nodes, k, percent), "near")
 
     hubs = written(lists.groupBy("v").agg(F.min(F.struct("alone", "node")).alias("centre"), F.min("node").alias("low")), "near")
     met = lists.join(hubs, "v").select("node", F.explode(F.array("centre.node", "low")).alias("hub")).filter("node != hub")

@@ -125,6 +125,16 @@ def test_near_copies_of_a_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(docs)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_copies_sketch_miss_rate(percent):
+    from math import comb
+
+    from shortlist.llm.near_copies import RETAINED, least_shared
+
+    least, p = round(least_shared(percent, RETAINED) * RETAINED), percent / 100
+    assert 0.4 * RETAINED < least and 2 * sum(comb(RETAINED, c) * p ** c * (1 - p) ** (RETAINED - c) for c in range(least)) < 1e-6
+
+
 def test_components(spark):
     import random
 
