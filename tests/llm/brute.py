@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -155,3 +156,72 @@ def deduped_lines(docs, percent=80, size=8):
         seen.add(comp[line])
     return {d: (sum(1 for p in places if p[0] == d), sum(1 for p in gone if p[0] == d),
                 "\n".join(x for i, x in enumerate((t or "").split("\n")) if (d, i) not in gone)) for d, t in docs.items()}
+
+
+def low(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def spelling(rows):
+    """word: (n, n_near, form, form_n, root), by comparing all words with each other."""
+    counts = {}
+    for doc_id, text in rows:
+        for run in re.findall("[a-z\u00c0-\u00ff]+", low(text)):
+            h = None if doc_id is None else zlib.crc32(f"{doc_id}:{run}".encode())
+            if h is not None and h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] = counts.get(run, 0) + 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    links = {w: [v for v in words if near(w, v)] for w in words}
+    form = {}
+    for w, others in links.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (n, len(links[w]), form[w], words.get(form[w]), root(w)) for w, n in words.items()}
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical(docs, items, k):
+    """(item, rank, doc_id, score) by scoring every document for every item."""
+    counted = [(d, TERMS.findall(low(t))) for d, t in docs]
+    counted = [(d, t) for d, t in counted if t]
+    n, total = len(counted), sum(len(t) for _, t in counted)
+    asked = {}
+    for item, text in items:
+        if item is not None:
+            asked.setdefault(item, set()).update(TERMS.findall(low(text)))
+    out = set()
+    for item, terms in asked.items():
+        weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * sum(t in ts for _, ts in counted) + 1))) for t in terms}
+        scored = []
+        for d, ts in counted:
+            m = 50 + 50 * len(ts) * n // total
+            score = sum(w * (10**9 * ts.count(t) // (1000 * ts.count(t) + 20 * m)) for t, w in weight.items())
+            if score > 0 and d is not None:
+                scored.append((-score, d))
+        out |= {(item, r + 1, d, -s) for r, (s, d) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+def judged(url, rules, hosts):
+    """(host, path, rule, verdict) of one url."""
+    match = re.search("://([^/?#]*)([^?#]*)", url or "")
+    host, path = (low(match[1]), match[2]) if match else ("", "")
+    fits = [(len(h + p), len(h), a == "block", h + p, a) for h, p, a in ((h or "", p or "", a) for h, p, a in rules)
+            if h and a in ("allow", "block") and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[3], max(fits)[4]
+    return host, path, None, "block" if any(host == h or host.endswith("." + h) for h in hosts) else "allow"
