@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shortlist.functions.text import bind
 from shortlist.lookups import (ATS_DOMAINS, COUNTRY_CODES, DEFAULT_SOURCES, JAPAN_LOCATIONS)
-from shortlist.operators.groups import sliced, top_n_per_group
-
-MAX_WORDS = 20_000      # different keywords tested in one reading
+from shortlist.operators.groups import top_n_per_group
+from shortlist.operators.needles import MAX_NEEDLES, occurrences
+from shortlist.session import pin
 
 
 def search_grid(strategies: DataFrame) -> DataFrame:
@@ -111,45 +109,32 @@ def filter_sites(postings: DataFrame, domains: list[str] | None = None) -> DataF
 
 def search_postings(postings: DataFrame, grid: DataFrame, cap: int | None = None,
                     keys: tuple[str, ...] = ("source", "keyword", "location"),
-                    max_words: int = MAX_WORDS) -> DataFrame:
+                    max_words: int = MAX_NEEDLES) -> DataFrame:
     """Hits of the search grid in landed postings, all of them.
 
-    A hit has the grid row's source and contains its keyword, and its location if it has one, in any letter case. The
-    postings are read once: each is tested against the distinct keywords, and if one is in it against the distinct
-    locations. Its keywords then meet the grid's (source, keyword) with the locations asked there, so only pairs that
-    the grid asks for are made. Only ids and grid keys travel. More than max_words different keywords are taken in
-    parts. With a cap, at most that many hits per grid row stay, by posting id, numbered in `hit`.
+    A hit has the grid row's source and contains its keyword, and its location if it has one, in any letter case. Keywords
+    and locations are filed in one q-gram index; the postings are read once and look up what occurs in them, so neither the
+    number of keywords nor of locations adds to the work on a text. What was found meets the grid's (source, keyword) with the
+    locations asked there, so only pairs that the grid asks for are made. Only ids and words travel. Rows of equal
+    id, source and text count once. With a cap, at most that many hits per grid row stay, by posting id, numbered in `hit`.
     """
-    needles = grid.withColumn("_kw", F.lower("keyword")).withColumn(
-        "_loc", F.lower(F.coalesce("location", F.lit(""))))
-    asked = needles.groupBy("source", "_kw").agg(F.collect_set("_loc").alias("_asked"))
-    text = F.lower(F.concat_ws(" ", "title", "description_text"))
-    where = F.lower(F.coalesce("location", F.lit("")))
-    places = constants(needles, "_loc")
-
-    def locations(text: Column, place: Column) -> Column:
-        return F.filter(places, lambda p: F.contains(place, p) | F.contains(text, p))
-
-    parts = []
-    for part in sliced(needles.select("_kw").distinct(), ["_kw"], max_words):
-        words = constants(part, "_kw")
-        found = (
-            postings.select("id", F.col("source").alias("source"), text.alias("_text"), where.alias("_place"))
-            .select("id", "source", bind(F.struct("_text", "_place"), lambda p: bind(
-                F.filter(words, lambda k: F.contains(p["_text"], k)),
-                lambda k: F.when(F.size(k) > 0, F.struct(k.alias("kws"), locations(p["_text"], p["_place"]).alias("locs"))))).alias("_m"))
-            .filter(F.col("_m").isNotNull())
-            .select("id", "source", "_m.locs", F.explode("_m.kws").alias("_kw")))
-        pairs = found.join(asked, ["source", "_kw"]).select(
-            "id", "source", "_kw", F.explode(F.array_intersect("locs", "_asked")).alias("_loc"))
-        parts.append(pairs.join(needles, ["source", "_kw", "_loc"]).select("id", *grid.columns))
-    if not parts:
-        parts = [grid.filter(F.lit(False)).select(F.lit(None).cast(postings.schema["id"].dataType).alias("id"), "*")]
-    hits = reduce(DataFrame.unionByName, parts)
+    asking = pin(grid.withColumn("_kw", F.lower("keyword")).withColumn(
+        "_loc", F.lower(F.coalesce("location", F.lit("")))).filter(F.col("_kw").isNotNull()))
+    words = (asking.select(F.col("_kw").alias("needle"), F.lit(True).alias("_word"))
+             .unionByName(asking.filter(F.col("_loc") != "").select(F.col("_loc").alias("needle"), F.lit(False).alias("_word")))
+             .groupBy("needle").agg(F.max("_word").alias("_word"), F.max(~F.col("_word")).alias("_spot")))
+    texts = postings.select("id", "source", F.lower(F.concat_ws(" ", "title", "description_text")).alias("_text"),
+                            F.lower(F.coalesce("location", F.lit(""))).alias("_place"))
+    texts = texts.withColumn("_both", F.concat_ws("\n", "_text", "_place"))
+    in_text, in_place = F.contains("_text", "needle"), F.contains("_place", "needle")
+    row = ["id", "source", F.xxhash64("_text", "_place").alias("_row")]
+    found = occurrences(texts, "_both", words, max_needles=max_words).select(
+        *row, F.when(F.col("_word") & in_text, F.col("needle")).alias("_kw"),
+        F.when(F.col("_spot") & (in_text | in_place), F.col("needle")).alias("_loc"))
+    asked = asking.groupBy("source", "_kw").agg(F.collect_set("_loc").alias("_asked"))
+    per_row = found.groupBy("id", "source", "_row").agg(
+        F.collect_set("_kw").alias("_kws"), F.array_append(F.collect_set("_loc"), F.lit("")).alias("_locs"))
+    pairs = per_row.select("id", "source", "_locs", F.explode("_kws").alias("_kw")).join(asked, ["source", "_kw"]).select(
+        "id", "source", "_kw", F.explode(F.array_intersect("_locs", "_asked")).alias("_loc"))
+    hits = pairs.join(asking, ["source", "_kw", "_loc"]).select("id", *grid.columns)
     return hits if cap is None else top_n_per_group(hits, list(keys), [F.asc("id")], cap, "hit")
-
-
-def constants(df: DataFrame, col: str) -> Column:
-    """The distinct values of a planning table's column as a constant array."""
-    values = sorted({r[0] for r in df.select(col).distinct().collect()})
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,35 @@ def test_a_large_grid_reads_the_postings_once_and_is_not_broadcast_by_hand(spark
     assert hits.count() == sum(1 for i in range(50) for p in range(20_000) if f"place{p}" in f"engineer in place{i}")
 
 
+def test_search_equals_testing_every_keyword(spark):
+    draw = random.Random(7)
+    syllables = ["da", "ta", "ing", "é", "x", " ", "-", "eng", "I", "B\n"]
+    word = lambda n: "".join(draw.choice(syllables) for _ in range(draw.randint(1, n)))     # noqa: E731
+    posts = [(i, draw.choice("ab"), word(6), draw.choice([None, "", word(30)]), draw.choice([None, word(2)])) for i in range(120)] + [(7, "a", "dup", "dating x", None)]
+    grid = [(draw.choice("ab"), draw.choice([word(4), "", None]), draw.choice([None, "", word(2)]), i) for i in range(150)]
+    hits = search_postings(spark.createDataFrame(posts, "id long, source string, title string, description_text string, location string"),
+                           spark.createDataFrame(grid, "source string, keyword string, location string, position int"), max_words=60)
+    want = []
+    for i, source, title, text, place in posts:
+        t, w = " ".join(x for x in (title, text) if x is not None).lower(), (place or "").lower()
+        want += [(i, *g) for g in grid if g[0] == source and g[1] is not None and g[1].lower() in t
+                 and (not g[2] or g[2].lower() in t or g[2].lower() in w)]
+    assert len(want) > 500 and sorted(map(str, map(tuple, hits.collect()))) == sorted(map(str, want))
+
+
+def test_a_hundred_thousand_keywords_cost_an_index_lookup(spark):
+    posts = spark.range(2000).select("id", F.lit("serper").alias("source"), F.concat(F.lit("skill "), F.col("id") * 37, F.lit(" wanted")).alias("title"),
+                                     F.concat(F.lit("in place "), F.col("id")).alias("description_text"), F.lit(None).cast("string").alias("location"))
+    grid = spark.range(100_000).select(F.lit("serper").alias("source"), F.concat(F.lit("skill "), F.col("id"), F.lit(" ")).alias("keyword"),
+                                       F.concat(F.lit("place "), F.col("id") % 5000).alias("location"), F.col("id").alias("position"))
+    hits = search_postings(posts, grid)
+    text = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (0, 2000") == 1 and "from_json" not in text and "skill 99" not in text and len(text) < 60_000
+    assert "BroadcastHashJoin [gram" in hits._jdf.queryExecution().executedPlan().toString()     # the texts do not move
+    want = [i for i in range(2000) if i * 37 < 100_000 and f"place {i * 37 % 5000}" in f"skill {i * 37} wanted in place {i}"]
+    assert sorted(r["id"] for r in hits.collect()) == want and want
+
+
 def test_sources_of_a_strategy(spark):
     both = strategies(spark, ["kw"], ["Berlin", "Tokyo"]).withColumn("sources", F.array(F.lit("LinkedIn"), F.lit("japan"))).unionByName(
         strategies(spark, ["other"], ["Berlin"]).withColumn("strategy", F.lit("t")).withColumn("sources", F.array(F.lit("builtin"))))
