@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,68 +20,107 @@ def match_profiles(postings: DataFrame, profiles: DataFrame, k: int = 10, digits
     """Top k postings (id, embedding) per profile (profile_id, embedding) by cosine, rounded in the result.
 
     Ids may be integers or strings. Postings stay where they are; the profile matrix goes to the tasks in slices of at
-    most max_floats numbers, one pass per slice. Each task multiplies block by block and keeps k rows per profile, so
-    pairs are never materialised. Scores that agree to twelve decimals are ties and go to the smaller posting id.
+    most max_floats numbers. Each slice takes two passes: a share of the postings gives every profile a lower bound of its
+    k-th score, then all postings are scored and only rows at or above the bound travel, so what is shuffled does not grow with the
+    number of tasks. Pairs are never materialised. Scores that agree to twelve decimals are ties and go to the smaller
+    posting id. All vectors must have one length; a null vector takes no part, another length is an error.
     """
     profiles = profiles.filter(F.col("embedding").isNotNull()).select("profile_id", "embedding")
-    wide = profiles.agg(F.max(F.size("embedding"))).first()[0]
+    narrow, wide = profiles.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((postings, "id"), (profiles, "profile_id"))}
     if not wide:
         return postings.sparkSession.createDataFrame(
             [], f"profile_id {kinds['profile_id']}, id {kinds['id']}, score double, rank int")
-    rows = postings.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    passes = [_one_pass(rows, part, k)
+    if narrow != wide:
+        raise ValueError(f"profile vectors of {narrow} and {wide} numbers")
+    fits = F.when(F.size("embedding") == wide, F.col("embedding")).otherwise(F.raise_error(F.concat(
+        F.lit("a posting vector of another length than "), F.lit(str(wide)), F.lit(": "), F.size("embedding").cast("string"))))
+    rows = postings.filter(F.col("embedding").isNotNull()).select("id", fits.alias("embedding"))
+    passes = [_best_of_slice(rows, part, k)
               for part in sliced(profiles, ["profile_id"], max(1, max_floats // wide))]
-    best = reduce(DataFrame.unionByName, passes)
-    ranked = top_n_per_group(best, ["profile_id"], [F.desc("score"), F.asc("id")], k)
+    ranked = _ranked(reduce(DataFrame.unionByName, passes), k)
     return ranked.select(F.col("profile_id").cast(kinds["profile_id"]).alias("profile_id"),
                          F.col("id").cast(kinds["id"]).alias("id"), F.round("score", digits).alias("score"), "rank")
 
 
-def _one_pass(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    return top_n_per_group(rows, ["profile_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def first_share(postings: DataFrame) -> DataFrame:
+    """One of about sqrt(tasks) postings, in that much fewer tasks.
+
+    With s the share and t tasks, the first pass sends t / s times k rows a profile and the second about s times k; the root is the
+    least of the sum.
+    """
+    tasks = postings.rdd.getNumPartitions()
+    share = max(2, math.isqrt(tasks))
+    return postings.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).coalesce(max(1, tasks // share))
+
+
+def _best_of_slice(postings: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """The rows (profile_id, id, score) among which are the k best of every profile of a slice."""
     whole = ("tinyint", "smallint", "int", "bigint")
     types = {c: "long" if df.schema[c].dataType.simpleString() in whole else "string"
              for df, c in ((postings, "id"), (profiles, "profile_id"))}
     schema = f"profile_id {types['profile_id']}, id {types['id']}, score double"
     postings = postings.withColumn("id", F.col("id").cast(types["id"]))
     table = profiles.withColumn("profile_id", F.col("profile_id").cast(types["profile_id"])).toArrow()    # size checked by the caller
+    if not table.num_rows:
+        return postings.sparkSession.createDataFrame([], schema)
+    ids = table["profile_id"].to_pylist()
+    matrix = np.asarray(table["embedding"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths != 0)
+    bounds = np.full(len(ids), -np.inf)
+    some = first_share(postings)
+    early = _ranked(best_rows(some, ids, matrix, bounds, k, schema), k).filter(F.col("rank") == k).toArrow()     # a row a profile at most
+    place = {p: i for i, p in enumerate(ids)}
+    for profile, score in zip(early["profile_id"].to_pylist(), early["score"].to_pylist(), strict=True):
+        bounds[place[profile]] = score
+    return best_rows(postings, ids, matrix, bounds, k, schema)
 
-    # everything the tasks call is local, so workers need not have this package installed
-    def ids_of(column) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype=np.str_ if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else np.int64)
 
-    def unit(rows: np.ndarray) -> np.ndarray:
-        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths != 0)
+def best_rows(postings: DataFrame, profile_ids: list, matrix: np.ndarray, bounds: np.ndarray, k: int, schema: str) -> DataFrame:
+    """Of every task's postings the k best of each profile, as far as they reach the profile's bound.
 
-    if not table.num_rows:
-        return postings.sparkSession.createDataFrame([], schema)
-    ids = ids_of(table["profile_id"].combine_chunks())
-    matrix = unit(np.asarray(table["embedding"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1))
-    shared = postings.sparkSession.sparkContext.broadcast((ids, matrix))
+    The matrix has a unit vector a profile. A task raises its bounds with the k-th scores that it finds.
+    """
+    shared = postings.sparkSession.sparkContext.broadcast((profile_ids, matrix, bounds))
 
-    def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profile_ids, targets = shared.value
-        top_ids, top_scores = None, np.zeros((len(profile_ids), 0))
+    # everything the tasks call is local, so workers need not have this package installed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profile_ids, targets, bounds = shared.value
+        bounds = bounds.copy()
+        best = {}        # profile -> (scores, ids) of at most k rows
         step = max(k, 4_000_000 // len(profile_ids))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            posting_ids = ids_of(batch.column(0))
-            block = unit(np.asarray(batch.column(1).flatten(), dtype=np.float64)
-                          .reshape(len(posting_ids), -1))
-            for at in range(0, len(posting_ids), step):
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            block = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(names), -1)
+            lengths = np.linalg.norm(block, axis=1, keepdims=True)
+            block = np.divide(block, lengths, out=np.zeros_like(block), where=lengths != 0)
+            for at in range(0, len(names), step):
                 scores = np.round(targets @ block[at:at + step].T, 12)
-                new_ids = np.broadcast_to(posting_ids[at:at + step], scores.shape)
-                all_ids = new_ids if top_ids is None else np.concatenate([top_ids, new_ids], axis=1)
-                all_scores = np.concatenate([top_scores, scores], axis=1)
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                top_ids = np.take_along_axis(all_ids, order, axis=1)
-                top_scores = np.take_along_axis(all_scores, order, axis=1)
-        if top_ids is not None:
-            width = top_ids.shape[1]
+                if scores.shape[1] > k:     # the block's own k-th score is a bound, too
+                    bounds = np.maximum(bounds, np.partition(scores, -k, axis=1)[:, -k])
+                profile, row = np.nonzero(scores >= bounds[:, None])
+                cuts = np.searchsorted(profile, np.arange(len(bounds) + 1))
+                for p in np.flatnonzero(np.diff(cuts)):
+                    rows = row[cuts[p]:cuts[p + 1]]
+                    found, own = scores[p, rows], names[at + rows]
+                    if p in best:
+                        found, own = np.concatenate([best[p][0], found]), np.concatenate([best[p][1], own])
+                    keep = sorted(range(len(own)), key=lambda i: (-found[i], own[i]))[:k]
+                    best[p] = found[keep], own[keep]
+                    if len(keep) == k:
+                        bounds[p] = max(bounds[p], best[p][0][-1])
+        if best:
+            counts = [len(own) for _, own in best.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(profile_ids, width).tolist()), pa.array(top_ids.ravel().tolist()),
-                 pa.array(top_scores.ravel())], names=["profile_id", "id", "score"])
+                [pa.array([profile_ids[p] for p, n in zip(best, counts, strict=True) for _ in range(n)]),
+                 pa.array(np.concatenate([own for _, own in best.values()]).tolist()),
+                 pa.array(np.concatenate([found for found, _ in best.values()]))], names=["profile_id", "id", "score"])
 
-    return postings.mapInArrow(best_rows, schema)
+    return postings.mapInArrow(run, schema)

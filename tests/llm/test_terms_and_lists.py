@@ -168,7 +168,7 @@ def test_cascade_is_exact(spark, monkeypatch):
     from shortlist.llm import url_filter
 
     monkeypatch.setattr(url_filter, "BITS", 2)       # many false positives, so many levels
-    keys = spark.range(20_000).selectExpr("concat('host', id) AS key")
+    keys = spark.range(5_000).selectExpr("concat('host', id) AS key")
     listed = keys.filter("key LIKE '%7'").unionByName(spark.createDataFrame([("elsewhere",)], "key string"))
     levels = cascade(listed.unionByName(listed), keys.unionByName(keys))
     assert len(levels) >= 4
@@ -176,10 +176,10 @@ def test_cascade_is_exact(spark, monkeypatch):
     hashes = hashed.iloc[:, 1:].to_numpy()
     assert (members(levels, hashes) == (hashed["key"].str.endswith("7") | (hashed["key"] == "elsewhere"))).all()
     wrong = holds(levels[0], hashes[:, 0]) & ~hashed["key"].str.endswith("7")
-    assert wrong.sum() > 1000 and cascade(listed.limit(0), keys) == []
+    assert wrong.sum() > 250 and cascade(listed.limit(0), keys) == []
     rows = keys.selectExpr("array(key, 'nothing') AS ks", "key")
-    marked = with_members(rows, "ks", "flags", listed, keys, most=500)
-    assert marked.filter("flags[0] <> (key LIKE '%7') OR flags[1]").count() == 0 and marked.count() == 20_000
+    marked = with_members(rows, "ks", "flags", listed, keys.unionByName(spark.createDataFrame([("nothing",)], "key string")), most=300)
+    assert marked.filter("flags[0] <> (key LIKE '%7') OR flags[1]").count() == 0 and marked.count() == 5_000
 
 
 def test_registered(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shortlist.functions.vectors import cosine, cosine_arrow, decode_vector, encode_vector, l2_normalise
 from shortlist.operators import embed as ops
 from shortlist.operators.embed import BatchVectoriser, HashedWords
-from shortlist.operators.match import match_profiles
+from shortlist.operators.match import best_rows, first_share, match_profiles
 from shortlist.operators.profile import profile_skills, profile_text
 from shortlist.operators.ranking import score_bounds, tier_hits_at_k, tier_quality
 from shortlist.plans.rank import rank_file, rank_frame
@@ -61,6 +61,34 @@ def test_match_against_brute_force_in_slices(spark):
     assert match_profiles(p, q.filter("profile_id < 0")).count() == 0
 
 
+def test_matching_sends_rows_by_profile_and_not_by_task(spark):
+    draw = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(draw.normal(size=(6400, 8)))],
+                                 "id long, embedding array<double>").repartition(64)
+    matrix = draw.normal(size=(20, 8))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    names, k, schema = list(range(20)), 5, "profile_id long, id long, score double"
+    some = first_share(rows)
+    assert some.rdd.getNumPartitions() == 8 and 600 < some.count() < 1000
+    open_ends = best_rows(rows, names, matrix, np.full(20, -np.inf), k, schema)
+    assert open_ends.count() == 64 * 20 * k
+    early = best_rows(some, names, matrix, np.full(20, -np.inf), k, schema).toPandas()
+    bounds = np.array([early[early.profile_id == p].score.nlargest(k).min() for p in names])
+    assert best_rows(rows, names, matrix, bounds, k, schema).count() < 64 * 20 * k / 3
+
+
+def test_matching_refuses_vectors_of_other_lengths(spark):
+    four = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (9, None)], "profile_id long, embedding array<double>")
+    even = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0] * 6)], "id long, embedding array<double>").coalesce(1)
+    with pytest.raises(Exception, match="another length than 4: [26]"):
+        match_profiles(even, four).collect()
+    both = four.unionByName(spark.createDataFrame([(2, [1.0, 0.0])], "profile_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="2 and 4"):
+        match_profiles(even, both)
+    ties = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0]) for i in range(200, 0, -1)] + [(0, None)], "id long, embedding array<double>").repartition(9)
+    assert [r["id"] for r in match_profiles(ties, four, 7).orderBy("rank").collect()] == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_hashed_words_against_counting(spark):
     words = HashedWords(dims=32, stop_words=False)
     text = "The red Ring, the RED ring; c++ and C#"
