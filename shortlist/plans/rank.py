@@ -12,9 +12,9 @@ from shortlist.operators.embed import Vectoriser
 from shortlist.operators.explain import explain_overlap, match_digest, token_estimate
 from shortlist.operators.filters import (Prefilter, filter_min_score, prefilter, require_embeddings,
                                          short_text_report)
-from shortlist.operators.ranking import cosine_scores, score_summary, top_k
+from shortlist.operators.ranking import cosine_scores, rank_by_score, score_summary, top_k
 from shortlist.plans.score import embed_postings, profile_row
-from shortlist.session import spread, staged
+from shortlist.session import pin, spread, staged
 from shortlist.sources.ingest import normalise_columns, scan_postings
 from shortlist.sources.sinks import project_result
 
@@ -53,30 +53,58 @@ def top_jobs(df: DataFrame, vector: list[float], n: int | None = None, min_score
 
 @dataclass(frozen=True)
 class FileRanking:
-    scored: DataFrame
-    top: DataFrame
+    scored: DataFrame       # address, tie columns and score of all rows with a high enough score
+    top: DataFrame          # the best rows with all their columns
     summary: DataFrame
     short_texts: DataFrame
     digest: DataFrame
     tokens: DataFrame
 
 
+ADDRESS = ("_file", "_row")
+
+
 def rank_file(spark: SparkSession, path: str, profile: DataFrame, vectoriser: Vectoriser, n: int = 10,
               min_score: float = 0.0, fmt: str = "csv", ties: tuple[str, ...] = ("title", "company")
               ) -> FileRanking:
     """Rank a file of postings without pre-filters; scores below min_score are always dropped."""
-    return rank_frame(spread(scan_postings(spark, path, fmt)), profile, vectoriser, n, min_score, ties)
+    return rank_frame(scan_postings(spark, path, fmt, file="_file"), profile, vectoriser, n, min_score, ties)
+
+
+def with_address(df: DataFrame) -> DataFrame:
+    """The rows with their file (empty where none is known) and a hash of all their values."""
+    values = [F.to_json(c) if kind.startswith("map") else F.col(f"`{c}`") for c, kind in df.dtypes if c != "_file"]
+    rows = df if "_file" in df.columns else df.withColumn("_file", F.lit(""))
+    return rows.withColumn("_row", F.xxhash64(*values))
+
+
+def fetch_rows(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of df at the addresses of `found`, a limited result, with its score.
+
+    Only files in which something was found are read again. Rows that agree in file and hash are the same row repeated;
+    each address is fetched once and serves all its repeats.
+    """
+    files = [r[0] for r in found.select("_file").distinct().collect()]
+    rows = with_address(df.filter(F.col("_file").isin(files)) if "_file" in df.columns else df)
+    once = rows.join(F.broadcast(found.select(*ADDRESS).distinct()), list(ADDRESS), "left_semi").dropDuplicates(list(ADDRESS))
+    return once.join(F.broadcast(found.select(*ADDRESS, "similarity_score")), list(ADDRESS)).drop(*ADDRESS)
 
 
 def rank_frame(df: DataFrame, profile: DataFrame, vectoriser: Vectoriser, n: int = 10,
                min_score: float = 0.0, ties: tuple[str, ...] = ("title", "company")) -> FileRanking:
-    """Rank postings that need not have ids. The scored rows are written once and serve every result."""
+    """Rank postings that need not have ids.
+
+    Address, ties, score and text sizes of all rows are written once and serve every result; texts and vectors are not
+    written. The best rows are fetched by their address.
+    """
     me = profile_row(profile, vectoriser)
-    texts = cosine_scores(embed_postings(df, vectoriser), me["vector"])
-    everything = staged(texts.withColumns({
-        "_words": word_count(F.col("clean_text")), "_chars": F.length("clean_text")}).drop("clean_text"), "ranked")
+    texts = cosine_scores(embed_postings(with_address(spread(df)), vectoriser), me["vector"])
+    ties = tuple(c for c in ties if c in df.columns)
+    everything = staged(texts.select(
+        *ADDRESS, *ties, "similarity_score", word_count(F.col("clean_text")).alias("_words"), F.length("clean_text").alias("_chars")), "ranked")
     scored = filter_min_score(everything.drop("_words", "_chars"), min_score, strict=True)
-    top = top_k(scored, n, ties=ties)
+    best = pin(top_k(scored, n, ties=ties))
+    top = pin(rank_by_score(fetch_rows(df, best), ties))
     digest = match_digest(top, me["name"] or "", me["version"] or "")
     return FileRanking(scored, top, score_summary(everything),
                        short_text_report(everything, F.col("_chars")), digest,

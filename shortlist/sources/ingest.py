@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -14,23 +15,29 @@ from shortlist.schema import PROFILE
 
 
 def scan_postings(spark: SparkSession, path: str | list[str], fmt: str = "csv",
-                  schema: T.StructType | None = None) -> DataFrame:
+                  schema: T.StructType | None = None, multi_line: bool = True, file: str | None = None) -> DataFrame:
     """Postings from delimited files or Parquet, with normalised column names.
 
     CSV columns are strings. Files of different headers are read with their own header each and then put together by
     name, so neither order nor missing columns mix values up. The header lines are looked up with one Spark job over
-    the files' first blocks. A schema names the columns wanted and their types.
+    the files' first blocks. A schema names the columns wanted and their types. With multi_line off (no line breaks inside
+    values) large CSV files are split over tasks. `file` names a column for the path of each row's file; a filter on it reads
+    no other file.
     """
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn(file, F.col("_metadata.file_path")) if file else df
+
     if fmt != "csv":
         reader = spark.read.schema(schema) if schema else spark.read
-        return normalise_columns(reader.format(fmt).load(path))
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        return normalise_columns(named(reader.format(fmt).load(path)))
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema:
         names = [f.name for f in schema.fields]
-        parts = [read_named(reader, files, names) for _, files in by_header(spark, path)]
+        more = [file] if file else []
+        parts = [read_named(reader, files, names, named) for _, files in by_header(spark, path)]
         raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-        return normalise_columns(raw.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
-    parts = [normalise_columns(reader.csv(files)) for _, files in by_header(spark, path)]
+        return normalise_columns(raw.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *[c for c in more if c in raw.columns]))
+    parts = [normalise_columns(named(reader.csv(files))) for _, files in by_header(spark, path)]
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else normalise_columns(reader.csv(path))
 
 
@@ -43,10 +50,12 @@ def by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[str, lis
     return sorted((r["head"], sorted(r["files"])) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect())
 
 
-def read_named(reader, files: list[str], names: list[str]) -> DataFrame:
-    """The named columns of files with one header; those it lacks are null."""
+def read_named(reader, files: list[str], names: list[str], named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The named columns of files with one header, and what `named` adds; those the header lacks are null."""
     raw = reader.csv(files)
-    return raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names])
+    more = named(raw)
+    return more.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names],
+                       *more.columns[len(raw.columns):])
 
 
 def scan_profiles(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:

@@ -13,8 +13,8 @@ from shortlist.operators import embed as ops
 from shortlist.operators.embed import BatchVectoriser, HashedWords
 from shortlist.operators.match import best_rows, first_share, match_profiles
 from shortlist.operators.profile import profile_skills, profile_text
-from shortlist.operators.ranking import score_bounds, tier_hits_at_k, tier_quality
-from shortlist.plans.rank import rank_file, rank_frame
+from shortlist.operators.ranking import cosine_scores, score_bounds, tier_hits_at_k, tier_quality
+from shortlist.plans.rank import fetch_rows, rank_file, rank_frame, with_address
 from shortlist.plans.score import embed_postings, profile_row
 from shortlist.sources.ingest import scan_postings, scan_profiles
 
@@ -182,3 +182,33 @@ def test_rank_file(spark):
     assert out.top.count() == 5 and out.summary.first()["total_scored"] == 12 and out.digest.count() == 6
     assert out.short_texts.first()["total"] == 12 and out.tokens.first()["percent"] > 0
     assert rank_frame(scan_postings(spark, os.path.join(HERE, "jobs.csv")), profile, HashedWords(), 5, min_score=0.99).top.count() == 0
+
+
+def test_rank_file_fetches_the_best_rows_by_address(spark, tmp_path):
+    profile = scan_profiles(spark, os.path.join(HERE, "profile.json"))
+    rows = spark.createDataFrame([(f"t{i % 40}", f"c{i % 3}", f"data engineer python {'x ' * (i % 50)} spark " * 4, {"a": str(i % 40)}) for i in range(200)],
+                                 "title string, company string, description_text string, extra map<string,string>")
+    for part in range(8):
+        rows.filter(F.pmod(F.xxhash64("title"), F.lit(8)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "jobs"))
+    out = rank_file(spark, str(tmp_path / "jobs"), profile, HashedWords(), n=7, fmt="parquet")
+    assert not {"description_text", "embedding", "clean_text", "extra"} & set(out.scored.columns)        # nothing wide is staged
+    got = [(r["title"], r["company"], round(r["similarity_score"], 9)) for r in out.top.collect()]
+    whole = cosine_scores(embed_postings(rows, HashedWords()), profile_row(profile, HashedWords())["vector"])
+    want = sorted(((r["title"], r["company"], round(r["similarity_score"], 9)) for r in whole.collect()), key=lambda r: (-r[2], r[0], r[1]))
+    assert sorted(got) == sorted(want[:7]) and "description_text" in out.top.columns
+    # repeated rows have one address and stay as often as they rank
+    twins = rows.limit(1).unionByName(rows.limit(1)).unionByName(rows.limit(1))
+    assert rank_frame(twins, profile, HashedWords(), 2).top.count() == 2 and rank_frame(twins, profile, HashedWords(), 9).top.count() == 3
+
+
+def test_only_files_of_found_rows_are_read_again(spark, tmp_path):
+    for i in range(5):
+        spark.createDataFrame([(f"t{i}", "x")], "title string, company string").coalesce(1).write.mode("append").csv(str(tmp_path / "c"), header=True)
+    rows = scan_postings(spark, str(tmp_path / "c"), multi_line=False, file="_file")
+    found = with_address(rows).filter("title = 't3'").withColumn("similarity_score", F.lit(1.0))
+    fetched = fetch_rows(rows, found)
+    assert [(r["title"], r["similarity_score"]) for r in fetched.collect()] == [("t3", 1.0)]
+    one = found.first()["_file"]
+    assert len(rows.filter(F.col("_file").isin([one])).inputFiles()) >= 1
+    plan = rows.filter(F.col("_file").isin([one]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_metadata" in plan or "file_path" in plan

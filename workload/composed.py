@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shortlist.lookups import SOURCE_PRIORITY
 from shortlist.operators.embed import embed
@@ -13,7 +13,7 @@ from shortlist.plans.compare import compare_scored, compare_searches
 from shortlist.plans.pages import score_pages
 from shortlist.plans.rank import rank_file, top_jobs
 from shortlist.plans.score import profile_row, score_postings
-from shortlist.session import scratch_path
+from shortlist.session import pin, scratch_path
 from shortlist.sources import sinks
 from shortlist.sources.ingest import scan_postings
 from shortlist.streaming.arrivals import run_available, stream_score_text
@@ -181,22 +181,49 @@ def _top_jobs_summary(spark, d):
 _LETTER_SCORED = f"list_cosine_similarity({{0}}, (SELECT vec FROM me))"
 
 
-@query("rank_file", with_postings(f"""
-SELECT total_filtered, total_scored, round(max_score, 5) AS max_score, round(min_score, 5) AS min_score,
-  round(median_score, 5) AS median_score, short_texts, full_tokens FROM (
-  SELECT count(*) AS total_filtered, count(s) AS total_scored, max(s) AS max_score, min(s) AS min_score, median(s) AS median_score,
-    count(*) FILTER (length(t) < 50) AS short_texts, CAST(floor(sum({words_sql('t')}) / 0.75) AS BIGINT) AS full_tokens
-  FROM (SELECT t, {_LETTER_SCORED.format(letters_sql('t'))} AS s FROM (SELECT {best_text_sql()} AS t FROM postings)))""", _ME_SQL))
+_RANKED_FILE = f"""
+texts AS (SELECT title, company, description_text, t, {_LETTER_SCORED.format(letters_sql('t'))} AS s, {words_sql('t')} AS words
+  FROM (SELECT *, {best_text_sql()} AS t FROM postings)),
+best AS (SELECT row_number() OVER (ORDER BY s DESC, title, company) AS position, title, company, s, length(description_text) AS chars
+  FROM texts WHERE s >= 0 QUALIFY position <= 10)"""
+
+
+@query("rank_file", with_postings("""
+SELECT 'ranked' AS part, position, title, company, round(s, 4) AS score, CAST(chars AS BIGINT) AS amount FROM best
+UNION ALL SELECT 'digest', NULL, title, company, round(s, 4), CAST(chars AS BIGINT) FROM best
+UNION ALL SELECT 'candidate', NULL, (SELECT c_name FROM me), NULL, NULL, (SELECT count(*) FROM best)
+UNION ALL SELECT 'rows', NULL, NULL, NULL, round(max(s), 4), count(*) FROM texts
+UNION ALL SELECT 'scored', NULL, NULL, NULL, round(median(s), 4), count(s) FROM texts
+UNION ALL SELECT 'worst', NULL, NULL, NULL, round(min(s), 4), NULL FROM texts
+UNION ALL SELECT 'short', NULL, NULL, NULL, NULL, count(*) FILTER (length(t) < 50) FROM texts
+UNION ALL SELECT 'tokens', NULL, NULL, NULL, NULL, CAST(floor(sum(words) / 0.75) AS BIGINT) FROM texts""", _ME_SQL, _RANKED_FILE))
 def _rank_file(spark, d):
+    """The ranked rows, the digest's records, and the totals of a file without ids."""
     rows = postings(spark, d, "title", "company", "location", "description_text", "url")
     path = sinks.write_raw(rows, scratch_path(spark, "jobs"))
     out = rank_file(spark, path, _me(spark, d), LETTERS, 10)
-    facts = [out.summary.drop("tenth_best"), out.short_texts.select("short_texts"), out.tokens.select("full_tokens")]
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), facts)
-    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
-    return one.select("total_filtered", "total_scored",
-                      *[F.round(c, 5).alias(c) for c in ("max_score", "min_score", "median_score")],
-                      "short_texts", "full_tokens")
+    order = Window.orderBy(F.desc("similarity_score"), "title", "company")      # over ten rows
+    best = out.top.select("title", "company", F.row_number().over(order).alias("position"), F.round("similarity_score", 4).alias("score"),
+                          F.length("description_text").cast("long").alias("amount"))
+    record = out.digest.select(F.from_json(
+        "line", "title string, company string, similarity_score double, description_snippet string, candidate struct<name string>").alias("r"))
+    none, summary = F.lit(None), pin(out.summary)
+
+    def part(df, name, position=none, title=none, company=none, score=none, amount=none):
+        return df.select(F.lit(name).alias("part"), position.cast("long").alias("position"), title.cast("string").alias("title"),
+                         company.cast("string").alias("company"), score.cast("double").alias("score"), amount.cast("long").alias("amount"))
+
+    c = F.col
+    parts = [
+        part(best, "ranked", c("position"), c("title"), c("company"), c("score"), c("amount")),
+        part(record.filter("r.candidate IS NULL").select("r.*"), "digest", none, c("title"), c("company"), c("similarity_score"), F.length("description_snippet")),
+        part(record.agg(F.max("r.candidate.name").alias("name"), F.count_if(c("r.candidate").isNull()).alias("n")), "candidate", none, c("name"), amount=c("n")),
+        part(summary, "rows", score=F.round("max_score", 4), amount=c("total_filtered")),
+        part(summary, "scored", score=F.round("median_score", 4), amount=c("total_scored")),
+        part(summary, "worst", score=F.round("min_score", 4)),
+        part(out.short_texts, "short", amount=c("short_texts")),
+        part(out.tokens, "tokens", amount=c("full_tokens"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- compare -------------------------------------------------------------------------------
