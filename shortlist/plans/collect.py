@@ -12,7 +12,7 @@ from shortlist.operators.groups import first_per_group
 from shortlist.operators.search import (expand_countries, filter_sites, plan_sources, search_grid,
                                         search_postings)
 from shortlist.functions.text import blank_to_null
-from shortlist.session import pin
+from shortlist.session import bucketed, pin, staged
 from shortlist.sources.ingest import (add_canonical, alias_cascade_builtin, alias_cascade_linkedin,
                                       normalise_columns, tag_source, union_sources)
 
@@ -54,24 +54,28 @@ def collect_postings(landed: dict[str, DataFrame], strategies: DataFrame,
                      extract: bool = True) -> DataFrame:
     """Postings of every strategy, one row per url and strategy, in canonical columns.
 
+    The sources, with the texts of their pages, are made once and written bucketed by source and id. Searching, choosing
+    and fetching read that table: each page is parsed once and the wide rows are shuffled once, when they are written.
+
     Rows of equal url go to the source of higher priority, then to the earlier search, then to the
     smaller id. That order also settles repeats inside a source, so one shuffle does both. Only
     LinkedIn rows may lack a url.
     """
-    merged = union_sources(
+    merged = bucketed(union_sources(
         {name: landed_source(name, df, pages, (domains or {}).get(name))
-         for name, df in landed.items()}, SOURCE_PRIORITY)
+         for name, df in landed.items()}, SOURCE_PRIORITY), ["source", "id"], "collected")
     grid = pin(search_plan(strategies, sources, detect, mode))      # a few rows, used several times
     hits = search_postings(merged, grid, cap, ("strategy", "source", "keyword", "location"))
-    wanted = first_per_group(
+    wanted = staged(first_per_group(
         hits.select("id", "source", "strategy", "job_domain", "position"),
-        ["strategy", "source", "id"], [F.asc("position")])
-    # winners are found on keys alone; the wide rows are fetched once, for the winners
+        ["strategy", "source", "id"], [F.asc("position")]), "wanted")
+    # winners are found on keys alone; the wide rows are fetched for the winners
     found = merged.select("id", "source", "url", "priority").join(wanted, ["source", "id"])
     usable = found.filter((F.col("source") == "linkedin") | blank_to_null("url").isNotNull())
     kept = dedup_url(usable, [F.asc("priority"), F.asc("position"), F.asc("id")], ("strategy",), keep_blank)
     kept = kept.select("id", "source", "strategy", "job_domain", "position")
-    kept = merged.join(kept, ["source", "id"])
+    # a merge join leaves the buckets where they are and gives every bucket's rows a task of its own
+    kept = merged.hint("merge").join(kept, ["source", "id"])
     if extract:
         kept = rule_extract(kept, F.col("job_domain"))
     return normalise_columns(add_canonical(kept, fill=None), mode="coalesce")

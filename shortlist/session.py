@@ -65,6 +65,19 @@ def staged(df: DataFrame, label: str = "staged") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], label: str = "bucketed") -> DataFrame:
+    """Write df once below the shared root, bucketed and sorted by keys: joins on these keys move none of its rows.
+
+    It has a file per shuffle partition. The table's name is new and lives as long as the session.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    (df.repartition(parts, *keys).write.format("parquet").bucketBy(parts, *keys).sortBy(*keys)
+     .option("path", scratch_path(spark, label)).saveAsTable(name))
+    return spark.table(name)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a plain scan of few partitions to all cores before heavy per-row work.
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,30 @@ def test_collect_only_some_sources_and_domain(spark, landed):
     rows = collect_postings(landed, strategies(spark, ["engineer"], ["Berlin"], job_domain="gtm"), ["builtin"]).collect()
     assert [(r["id"], r["is_relevant"]) for r in rows] == [(1, "false")]
     assert {r["job_domain"] for r in search_plan(strategies(spark, ["GTM"], ["x"]), detect=False).collect()} == {"any"}
+
+
+def test_collect_parses_a_page_once_and_fetches_without_moving_rows(spark, landed):
+    pages = spark.createDataFrame([(1, "jp", "<nav>menu</nav><p>" + "Data engineer wanted in Osaka. " * 9 + "</p>"), (2, "no", "<p>data engineer</p>"),
+                                   (0, "jp2", "<p>short</p>")], "page_id long, url string, html string")
+    hits = {"serper": spark.createDataFrame([(1, "x", "https://jobs.lever.co/a", "data engineer Berlin snippet"), (2, "x", "https://other.com/a", "data engineer Berlin")],
+                                            "id long, title string, url string, description_snippet string").withColumn("location", F.lit("Berlin")),
+            "japan_boards": spark.createDataFrame([(1, "x", "jp", "snippet"), (2, "data engineer", "jp2", "kept snippet")],
+                                                  "id long, title string, url string, description_snippet string").withColumn("location", F.lit("Berlin"))}
+    plan_ = strategies(spark, ["Data Engineer"], ["Berlin", "Tokyo"])
+    out = collect_postings(hits, plan_, pages=pages, domains={"serper": ["jobs.lever.co"]}, detect=False)
+    rows = {(r["source"], r["id"]): r["description_text"] for r in out.collect()}
+    assert set(rows) == {("serper", 1), ("japan_boards", 1), ("japan_boards", 2)}
+    assert rows["japan_boards", 1].startswith("Data engineer wanted") and "menu" not in rows["japan_boards", 1]
+    assert rows["japan_boards", 2] == "kept snippet"
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?<!_)html#", text)      # pages were parsed when the table was written
+    lines = [x for x in text.split("\n") if x.strip()]
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "description_text" in x)
+    assert "Bucketed: true" in lines[scan]
+    above, level = [], depth[scan]
+    for i in range(scan, -1, -1):
+        if depth[i] < level:
+            above.append(lines[i])
+            level = depth[i]
+    assert any("SortMergeJoin" in x for x in above) and not any("Exchange" in x for x in above)     # the wide rows stay in their buckets

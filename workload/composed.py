@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -25,7 +26,7 @@ from workload.registry import query
 from workload.searching import _CODES, PLAN_SQL, strategies
 from workload.streams import stream_of
 from workload.sqltext import best_text_sql, inner_html_sql, page_text_sql, words_sql
-from workload.tables import postings, profile_vector, table, texts, with_postings, with_scored
+from workload.tables import postings, profile_vector, table, table_rows, texts, with_postings, with_scored
 
 # -- one candidate: the customer with the smallest key ------------------------------
 
@@ -72,7 +73,10 @@ def landed(spark, d):
 def _planned_strategies(spark, d):
     named = strategies(spark, d)
     return named.withColumn("job_domain", F.when(F.col("strategy") == "ECONOMY", "data")).withColumn(
-        "position", F.ascii("strategy"))
+        "position", F.expr(_PLACE.format("strategy")))
+
+
+_PLACE = "(ascii({0}) * 256 + ascii(substring({0}, 2, 1)))"
 
 
 def _collected_sql() -> list[str]:
@@ -94,7 +98,8 @@ def _collected_sql() -> list[str]:
     ]
 
 
-@query("collect_postings", with_postings(f"""
+def _collect_sql(*more: str, parts: list[str] | None = None) -> str:
+    return with_postings(f"""
 SELECT strategy, id, source, nullif(trim(url), '') AS url, title, company, job_domain, seniority, employment_type, min_years_exp,
   coalesce(nullif(raw_salary, ''), CAST(salary_min AS VARCHAR)) AS salary_min, is_relevant FROM (
   SELECT searched AS strategy, id, source, url, title,
@@ -102,16 +107,45 @@ SELECT strategy, id, source, nullif(trim(url), '') AS url, title, company, job_d
     CASE WHEN searched = 'ECONOMY' THEN 'data' ELSE 'any' END AS job_domain,
     CASE WHEN source = 'builtin' THEN s END AS raw_salary,
     {rules_sql("CASE WHEN searched = 'ECONOMY' THEN 'false' ELSE 'true' END")}
-  FROM (SELECT *, salary_min AS s, lower(title) AS h, lower(description_text) AS b, lower(title) || chr(10) || lower(description_text) AS t
+  FROM (SELECT * EXCLUDE (salary_min), salary_min AS s, lower(title) AS h, lower(description_text) AS b, lower(title) || chr(10) || lower(description_text) AS t
         FROM (SELECT id, searched, source, url, title, company, salary_min, description_text FROM collected)))""",
-    *_collected_sql()).replace("*, salary_min AS s, lower", "* EXCLUDE (salary_min), salary_min AS s, lower"))
-def _collect_postings(spark, d):
-    out = collect_postings(landed(spark, d), _planned_strategies(spark, d))
+        *more, *(parts or _collected_sql()))
+
+
+def _collected_columns(out):
     return out.select("strategy", "id", "source", F.nullif(F.trim("url"), F.lit("")).alias("url"), "title",
                       F.coalesce("company", F.lit("")).alias("company"), "job_domain", "seniority",
                       "employment_type", "min_years_exp", "salary_min", "is_relevant")
 
 
+@query("collect_postings", _collect_sql())
+def _collect_postings(spark, d):
+    return _collected_columns(collect_postings(landed(spark, d), _planned_strategies(spark, d)))
+
+
+_PAGED = ("serper", "japan_boards")
+_SITES = ["example.com", "example.net/en"]
+_PAGED_SQL = f"""
+shown AS (SELECT url, arg_min(body, page_id) AS body FROM (SELECT url, page_id, {page_text_sql('html')} AS body FROM pages) GROUP BY url),
+paged AS (SELECT p.* REPLACE (
+    CASE WHEN p.source IN {_PAGED} THEN g.url ELSE p.url END AS url,
+    CASE WHEN p.source IN {_PAGED} AND length(f.body) > 100 THEN f.body ELSE p.description_text END AS description_text)
+  FROM postings p LEFT JOIN pages g ON g.page_id = p.id % (SELECT count(*) FROM pages) LEFT JOIN shown f ON f.url = g.url
+  WHERE p.source <> 'serper' OR regexp_matches(lower(g.url), '^[a-z]+://([^/?#]*[.])?(example[.]com([/?#:]|$)|example[.]net(:[0-9]+)?/en([/?#]|$))'))"""
+
+
+@query("collect_pages", _collect_sql(_PAGED_SQL, parts=[re.sub(r"\bpostings\b", "paged", x) for x in _collected_sql()]))
+def _collect_pages(spark, d):
+    """Search hits of two sources lead to pages, those of one only on some sites; descriptions come from the pages."""
+    by = landed(spark, d)
+    pages = table(spark, d, "pages")
+    n = table_rows(spark, d, "pages")
+    for name in _PAGED:
+        hits = by[name].withColumnRenamed("description_text", "description_snippet").drop("url")
+        by[name] = hits.join(pages.select("page_id", "url"), F.col("id") % F.lit(n) == F.col("page_id"), "left").drop("page_id")
+    return _collected_columns(collect_postings(by, _planned_strategies(spark, d), pages=pages, domains={"serper": _SITES}))
+
+
 # -- score and rank ------------------------------------------------------------------------
 
 @query("score_postings", with_postings(f"""
@@ -244,17 +278,46 @@ def _compare_scored(spark, d):
                                            F.concat("title", F.lit("@"), "company").alias("name"), none, "score")))
 
 
-@query("compare_searches", with_postings(f"""
-SELECT ascii(searched) AS position, searched AS strategy, count(*) AS jobs, round(median(s), 4) AS median_score, round(avg(s), 4) AS mean_score,
-  round(max(s), 4) AS max_score, NULL::VARCHAR AS error
-FROM (SELECT searched, {_LETTER_SCORED.format(letters_sql('clean'))} AS s FROM (
-  SELECT searched, {best_text_sql(company="CASE WHEN source IN ('builtin', 'linkedin') THEN company ELSE '' END",
-         fallback="CASE WHEN source IN ('builtin', 'linkedin') THEN description_text ELSE '' END")} AS clean FROM collected))
-GROUP BY searched""", *_collected_sql(), _ME_SQL))
+_SEARCHED = f"""
+found AS (SELECT searched AS strategy, {_PLACE.format('searched')} AS position, id, title, shown_company AS company, url,
+    {_LETTER_SCORED.format(letters_sql('clean'))} AS s FROM (
+  SELECT *, {best_text_sql(company='shown_company', fallback="CASE WHEN source IN ('builtin', 'linkedin') THEN description_text ELSE '' END")} AS clean
+  FROM (SELECT *, CASE WHEN source IN ('builtin', 'linkedin') THEN company ELSE '' END AS shown_company FROM collected))),
+stats AS (SELECT strategy, any_value(position) AS position, count(*) AS jobs, round(median(s), 4) AS median_score, round(avg(s), 4) AS mean_score,
+  round(max(s), 4) AS max_score FROM found GROUP BY strategy),
+leaders AS (SELECT strategy, position, title, coalesce(trim(url), '') AS url, round(s, 4) AS score,
+  row_number() OVER (PARTITION BY strategy ORDER BY s DESC NULLS LAST, id) AS rank FROM found QUALIFY rank <= 5),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY score DESC NULLS LAST, position, rank) AS rn FROM leaders)
+  WHERE rn = 1 QUALIFY row_number() OVER (ORDER BY score DESC NULLS LAST, position, rank) <= 10)"""
+
+
+@query("compare_searches", with_postings("""
+SELECT 'strategy' AS part, strategy AS name, NULL AS detail, jobs AS amount, median_score, mean_score, max_score FROM stats
+UNION ALL SELECT 'winner', strategy, NULL, NULL, median_score, NULL, NULL FROM (SELECT * FROM stats ORDER BY median_score DESC, position LIMIT 1)
+UNION ALL SELECT 'leader', strategy, title, rank, NULL, NULL, score FROM leaders
+UNION ALL SELECT 'merged', strategy, title || '@' || url, NULL, NULL, NULL, score FROM merged
+UNION ALL SELECT 'high', strategy, NULL, count(*) FILTER (s >= 0.55), NULL, NULL, NULL FROM found GROUP BY strategy
+UNION ALL SELECT 'middle', strategy, NULL, count(*) FILTER (s >= 0.45 AND s < 0.55), NULL, NULL, NULL FROM found GROUP BY strategy
+UNION ALL SELECT 'low', strategy, NULL, count(*) FILTER (s < 0.45), NULL, NULL, NULL FROM found GROUP BY strategy""",
+    *_collected_sql(), _ME_SQL, _SEARCHED))
 def _compare_searches(spark, d):
+    """Statistics, winner, leaders, merged rows and distribution of all strategies' searches."""
     me = profile_row(_me(spark, d), LETTERS)
     out = compare_searches(landed(spark, d), _planned_strategies(spark, d), me["vector"], LETTERS)
-    return out.strategies
+    c, none = F.col, F.lit(None)
+
+    def part(df, name, detail=none, amount=none, median=none, mean=none, best=none, key="strategy"):
+        return df.select(F.lit(name).alias("part"), c(key).alias("name"), detail.cast("string").alias("detail"), amount.cast("long").alias("amount"),
+                         *[x.cast("double").alias(f"{n}_score") for n, x in (("median", median), ("mean", mean), ("max", best))])
+
+    spread_ = pin(out.distribution)
+    merged = F.concat("title", F.lit("@"), F.coalesce(F.trim("url"), F.lit("")))
+    return reduce(DataFrame.unionByName, [
+        part(out.strategies.filter("error IS NULL"), "strategy", none, c("jobs"), c("median_score"), c("mean_score"), c("max_score")),
+        part(out.winner, "winner", median=c("median_score"), key="winner"),
+        part(out.leaders, "leader", c("title"), c("rank"), best=c("score")),
+        part(out.merged, "merged", merged, best=c("score")),
+        *[part(spread_, name, amount=c(name)) for name in ("high", "middle", "low")]])
 
 
 @query("stream_score_text", f"""WITH {_ME_SQL}
