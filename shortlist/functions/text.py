@@ -17,12 +17,14 @@ WHITESPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 RAW_PARTS = (r"(?is)<(?:!--.*?--"
              r"|script(?:[\s/][^>]*)?>.*?(?:</script\s*|\z)"
              r"|style(?:[\s/][^>]*)?>.*?(?:</style\s*|\z))(?:>|\z)")
-# Page furniture dropped with its content.
-FURNITURE = "(?is)<(?:" + "|".join(
-    rf"{tag}(?:[\s/][^>]*)?>.*?</{tag}" for tag in ("noscript", "header", "footer", "nav")) + r")\s*>"
-TAG = r"<[a-zA-Z/!?][^>]*>"
-H1 = r"(?is)<h1(?:[\s/][^>]*)?>(.*?)</h1\s*>"
-TITLE = r"(?is)<title(?:[\s/][^>]*)?>(.*?)</title\s*>"
+# What may stand in a tag after its name: a quoted value can hold ">", a quote elsewhere is a letter like others.
+INSIDE = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
+TAG = f"<[a-zA-Z/!?]{INSIDE}>"
+# Page furniture, dropped with its content; a letter stands for each element.
+FURNITURE = {"noscript": "s", "header": "h", "footer": "f", "nav": "n"}
+FURNITURE_TAG = rf"(?i)</?(?:{'|'.join(FURNITURE)})(?:[\s/]{INSIDE})?>"
+H1 = rf"(?is)<h1(?:[\s/]{INSIDE})?>(.*?)</h1\s*>"
+TITLE = rf"(?is)<title(?:[\s/]{INSIDE})?>(.*?)</title\s*>"
 
 MIN_TEXT = 100      # below this a description is too short to use
 SHORT_TEXT = 50     # below this a cleaned text is reported as short
@@ -88,10 +90,57 @@ def html_to_text(col: Column | str) -> Column:
     return F.coalesce(collapse(decode_entities(plain)), F.lit(""))
 
 
+def _open_at(tags: Column) -> Column:
+    """For tags as letters (capital: end tag) the letters "0" and "1": is an element open after each tag?
+
+    The open elements are a stack. An end tag closes the last open element of its name and those opened since; without one
+    it is nothing. The state is two short texts, so a page's cost is its length.
+    """
+    def step(state: Column, tag: Column) -> Column:
+        name = F.lower(tag)
+        below = F.length(state["open"]) - F.length(F.call_function("substring_index", state["open"], name, F.lit(-1))) - 1
+        left = (F.when(tag == name, F.concat(state["open"], name))
+                .when(F.contains(state["open"], name), F.left(state["open"], below)).otherwise(state["open"]))
+        return bind(left, lambda now: F.struct(now.alias("open"), F.concat(
+            state["flags"], F.when(now == "", "0").otherwise("1")).alias("flags")))
+
+    empty = F.lit("")
+    return F.aggregate(tags, F.struct(empty.alias("open"), empty.alias("flags")), step)["flags"]
+
+
+def _without_furniture(col: Column) -> Column:
+    """The text outside page furniture, however its elements are nested in each other.
+
+    What lies between two tags goes if an element is open there read forward, and also read backward: an end tag without a
+    beginning and a beginning without an end take nothing with them. A furniture tag counts even inside a broken tag.
+    """
+    def letter(tag: Column) -> Column:
+        ends = tag.startswith("</")
+        name = F.lower(F.substr(tag, F.when(ends, 3).otherwise(2), F.lit(3)))
+        low = F.lit(None).cast("string")
+        for element, sign in FURNITURE.items():
+            low = F.when(name == element[:3], F.when(ends, sign.upper()).otherwise(sign)).otherwise(low)
+        return low
+
+    def kept(parts: Column) -> Column:
+        forward = F.split(_open_at(parts["tags"]), "")
+        turned = F.transform(F.reverse(parts["tags"]), lambda t: F.when(t == F.lower(t), F.upper(t)).otherwise(F.lower(t)))
+        backward = F.reverse(F.split(_open_at(turned), ""))
+        # piece i lies after tag i - 1 and before tag i
+        return bind(F.struct(forward.alias("f"), backward.alias("b")), lambda d: F.array_join(F.filter(
+            parts["texts"], lambda text, i: (i == 0) | (F.get(d["f"], i - 1) != "1") | (F.coalesce(F.get(d["b"], i), F.lit("0")) != "1")), " "))
+
+    pattern = F.lit(FURNITURE_TAG)
+    parts = F.struct(F.transform(F.regexp_extract_all(col, pattern, F.lit(0)), letter).alias("tags"),
+                     F.split(col, FURNITURE_TAG).alias("texts"))
+    return F.when(col.rlike(FURNITURE_TAG), bind(parts, kept)).otherwise(col)
+
+
 def page_text(col: Column | str) -> Column:
     """Text of a fetched page without scripts, styles and page furniture."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(collapse(decode_entities(_without(col, RAW_PARTS, FURNITURE, TAG))), F.lit(""))
+    body = bind(_without(col, RAW_PARTS), _without_furniture)
+    return F.coalesce(collapse(decode_entities(_without(body, TAG))), F.lit(""))
 
 
 def page_title(col: Column | str) -> Column:

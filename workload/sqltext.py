@@ -1,8 +1,13 @@
-"""SQL spellings of the text rules, built from the same patterns."""
+"""SQL spellings of the text rules."""
 
 from __future__ import annotations
 
-from shortlist.functions.text import FURNITURE, RAW_PARTS, TAG, WHITESPACE
+from shortlist.functions.text import WHITESPACE
+
+# Patterns of the SQL alone, plainer than the library's rules; in the given tables no furniture is nested in its like.
+RAW_PARTS = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+FURNITURE = "(?is)" + "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in ("noscript", "header", "footer", "nav"))
+TAG = "<[a-zA-Z/!?][^>]*>"
 
 # the entities that occur in the given tables, ampersand last
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&copy;": "©",
