@@ -16,12 +16,12 @@ from shortlist.llm.common import written
 SEGMENT = 16
 #: Queries that are broadcast together (codes of 64 bits: 0.8 MB).
 QUERY_BLOCK = 50_000
-CODES = "id long, code binary"
+CODES = "id long, code binary, size int"
 FOUND = "query_id long, id long, distance int"
 
 
 def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """id, code: one bit for each positive component, filled up with zero bits to whole segments.
+    """id, code, size (of the vector): one bit for each positive component, filled up with zero bits to whole segments.
 
     Rows with a null id, a null or empty vector, or a null or not-a-number component have no code and are left out.
     """
@@ -32,7 +32,8 @@ def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFr
             for v in batch.column(1).to_pylist():
                 bits = np.packbits(np.asarray(v, np.float64) > 0, bitorder="little").tobytes()
                 codes.append(bits + b"\0" * (-len(bits) % (SEGMENT // 8)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
+            sizes = pa.array(batch.column(1).value_lengths().to_pylist(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), sizes], names=["id", "code", "size"])
 
     vector = F.col("vector")
     rows = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("vector"))
@@ -121,10 +122,19 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column
     been met, so a query is settled once its k-th verified distance is below that; the others go on. Queries are taken
     in blocks of fixed size, rows in the blocks in which Spark reads them. A query row is its own neighbour. Rows
     without a usable vector are neither found nor searched for; repeated ids count once (at their smallest distance);
-    fewer than k rows give fewer neighbours; empty tables give no rows; other columns are ignored.
+    a query meets the vectors of its own length only; fewer than k rows give fewer neighbours; empty tables give no rows; other columns are ignored.
     """
     codes = written(sign_codes(vectors, id_column, vector_column), "codes")
     asked = written(sign_codes(queries, id_column, vector_column).dropDuplicates(["id"]), "codes")
+    out = codes.sparkSession.createDataFrame([], "query_id long, id long, distance int, rank int")
+    for size in sorted(r["size"] for r in asked.select("size").distinct().collect()):
+        for part in nearest_of_size(codes.filter(F.col("size") == size).drop("size"), asked.filter(F.col("size") == size), k):
+            out = out.unionByName(part)
+    return out
+
+
+def nearest_of_size(codes: DataFrame, asked: DataFrame, k: int) -> list[DataFrame]:
+    """The results of the blocks of queries; all codes are of vectors of one length."""
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     ranked = Window.partitionBy("query_id").orderBy("distance", "id")
     results = []
@@ -154,9 +164,4 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column
             else:
                 results.append(best)
                 break
-    if not results:
-        return codes.sparkSession.createDataFrame([], "query_id long, id long, distance int, rank int")
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    return results

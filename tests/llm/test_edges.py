@@ -152,3 +152,16 @@ def test_hamming_repeated_ids(spark):
     for q in (0, 3, 7):
         own = np.array(vectors[q][1]) > 0
         assert out[q] == sorted((min(int((own != b).sum()) for b in codes), i) for i, codes in bits.items())[:5]
+
+
+def test_hamming_vectors_of_different_lengths(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.normal(size=(20, 16, 40, 64)[i % 4])]) for i in range(120)] + [(500, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest_codes(df, df.filter("vec_id < 8"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.id))
+    signs = {i: [x > 0 for x in v] for i, v in rows}
+    for q in range(8):
+        same = sorted((sum(a != b for a, b in zip(signs[q], s)), i) for i, s in signs.items() if len(s) == len(signs[q]))
+        assert got[q] == same[:4]
