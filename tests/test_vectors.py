@@ -1,6 +1,8 @@
 import json
 import math
+import glob
 import os
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from shortlist.operators.match import best_rows, first_share, match_profiles
 from shortlist.operators.profile import profile_skills, profile_text
 from shortlist.operators.ranking import cosine_scores, score_bounds, tier_hits_at_k, tier_quality
 from shortlist.plans.rank import fetch_rows, rank_file, rank_frame, with_address
+from shortlist.plans.refresh import refresh_vectors, write_vector_table
 from shortlist.plans.score import embed_postings, profile_row
 from shortlist.sources.ingest import scan_postings, scan_profiles
 
@@ -212,3 +215,28 @@ def test_only_files_of_found_rows_are_read_again(spark, tmp_path):
     assert len(rows.filter(F.col("_file").isin([one])).inputFiles()) >= 1
     plan = rows.filter(F.col("_file").isin([one]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [_metadata" in plan or "file_path" in plan
+
+
+def test_refresh_writes_only_outdated_partitions(spark, tmp_path):
+    path, old, new = str(tmp_path / "table"), HashedWords(dims=8), HashedWords(dims=16)
+    rows = spark.createDataFrame([(i, f"text number {i}" if i % 10 else None) for i in range(200)], "id long, t string")
+    write_vector_table(ops.embed(rows, "t", new), path, parts=12)
+    base = spark.read.parquet(path)
+    assert refresh_vectors(spark, path, new, "t").count() == 0      # rows without text are not due for ever
+    # three rows fall back to the other model, in as many partitions as they hash to
+    stale = F.col("id").isin(3, 14, 77)
+    both = base.withColumn("embedding_model", F.when(stale, old.name).otherwise(F.col("embedding_model")))
+    path = str(tmp_path / "again")
+    write_vector_table(both.drop("part"), path, parts=12)
+    hit = {r["part"] for r in spark.read.parquet(path).filter(stale).select("part").distinct().collect()}
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    report = {r["part"]: r["renewed"] for r in refresh_vectors(spark, path, new, "t").collect()}
+    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    assert set(report) == hit and sum(report.values()) == 3 and 1 <= len(hit) <= 3
+    same = {f for f in after if before.get(f) == after[f]}
+    assert {int(re.search(r"part=(\d+)", f)[1]) for f in set(after) - same} == hit and len(same) == len(before) - len(hit)
+    out = spark.read.parquet(path)
+    assert out.count() == 200 and out.filter(F.col("embedding_model") != new.name).count() == 0
+    want = {r["id"]: r["embedding"] for r in ops.embed(rows, "t", new).collect()}
+    assert {r["id"]: r["embedding"] for r in out.collect()} == want
+    assert refresh_vectors(spark, path, new, "t").count() == 0 and refresh_vectors(spark, path, old, "t").count() == len(before)

@@ -9,6 +9,9 @@ from shortlist.operators import embed as ops
 from shortlist.operators.embed import HashedWords
 from shortlist.operators.match import match_profiles
 from shortlist.operators.ranking import cosine_scores
+from shortlist.plans.refresh import refresh_vectors, write_vector_table
+from shortlist.session import scratch_path
+from workload.letters import LETTERS, letters_sql
 from workload.registry import query
 from workload.tables import postings, profile_vector, scored, table, texts, with_postings, with_scored
 
@@ -53,16 +56,32 @@ def _embedding_coverage(spark, d):
     return ops.embedding_coverage(rows, "current")
 
 
-_OLD = "CASE WHEN id % 3 = 0 THEN 'older-model' ELSE '" + WORDS.name + "' END"
+_OLD = f"CASE WHEN id % 3 = 0 THEN 'older-model' ELSE '{LETTERS.name}' END"
+_NEW = f"(embedding IS NULL OR ({_OLD}) <> '{LETTERS.name}')"
+_RENEWED = f"""len(w) AS dims, round(w[1], 5) AS first, round(w[5], 5) AS fifth, round(list_sum(w), 4) AS total, '{LETTERS.name}' AS embedding_model
+FROM (SELECT id, fresh, CASE WHEN fresh THEN v ELSE embedding::DOUBLE[] END AS w FROM (
+  SELECT id, embedding, {_NEW} AS fresh, {letters_sql('description_text')} AS v FROM postings))"""
 
 
-@query("embed_incremental", with_postings(f"""
-SELECT id, embedding IS NULL OR ({_OLD}) <> '{WORDS.name}' AS embedded_now, '{WORDS.name}' AS embedding_model,
-  CASE WHEN embedding IS NULL OR ({_OLD}) <> '{WORDS.name}' THEN {WORDS.dims} ELSE 64 END AS dims FROM postings"""))
+def _renewed(out, *columns: str):
+    value = F.transform("embedding", lambda x: x.cast("double"))
+    return out.select("id", *columns, F.size("embedding").cast("long").alias("dims"), F.round(value[0], 5).alias("first"), F.round(value[4], 5).alias("fifth"),
+                      F.round(F.aggregate(value, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "embedding_model")
+
+
+@query("embed_incremental", with_postings(f"SELECT id, fresh AS embedded_now, {_RENEWED}"))
 def _embed_incremental(spark, d):
     rows = postings(spark, d, "description_text", "embedding").withColumn("embedding_model", F.expr(_OLD))
-    out = ops.embed_incremental(rows, WORDS, "description_text")
-    return out.select("id", "embedded_now", "embedding_model", F.size("embedding").alias("dims"))
+    return _renewed(ops.embed_incremental(rows, LETTERS, "description_text"), "embedded_now")
+
+
+@query("refresh_vectors", with_postings(f"SELECT id, {_RENEWED}"))
+def _refresh_vectors(spark, d):
+    """A table of vectors whose outdated partitions are written again, read back."""
+    rows = postings(spark, d, "description_text", "embedding").withColumn("embedding_model", F.expr(_OLD))
+    path = write_vector_table(rows, scratch_path(spark, "vectors"), parts=8)
+    refresh_vectors(spark, path, LETTERS, "description_text")
+    return _renewed(spark.read.parquet(path))
 
 
 @query("reuse_vectors", with_postings("""
