@@ -69,8 +69,21 @@ def _renewed(out, *columns: str):
                       F.round(F.aggregate(value, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "embedding_model")
 
 
-@query("embed_incremental", with_postings(f"SELECT id, fresh AS embedded_now, {_RENEWED}"))
+_OLD_WORDS = "CASE WHEN id % 3 = 0 THEN 'older-model' ELSE '" + WORDS.name + "' END"
+
+
+@query("embed_incremental", with_postings(f"""
+SELECT id, embedding IS NULL OR ({_OLD_WORDS}) <> '{WORDS.name}' AS embedded_now, '{WORDS.name}' AS embedding_model,
+  CASE WHEN embedding IS NULL OR ({_OLD_WORDS}) <> '{WORDS.name}' THEN {WORDS.dims} ELSE 64 END AS dims FROM postings"""))
 def _embed_incremental(spark, d):
+    rows = postings(spark, d, "description_text", "embedding").withColumn("embedding_model", F.expr(_OLD_WORDS))
+    out = ops.embed_incremental(rows, WORDS, "description_text")
+    return out.select("id", "embedded_now", "embedding_model", F.size("embedding").alias("dims"))
+
+
+@query("embed_incremental_values", with_postings(f"SELECT id, fresh AS embedded_now, {_RENEWED}"))
+def _embed_incremental_values(spark, d):
+    """The vectors themselves, with a vectoriser that SQL can repeat."""
     rows = postings(spark, d, "description_text", "embedding").withColumn("embedding_model", F.expr(_OLD))
     return _renewed(ops.embed_incremental(rows, LETTERS, "description_text"), "embedded_now")
 
