@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +16,55 @@ ADDRESS = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 NUMBER = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Words that may be identifiers: two digits together near their beginning.
-CANDIDATE = r"(?<!\S)(?=\S{0,100}[0-9]{2})\S++"
+#: Runs of words that may be identifiers: each with a digit or an at sign; or one word in quotes.
+CANDIDATE = r"""(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+|(["'])[^\s"']++\1(?!\S))"""
+#: Contexts in a text: a word with the marks and blanks up to the next letter or digit, and the same to the left.
+LEFT, RIGHT = r"[\p{L}_]++[^\p{L}\p{N}_]*+", r"(?<=[\p{L}\p{N}_])[^\p{L}\p{N}_]++[\p{L}_]++"
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, seeds that a pattern needs, and the confidence from which an instance is taken.
+#: Rounds of scoring, good instances that a pattern needs, and the confidence from which instances and patterns are taken.
 ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 5, 0.9
+#: Characters from which an instance taken in one place is taken wherever it stands; shorter ones need a context of their own.
+ALONE = 8
+#: Code points of the pieces that a long text is cut into, so that a place in it is reached in one step.
+PIECE = 1024
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative join, in as many passes as its length has binary digits."""
+    def widen(now: Column, k: Column) -> Column:
+        return bound(F.pow(F.lit(2), k).cast("int"), lambda w: F.transform(now, lambda x, i: F.when(i >= w, join(x, F.get(now, i - w))).otherwise(x)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), values, widen)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start, end, value, before>>; offsets in code points, `before` is the text since the last."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "struct<at:int,xs:array<struct<start:int,end:int,value:string,before:string>>>"
+    """All matches as array<struct<start, end, value, before, after>>; offsets in code points, `before` and `after` reach to the
+    matches beside it. The work grows with the text and n log n of its matches."""
+    def placed(s: Column) -> Column:
+        n = F.size(s["found"])
+        before, after = F.slice(s["pieces"], 1, n), F.slice(s["pieces"], 2, n)
+        ends = running(F.zip_with(before, s["found"], lambda b, v: F.char_length(b) + F.char_length(v)), lambda x, y: x + y)
+        rows = F.arrays_zip(s["found"].alias("value"), ends.alias("end"), before.alias("before"), after.alias("after"))
+        names = rows_of("value", "end", "before", "after")
+        return F.transform(rows.cast(names), lambda m: F.struct(
+            (m["end"] - F.char_length(m["value"])).alias("start"), m["end"].alias("end"), m["value"].alias("value"),
+            m["before"].alias("before"), m["after"].alias("after")))
+
+    return bound(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["before"])
-        end = start + F.char_length(pair["value"])
-        item = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["before"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(state["xs"], F.array(item)).alias("xs")).cast(kind)
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-    empty = F.lit(None).cast(kind)
-    start = F.coalesce(empty, F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,end:int,value:string,before:string>>").alias("xs")).cast(kind))
-    return F.aggregate(pairs, start, step, lambda s: s["xs"])
+def rows_of(*names: str) -> str:
+    """The type of rows with these columns; `start` and `end` are numbers."""
+    return "array<struct<" + ",".join(f"{n}:{'int' if n in ('start', 'end') else 'string'}" for n in names) + ">>"
 
 
 def bare(spans: Column) -> Column:
@@ -68,59 +91,95 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, value, context>> of words that may be identifiers, without marks around them.
+    """array<struct<start, end, value, left, right>> of what may be an identifier, without the marks around it.
 
-    The context is the key of `key=value` and `key:value`, or else the last letters before the word.
+    `left` is the last word before it with all between, `right` the next word with all between, in small letters; empty
+    where something else stands there. The key of `key=value` and `key:value` is the left word.
     """
     def item(m: Column) -> Column:
-        whole = m["value"]
-        key = F.regexp_extract(whole, r"^([A-Za-z_]{2,40})[=:]", 1)
-        head = F.char_length(F.regexp_extract(whole, r"^([A-Za-z_]{2,40}[=:])?([^A-Za-z0-9+]*)", 0))
-        rest = F.substring(whole, head + 1, F.char_length(whole))
-        value = F.regexp_extract(rest, r"^[A-Za-z0-9+](?:[^A-Za-z0-9]*+[A-Za-z0-9]++)*+", 0)
-        start = m["start"] + head
-        tail = F.right(m["before"], F.lit(60))
-        context = F.when(key != "", key).otherwise(F.regexp_extract(tail, r"([\p{L}_]+)[^\p{L}_]*$", 1))
-        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"),
-                        F.lower(context).alias("context"))
+        def told(p: Column) -> Column:
+            start, value = m["start"] + F.char_length(p["head"]), p["value"]
+            tail = F.substring(m["value"], F.char_length(p["head"]) + F.char_length(value) + 1, F.char_length(m["value"]))
+            # read from its end, so that a long text in front is passed once
+            left = F.reverse(F.regexp_extract(F.reverse(F.concat(m["before"], p["head"])), r"^[^\p{L}\p{N}_]*+[\p{L}_]++", 0))
+            right = F.regexp_extract(F.concat(tail, m["after"]), r"^[^\p{L}\p{N}_]++[\p{L}_]++", 0)
+            return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"),
+                            F.lower(left).alias("left"), F.lower(right).alias("right"))
+
+        head = F.regexp_extract(m["value"], r"^(?:[\p{L}_]++[=:](?=.))?[^\p{L}\p{N}]*+", 0)
+        rest = F.substring(m["value"], F.char_length(head) + 1, F.char_length(m["value"]))
+        value = F.regexp_extract(rest, r"^[\p{L}\p{N}]++(?:[^\p{L}\p{N}]++[\p{L}\p{N}]++)*+", 0)
+        return bound(F.struct(head.alias("head"), value.alias("value")), told)
+
+    none = F.array().cast(rows_of("start", "end", "value", "left", "right"))
+    found = F.filter(F.transform(matches(text, CANDIDATE), item), lambda c: c["value"] != "")
+    return F.when(text.rlike("""[0-9@"']"""), found).otherwise(none)
 
-    def likely(c: Column) -> Column:
-        return (F.char_length(c["value"]) >= 6) & (F.length(digits(c["value"])) >= 4)
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,context:string>>")
-    return F.when(text.rlike("[0-9]{2}"), F.filter(F.transform(matches(text, CANDIDATE), item), likely)).otherwise(none)
+def with_base(items: Column, known: Column) -> Column:
+    """The candidates as c, each with base: whether a known span overlaps it. One sort and two running totals."""
+    def events(spans: Column, mine: int) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(mine).alias("mine"), x["end"].alias("end")))
 
+    def told(e: Column) -> Column:
+        reached = running(F.transform(e, lambda x: F.when(x["mine"] == 0, x["end"]).otherwise(-1)), F.greatest)
+        coming = running(F.reverse(F.transform(e, lambda x: F.when(x["mine"] == 0, x["start"]).otherwise((1 << 31) - 1))), F.least)
+        seen = F.arrays_zip(e.alias("e"), reached.alias("reached"), F.reverse(coming).alias("coming"))
+        mine = F.filter(seen, lambda x: x["e"]["mine"] == 1)
+        return F.transform(mine, lambda x: (x["reached"] > x["e"]["start"]) | (x["coming"] < x["e"]["end"]))
 
-def shape(value: Column) -> Column:
-    """Letters and digits as runs: a0, 0-0, a.0@a0.a.a."""
-    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "0")
+    flags = bound(F.array_sort(F.concat(events(known, 0), events(items, 1))), told)
+    return F.arrays_zip(items.alias("c"), flags.alias("base"))
 
 
-def learned_instances(found: DataFrame) -> DataFrame:
-    """instance: identifiers that no base pattern takes but trusted contexts hold.
+def opaque(value: Column) -> Column:
+    """Twenty letters and digits or more in one word, in turns: what keys and tokens look like."""
+    return value.rlike(r"^[A-Za-z0-9_+/-]{20,}+$") & value.rlike("(?:[0-9]++[A-Za-z]++){4}")
 
-    found: instance, context, seed. A pattern is a context word with the shape of what follows it. Its confidence is the
-    mean confidence of its instances (one more doubtful one added), an instance's the chance that not all its patterns
-    are wrong; seeds keep 1. Patterns need LEAST_SEEDS different seeds.
+
+def pattern_counts(texts: DataFrame) -> DataFrame:
+    """side, pattern, total: how often each context stands in the texts, whatever is beside it."""
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.regexp_extract_all("text", F.lit(regex), F.lit(0)).alias("all"))
+                     for side, regex in (("left", LEFT), ("right", RIGHT))])
+    sides = texts.select(F.explode(both).alias("s")).select("s.side", F.explode("s.all").alias("pattern"))
+    return sides.groupBy("side", F.lower("pattern").alias("pattern")).agg(F.count("*").alias("total"))
+
+
+def learned(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(side, pattern of trusted contexts; instance of trusted identifiers).
+
+    found: instance, left, right, seed. Contexts are the patterns of a graph whose other nodes are the instances. A
+    pattern's confidence is the mean score of its different instances (one more doubtful one added) times the share of its
+    places in all texts where a candidate stands, an instance's score the chance that not all its patterns are wrong;
+    seeds keep 1. A pattern needs LEAST_SEEDS instances that are trusted, found ones too, so the next round reaches farther.
     """
-    edges = written(found.filter("context <> ''").groupBy("context", "shape", "instance").agg(F.max("seed").alias("seed")), "identifiers")
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("pattern")) for s in ("left", "right")]))
+    edges = written(found.select("instance", "seed", sides.alias("e")).select("instance", "seed", "e.*").filter("pattern <> ''").groupBy(
+        "side", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "identifiers")
+    places = edges.groupBy("side", "pattern").agg(F.sum("n").alias("places"), F.max("seed").alias("any"))
+    share = written(places.join(pattern_counts(texts), ["side", "pattern"]).select(
+        "side", "pattern", F.least(F.lit(1.0), F.col("places") / F.col("total")).alias("share")), "identifiers")
     scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(ROUNDS):
-        patterns = edges.join(scores, "instance").groupBy("context", "shape").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        trusted = patterns.filter(F.col("seeds") >= LEAST_SEEDS)
-        scores = written(edges.join(trusted, ["context", "shape"], "left").groupBy("instance").agg(
+        patterns = edges.join(scores, "instance").groupBy("side", "pattern").agg(
+            (F.sum("score") / (F.count("*") + 1)).alias("pure"), F.sum((F.col("score") >= CONFIDENCE).cast("int")).alias("good"))
+        trusted = written(patterns.filter(F.col("good") >= LEAST_SEEDS).join(share, ["side", "pattern"]).select(
+            "side", "pattern", (F.col("pure") * F.col("share")).alias("confidence")), "identifiers")
+        scores = written(edges.join(trusted, ["side", "pattern"], "left").groupBy("instance").agg(
             F.max("seed").alias("seed"), F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))).alias("doubt")).select(
             "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "identifiers")
-    return scores.filter(F.col("score") >= CONFIDENCE).select("instance")
+    return trusted.filter(F.col("confidence") >= CONFIDENCE).select("side", "pattern"), scores.filter(F.col("score") >= CONFIDENCE).select("instance")
 
 
 def find_identifiers(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text_key, the spans of each base kind, and `id`: spans that bootstrapping adds.
 
     Null texts are empty. A null doc_id keeps its row; rows that share an id are told apart by their text; repeated rows
-    give repeated results; other columns are ignored; an empty table gives no rows. Very long texts are read in one pass
-    for each kind. No base span is changed by the learned ones, which never overlap them.
+    give repeated results; other columns are ignored; an empty table gives no rows. Very long texts and texts with very many
+    matches are read in one pass for each kind. No base span is changed by the learned ones, which never overlap them.
+
+    Seeds are the candidates that hold a base span and opaque words. What a trusted context holds is added, and where it
+    has ALONE characters or more and is no opaque word, in all its places.
     """
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"))
@@ -130,12 +189,16 @@ def find_identifiers(docs: DataFrame, id_column: str = "doc_id", text_column: st
                          candidates(text).alias("candidates"))
     marked = written(marked, "identifiers")
     known = F.concat(*[F.col(k) for k in KINDS])
-    maybe = marked.filter(F.size("candidates") > 0).select("doc_id", "text_key", known.alias("known"), F.explode("candidates").alias("c"))
-    maybe = maybe.select(
-        "doc_id", "text_key", "c.start", "c.end", "c.context", F.col("c.value").alias("instance"), shape(F.col("c.value")).alias("shape"),
-        F.exists("known", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start"))).alias("seed"))
-    maybe = written(maybe, "identifiers")
-    taken = maybe.filter("NOT seed").join(learned_instances(maybe), "instance", "left_semi")
+    maybe = marked.filter(F.size("candidates") > 0).select("doc_id", "text_key", F.explode(with_base(F.col("candidates"), known)).alias("x"))
+    maybe = maybe.select("doc_id", "text_key", "x.c.start", "x.c.end", "x.c.left", "x.c.right", F.col("x.c.value").alias("instance"), "x.base")
+    maybe = written(maybe.withColumn("seed", F.col("base") | opaque(F.col("instance"))), "identifiers")
+    trusted, instances = learned(maybe, rows)
+    free = maybe.filter("NOT base")
+    wanted = ["doc_id", "text_key", "start", "end"]
+    taken = free.filter(~F.col("seed") & (F.char_length("instance") >= ALONE)).join(instances, "instance", "left_semi").select(wanted)
+    for side in ("left", "right"):
+        own = trusted.filter(F.col("side") == side).select(F.col("pattern").alias(side))
+        taken = taken.unionByName(free.join(own, side, "left_semi").select(wanted))
     added = taken.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("id"))
     out = marked.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(added, ["key", "text_key"], "left")
@@ -151,6 +214,15 @@ def listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*[told(k) for k in kinds]), ",")
 
 
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, out of its pieces of PIECE code points."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    open_end = F.substring(F.get(pieces, first), F.pmod(start, F.lit(PIECE)) + 1, F.when(first == last, end - start).otherwise(PIECE))
+    full = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.when(first == last, "").otherwise(F.substring(F.get(pieces, last), F.lit(1), F.pmod(end, F.lit(PIECE))))
+    return F.concat(F.coalesce(open_end, F.lit("")), full, F.coalesce(tail, F.lit("")))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """documents with every span found replaced by its kind in angle brackets; spans that overlap give one mark.
 
@@ -166,14 +238,15 @@ def redact(docs: DataFrame) -> DataFrame:
     found = found.filter(F.size(spans) > 0).dropDuplicates([key, text_key])
     keyed = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))),
                               text_key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
-    kind = "struct<at:int,out:string>"
-
-    def step(state: Column, s: Column) -> Column:
-        shown = F.when(s["start"] >= state["at"], F.concat(
-            state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), s["mark"])).otherwise(state["out"])
-        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), shown.alias("out")).cast(kind)
-
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step,
-                        lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.char_length("text"))))
+    def cleaned(s: Column) -> Column:
+        ends = running(F.transform(s["spans"], lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+        since = F.concat(F.array(F.lit(0)), ends)          # where the text is told up to, before each span and at the end
+        shown = F.zip_with(F.slice(since, 1, F.size(s["spans"])), s["spans"], lambda at, x: F.when(
+            x["start"] >= at, F.concat(between(s["pieces"], at, x["start"]), x["mark"])).otherwise(""))
+        rest = between(s["pieces"], F.array_max(since), F.char_length("text"))
+        return F.concat(F.array_join(shown, ""), rest)
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = bound(F.struct(pieces.alias("pieces"), F.col(spans).alias("spans")), cleaned)
     joined = keyed.join(found, [key, text_key], "left")
     return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

@@ -97,9 +97,20 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(map(tuple, out.collect())) == sorted({tuple(r) for r in docs.collect()}) and out.columns == docs.columns
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """Of (1, a), (5, a), (5, b) the copy under 5 goes and the other text under 5 stays; ids that stand alone too."""
+    a, b = "one two three four five six seven eight", "a text of its own that is not like the first"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, a + " "), (8, "x"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (5, b), (8, "x"), (9, None), (9, "")], key=str)
+    other = spark.createDataFrame([(3, a, "en", "s", 1), (3, b, "en", "s", 1), (4, a, "en", "s", 1)], docs.schema)
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, other, SF).collect()) == sorted([a, b])
+
+
 def test_run_and_sql(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert set(ORACLE_SQL) <= set(QUERIES) and [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert set(ORACLE_SQL) <= set(QUERIES) and [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_sql_of_search(spark):
