@@ -37,14 +37,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays, the one with the smallest id.
+    """One document of each group of near copies (five words, similarity 0.8) stays: the smallest id, then text hash.
 
-    Rows that repeat an id and text stay once. Rows without an id stand alone and all stay.
+    Rows that repeat an id and text stay once; texts that share an id are judged each by itself. Rows without an id stand
+    alone and all stay.
     """
-    kept = near_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(
-        F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
-    return named.select("doc_id", "text", "_rest.*").select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
+    ids = named.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_hash").alias("_low"), F.max("_hash").alias("_high"))
+    several = written(ids.filter("_n > 1").select("doc_id", (F.col("_low") < F.col("_high")).alias("_shared")), "near_dedup")
+    # a text of a shared id goes by a number of its own, all others by their id
+    own = F.when(F.col("_shared"), F.xxhash64("doc_id", "_hash")).otherwise(F.col("doc_id"))
+    keyed = named.join(several, "doc_id", "left").withColumn("_key", own)
+    once = keyed.filter("_shared IS NOT NULL").groupBy("_key", "doc_id", "_hash", "text").agg(
+        F.min(F.struct("lang", "source", "n_chars")).alias("_rest")).select("_key", "_hash", "doc_id", "text", "_rest.*")
+    rows = keyed.filter("_shared IS NULL").select("_key", "_hash", *COLUMNS).unionByName(once.select("_key", "_hash", *COLUMNS))
+    found = near_components(rows.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    named_by = keyed.filter("_shared").select("_key", F.col("doc_id").alias("_id"), "_hash").distinct()
+    order = F.struct(F.coalesce("_id", "_key").alias("id"), F.coalesce("_hash", F.lit(0)).alias("hash"), F.col("_key").alias("key"))
+    kept = found.join(named_by, "_key", "left").groupBy("component_id").agg(F.min(order)["key"].alias("_key")).select("_key")
+    return rows.join(kept, "_key", "left_semi").select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
