@@ -99,6 +99,18 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which
         return mix(moved + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """range_hashes of all runs of `size` values, by their first places; neighbouring sums need no look-ups."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(BASES[0], len(values))[:len(values)], out=sums[1:])
+        moved = (sums[size:] - sums[:n]) * powers(INVERSES[0], len(values))[:n]
+        return mix(moved + np.uint64(size * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+
+
 def byte_values(lower: bool, seed: int = 0) -> np.ndarray:
     """A random 64-bit value for each byte; A-Z as a-z if lower."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(seed))

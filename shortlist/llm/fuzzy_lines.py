@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.llm.blocks import links_across, open_groups
-from shortlist.llm.common import byte_chunks, mix, range_hashes, unused, written
+from shortlist.llm.common import byte_chunks, mix, process_cache, range_hashes, unused, window_hashes, written
 from shortlist.llm.components import components
 
 #: Characters of a shingle, bins of a signature, and bands of three bins: a pair of similarity 0.8 is missed once in 1,300.
@@ -36,33 +36,59 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     return points, first[keep], end[keep], row[keep], number[keep]
 
 
+def point_values(points: np.ndarray) -> np.ndarray:
+    """A random 64-bit value for each code point; those of the first plane come from a table kept between calls."""
+    seed = np.uint64(0x632BE59BD9B4E019)
+    cache = process_cache("point_values")
+    if "plane" not in cache:
+        cache["plane"] = mix(np.arange(1 << 16, dtype=np.uint64) + seed)
+    out = cache["plane"][np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points > 0xFFFF)
+    out[high] = mix(points[high].astype(np.uint64) + seed)
+    return out
+
+
 def shingle_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of every line, and the line of each; a shorter line is one shingle."""
+    """Hashes of the shingles of every line, and the line of each; a shorter line is one shingle.
+
+    Lines are parts of `values` in any order. All places are hashed from neighbouring sums, then those of lines are taken.
+    """
     counts = np.maximum(end - first - SHINGLE + 1, 1)
+    at = np.cumsum(counts) - counts
     line = np.repeat(np.arange(len(first)), counts)
-    begin = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return range_hashes(values, begin, np.minimum(begin + SHINGLE, end[line])), line
+    begin = np.repeat(first - at, counts) + np.arange(len(line))
+    places = window_hashes(values, SHINGLE)
+    out = places[np.minimum(begin, len(places) - 1)] if len(places) else np.empty(len(line), np.uint64)
+    short = np.flatnonzero(end - first < SHINGLE)
+    out[at[short]] = range_hashes(values, first[short], end[short])
+    return out, line
 
 
 def signatures(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """The smallest hash of each bin; an empty bin takes that of another, the same one for every line with the same bins."""
-    sig = np.full(n * BINS, ~np.uint64(0))
+    """The smallest hash of each bin; an empty bin takes that of another, the same one for every line with the same bins.
+
+    Only the bins that bands use are filled.
+    """
+    empty = ~np.uint64(0)
+    sig = np.full(n * BINS, empty)
     np.minimum.at(sig, line * BINS + (hashes >> np.uint64(59)).astype(np.int64), hashes)
-    sig = sig.reshape(n, BINS)
-    own = sig.copy()
+    own = sig.reshape(n, BINS)
+    sig = own[:, :BANDS * ROWS].copy()
+    rows, bins = np.nonzero(sig == empty)
     for attempt in range(64):
-        rows, bins = np.nonzero(sig == ~np.uint64(0))
         if not len(rows):
             return sig
-        other = (mix((bins * 64 + attempt).astype(np.uint64)) >> np.uint64(59)).astype(np.int64)
-        sig[rows, bins] = own[rows, other]
-    rows, bins = np.nonzero(sig == ~np.uint64(0))
+        donors = (mix((np.arange(BINS) * 64 + attempt).astype(np.uint64)) >> np.uint64(59)).astype(np.int64)
+        given = own[rows, donors[bins]]
+        sig[rows, bins] = given
+        left = given == empty
+        rows, bins = rows[left], bins[left]
     sig[rows, bins] = own.min(axis=1)[rows]
     return sig
 
 
 def line_nodes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = mix(points.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    values = point_values(points)
     return values, range_hashes(values, first, end).view(np.int64)
 
 
@@ -76,7 +102,7 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 values, nodes = line_nodes(points, first, end)
                 nodes, at = np.unique(nodes, return_index=True)
                 hashes, line = shingle_hashes(values, first[at], end[at])
-                sig = signatures(hashes, line, len(nodes))[:, :BANDS * ROWS].reshape(len(nodes), BANDS, ROWS)
+                sig = signatures(hashes, line, len(nodes)).reshape(len(nodes), BANDS, ROWS)
                 with np.errstate(over="ignore"):
                     keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
                     for r in range(ROWS):
@@ -88,48 +114,40 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows whose key has two nodes or more, once each. Sorted rows are streamed; a key of any size needs no memory."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, node, open_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in batches:
-            # the last row waits for the next batch; open_key: its key was already shared before
-            v = np.concatenate([v, batch.column(0).to_numpy()])
-            node = np.concatenate([node, batch.column(1).to_numpy()])
-            if len(v) < 2:
-                continue
-            fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (node[1:] != node[:-1])])
-            v, node = v[fresh], node[fresh]
-            same = v[1:] == v[:-1]
-            shared = np.concatenate([same, [False]]) | np.concatenate([[v[0] == open_key], same])
-            yield pa.RecordBatch.from_arrays([pa.array(v[:-1][shared[:-1]]), pa.array(node[:-1][shared[:-1]])], names=["v", "node"])
-            open_key = v[-1] if shared[-1] else None
-            v, node = v[-1:], node[-1:]
-        if len(v) and open_key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(node)], names=["v", "node"])
-
-    return keys.repartition("v").sortWithinPartitions("v", "node").mapInArrow(run, "v long, node long")
+    """The rows whose key has two nodes or more. Rows sorted by key are streamed; a key of any size needs no memory.
 
-
-def line_places(docs: DataFrame) -> DataFrame:
-    """node, doc_id, text_key, line of every line that is not blank."""
+    A row comes once from each batch that has it.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_node, open_shared = None, None, False   # of the last key, which may go on in the next batch
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, _, data, offsets in byte_chunks(batch.column(2)):
-                points, first, end, row, number = split_lines(data, offsets)
-                _, nodes = line_nodes(points, first, end)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array(ids[start + row]), pa.array(keys[start + row]), pa.array(number.astype(np.int32))],
-                    names=["node", "doc_id", "text_key", "line"])
-
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "node long, doc_id long, text_key long, line int")
-
-
-def line_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """node, text of the needed lines; a bit table of fixed size keeps most others out of the exact join."""
-    word, bit = F.pmod("node", F.lit(TABLE_WORDS)), F.pmod(F.shiftright("node", 20), F.lit(64))
+            v, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(v):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            low, high = np.minimum.reduceat(node, starts), np.maximum.reduceat(node, starts)
+            shared, waiting = low != high, None
+            if v[0] == open_key:
+                shared[0] |= open_shared or low[0] != open_node
+                waiting = open_node if shared[0] and not open_shared else None
+            rows = np.repeat(shared, np.diff(np.append(starts, len(v))))
+            found = np.stack([v[rows], node[rows]])
+            if waiting is not None:
+                found = np.concatenate([found, [[open_key], [waiting]]], axis=1)
+            found = np.unique(found, axis=1) if found.size else found
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["v", "node"])
+            open_key, open_node, open_shared = v[-1], low[-1], bool(shared[-1])
+
+    return keys.repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, node long")
+
+
+def line_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """node, doc_id, text_key, line of every line that is not blank, and the text of lines that may be needed, once a batch.
+
+    A bit table of fixed size keeps most other texts out.
+    """
+    word = F.pmod("node", F.lit(TABLE_WORDS))
     words = needed.groupBy(word.cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftright(node, 20), 64) as int))")).alias("bits")).toArrow()
     bits = np.zeros(TABLE_WORDS, np.int64)
@@ -139,16 +157,21 @@ def line_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value.view(np.uint64)
         for batch in batches:
-            for _, _, data, offsets in byte_chunks(batch.column(0)):
-                points, first, end, _, _ = split_lines(data, offsets)
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for start, _, data, offsets in byte_chunks(batch.column(2)):
+                points, first, end, row, number = split_lines(data, offsets)
                 _, nodes = line_nodes(points, first, end)
-                nodes, at = np.unique(nodes, return_index=True)
-                hit = (bits[nodes % TABLE_WORDS] >> ((nodes >> 20) % 64).astype(np.uint64)) & np.uint64(1) == 1
-                texts = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(first[at[hit]], end[at[hit]], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(texts, pa.string())], names=["node", "text"])
+                own, at = np.unique(nodes, return_index=True)
+                hit = at[(bits[own % TABLE_WORDS] >> ((own >> 20) % 64).astype(np.uint64)) & np.uint64(1) == 1]
+                texts = np.full(len(nodes), None, object)
+                for i in hit:
+                    texts[i] = points[first[i]:end[i]].tobytes().decode("utf-32-le")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes), pa.array(ids[start + row]), pa.array(keys[start + row]), pa.array(number.astype(np.int32)),
+                     pa.array(texts, pa.string())], names=["node", "doc_id", "text_key", "line", "text"])
 
-    found = docs.select("text").mapInArrow(run, "node long, text string")
-    return written(found.join(needed, "node", "left_semi").dropDuplicates(["node"]), "lines")
+    return written(docs.select("doc_id", "text_key", "text").mapInArrow(
+        run, "node long, doc_id long, text_key long, line int, text string"), "lines")
 
 
 def line_sets(column: pa.Array) -> list[np.ndarray]:
@@ -185,8 +208,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return written(full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "lines")
 
 
-def line_components(docs: DataFrame, percent: int) -> DataFrame:
-    """node, component of the lines that are similar to another line.
+def line_components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component of the lines that are similar to another line; node, doc_id, text_key, line of all lines).
 
     Each member of a band's list meets the list's hub, its smallest node. Lists that then still hold several
     components compare their members' full sets across these, in blocks.
@@ -195,13 +218,15 @@ def line_components(docs: DataFrame, percent: int) -> DataFrame:
     hubs = written(lists.groupBy("v").agg(F.min("node").alias("hub")), "lines")
     met = lists.join(hubs, "v").select("node", "hub").filter("node <> hub")
     tried = written(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "lines")
-    texts = line_texts(docs, lists.select("node").distinct())
+    needed = written(lists.select("node").distinct(), "lines")
+    table = line_table(docs, needed)
+    texts = written(table.filter("text IS NOT NULL").select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]), "lines")
     links = similar_pairs(tried, texts, percent)
     found = written(components(links), "lines")
     groups = open_groups(lists, hubs, found)
     if not groups.isEmpty():
         found = written(components(links.unionByName(links_across(groups, texts, line_sets, percent))), "lines")
-    return found
+    return found, table.drop("text")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,8 +240,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     key = F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID))
     text = docs[text_column].cast("string")
     rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(text, F.lit("")).alias("text"))
-    found = line_components(rows, percent)
-    places = written(line_places(rows).join(found, "node", "left").select(
+    found, table = line_components(rows, percent)
+    places = written(table.join(found, "node", "left").select(
         F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line").distinct(), "lines")
     place = F.struct("doc_id", "text_key", "line")
     first = written(places.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high").select("group", "low"), "lines")
