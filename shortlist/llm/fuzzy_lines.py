@@ -18,6 +18,8 @@ SHINGLE, BINS, BANDS, ROWS = 8, 32, 10, 3
 #: Words of the fixed-size bit table that keeps most lines out of the text join (4 MB; a full table only filters less).
 TABLE_WORDS = 1 << 19
 NO_ID = (1 << 63) - 1
+#: Bytes of text looked at together; the arrays of a part then stay in a core's own cache.
+PART_BYTES = 100_000
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -97,10 +99,15 @@ def band_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in byte_chunks(batch.column(0)):
+            seen = np.zeros(0, np.int64)               # nodes of the batch so far, sorted
+            for _, _, data, offsets in byte_chunks(batch.column(0), PART_BYTES):
                 points, first, end, _, _ = split_lines(data, offsets)
                 values, nodes = line_nodes(points, first, end)
                 nodes, at = np.unique(nodes, return_index=True)
+                place = np.searchsorted(seen, nodes)
+                new = np.ones(len(nodes), bool) if not len(seen) else seen[np.minimum(place, len(seen) - 1)] != nodes
+                nodes, at = nodes[new], at[new]
+                seen = np.insert(seen, place[new], nodes)
                 hashes, line = shingle_hashes(values, first[at], end[at])
                 sig = signatures(hashes, line, len(nodes)).reshape(len(nodes), BANDS, ROWS)
                 with np.errstate(over="ignore"):
@@ -158,7 +165,7 @@ def line_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
         bits = shared.value.view(np.uint64)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, _, data, offsets in byte_chunks(batch.column(2)):
+            for start, _, data, offsets in byte_chunks(batch.column(2), PART_BYTES):
                 points, first, end, row, number = split_lines(data, offsets)
                 _, nodes = line_nodes(points, first, end)
                 own, at = np.unique(nodes, return_index=True)
@@ -177,7 +184,7 @@ def line_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
 def line_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of texts of one line each."""
     out = []
-    for _, _, data, offsets in byte_chunks(column):
+    for _, _, data, offsets in byte_chunks(column, PART_BYTES):
         points, first, end, row, _ = split_lines(data, offsets)
         values, _ = line_nodes(points, first, end)
         hashes, line = shingle_hashes(values, first, end)
@@ -242,13 +249,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(text, F.lit("")).alias("text"))
     found, table = line_components(rows, percent)
     places = written(table.join(found, "node", "left").select(
-        F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line").distinct(), "lines")
+        F.coalesce("component", "node").alias("group"), "doc_id", "text_key", "line"), "lines")
     place = F.struct("doc_id", "text_key", "line")
     first = written(places.groupBy("group").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high").select("group", "low"), "lines")
     own, own_text, cut = unused(docs.columns, "_key", "_text_key", "_gone")
     counted, removed = unused(docs.columns, "n_lines", "n_removed")
+    # a set, as a repeated row names its lines again
     gone = places.join(first, "group").filter(place != F.col("low")).groupBy("doc_id", "text_key").agg(
-        F.collect_list("line").alias(cut)).select(F.col("doc_id").alias(own), F.col("text_key").alias(own_text), cut)
+        F.collect_set("line").alias(cut)).select(F.col("doc_id").alias(own), F.col("text_key").alias(own_text), cut)
     keyed = docs.withColumns({own: key, own_text: F.xxhash64(text)}).join(gone, [own, own_text], "left")
     lines = F.split(text_column, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(cut), i))
