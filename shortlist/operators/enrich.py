@@ -59,21 +59,32 @@ def parse_extraction(responses: DataFrame, col: str = "response") -> DataFrame:
     """One row per item of an extraction response, with typed fields and the keys it had.
 
     A response is an array, an object whose first list of objects is the array, or one object.
-    Anything else yields one row with failed = true.
+    Anything else, an object that names a key twice included, yields one row with failed = true.
+    The text is parsed once; a value of another type than its field's is null, and only that field.
     """
-    text = F.trim(F.col(col))
-    members = F.map_values(F.from_json(text, "map<string,string>"))
-    lists = F.filter(members, lambda v: v.rlike(r"^\s*\[\s*(\{|\])"))
-    array_text = F.when(text.startswith("["), text).otherwise(F.try_element_at(lists, F.lit(1)))
-    items = F.coalesce(
-        F.from_json(array_text, "array<string>"),
-        F.when(text.startswith("{") & (F.size(members) > 0) & (F.size(lists) == 0), F.array(text)))
     rest = [c for c in responses.columns if c != col]
-    rows = responses.select(*rest, items.isNull().alias("failed"),
-                            F.posexplode_outer(items).alias("idx", "_item"))
-    return rows.select(*rest, "failed", "idx",
-                       F.map_keys(F.from_json("_item", "map<string,string>")).alias("returned"),
-                       F.from_json("_item", EXTRACTED).alias("fields"))
+
+    def as_list(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "array<variant>")
+
+    def as_object(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def of_objects(_: Column, value: Column) -> Column:
+        return (F.size(as_list(value)) == 0) | as_object(F.get(as_list(value), F.lit(0))).isNotNull()
+
+    whole = responses.select(*rest, F.trim(F.col(col)).alias("_text"), F.try_parse_json(F.trim(F.col(col))).alias("_whole"))
+    members = whole.withColumn("_members", as_object(F.col("_whole")))
+    lists = members.withColumn("_lists", F.map_filter("_members", lambda k, v: F.coalesce(of_objects(k, v), F.lit(False))))
+    # a parsed object has its keys by name; only where several are lists does the order in the text count
+    names = F.when(F.size("_lists") > 1, F.filter(F.json_object_keys("_text"), lambda k: F.map_contains_key("_lists", k)))
+    first = F.get(F.coalesce(names, F.map_keys("_lists")), F.lit(0))
+    single = F.when((F.size("_members") > 0) & (F.size("_lists") == 0), F.array("_whole"))
+    items = lists.select(*rest, F.coalesce(as_list(F.col("_whole")), as_list(F.try_element_at("_lists", first)), single).alias("_items"))
+    rows = items.select(*rest, F.col("_items").isNull().alias("failed"), F.posexplode_outer("_items").alias("idx", "_item"))
+    fields = F.struct(*[F.try_variant_get("_item", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in EXTRACTED.fields])
+    return rows.select(*rest, "failed", "idx", F.map_keys(as_object(F.col("_item"))).alias("returned"),
+                       F.when(F.col("_item").isNotNull(), fields).alias("fields"))
 
 
 def merge_extraction(raw: DataFrame, extracted: DataFrame,

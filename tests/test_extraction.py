@@ -26,6 +26,16 @@ def test_response_shapes(spark, response, want):
     assert [(r["failed"], r["idx"], r["fields"] and r["fields"]["seniority"]) for r in enrich.parse_extraction(df).collect()] == want
 
 
+def test_first_list_by_text_and_fields_of_another_type(spark):
+    text = '{"z":[{"seniority":"Lead","min_years_exp":"many","salary_min":9,"tech_stack":"x"}],"a":[{"seniority":"Mid"}]}'
+    out = enrich.parse_extraction(spark.createDataFrame([(1, text)], "batch int, response string"))
+    row = out.first()
+    assert row["fields"].asDict() == {**dict.fromkeys(row["fields"].asDict()), "seniority": "Lead", "salary_min": 9.0}
+    assert sorted(row["returned"]) == ["min_years_exp", "salary_min", "seniority", "tech_stack"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1 and "from_json" not in plan
+
+
 def test_merge_keeps_postings_of_short_and_failed_batches(spark):
     raw = spark.createDataFrame([("s", 0, 0, "raw", 1.0), ("s", 0, 1, "raw", 2.0), ("s", 1, 0, "raw", 3.0)],
                                 "source string, batch long, idx int, seniority string, salary_min double")
