@@ -11,6 +11,8 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, StopWordsR
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from shortlist.sources.sinks import write_counted
+
 BATCH = 64
 
 
@@ -134,6 +136,12 @@ def embedding_coverage(df: DataFrame, model: str, force: bool = False) -> DataFr
                        F.lit(model).alias("model_used"))
 
 
+def write_embedded(df: DataFrame, vectoriser: Vectoriser, text: str, path: str, force: bool = False) -> dict[str, int]:
+    """Write embed_incremental's rows to a new folder; the coverage is counted by the same job."""
+    done = embed_incremental(df, vectoriser, text, force)
+    return write_counted(done, path, {"embedded": F.col("embedded_now"), "skipped_cached": ~F.col("embedded_now")})
+
+
 def text_vector(spark, text: str, vectoriser: Vectoriser) -> list[float]:
     """Vector of one text, e.g. of a profile."""
     row = embed(spark.createDataFrame([(text,)], "text string"), "text", vectoriser).first()

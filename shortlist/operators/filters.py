@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shortlist.functions.fields import safe_number
 from shortlist.functions.text import SHORT_TEXT, gate_status
 from shortlist.operators.dedup import has_url as filter_has_url  # noqa: F401
+from shortlist.sources.sinks import write_counted
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,22 @@ def prefilter(df: DataFrame, rules: Prefilter) -> DataFrame:
 
 def prefilter_funnel(df: DataFrame, rules: Prefilter) -> DataFrame:
     """Rows left after each stage, from one pass."""
-    passed = F.lit(True)
-    counts = [F.count("*").alias("total")]
+    return df.agg(*[F.count_if(test).alias(name) for name, test in funnel_tests(df, rules).items()])
+
+
+def funnel_tests(df: DataFrame, rules: Prefilter) -> dict[str, Column]:
+    """Which rows each number of the funnel counts."""
+    passed, tests = F.lit(True), {"total": F.lit(True)}
     for name, predicate in rules.stages(df.columns):
         passed = passed & predicate
-        counts.append(F.count_if(passed).alias(f"after_{name}"))
-    counts.append(F.count_if(passed).alias("remaining"))
-    return df.agg(*counts)
+        tests[f"after_{name}"] = passed
+    return {**tests, "remaining": passed}
+
+
+def write_prefiltered(df: DataFrame, rules: Prefilter, path: str) -> dict[str, int]:
+    """Write the rows that pass all rules to a new folder; the funnel is counted by the same job."""
+    tests = funnel_tests(df, rules)
+    return write_counted(df, path, tests, tests["remaining"])
 
 
 def filter_min_score(df: DataFrame, threshold: float, strict: bool = False,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from shortlist.lookups import RESULT_COLUMNS
 
@@ -40,6 +40,18 @@ def write_scored(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("sou
     return version
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], keep: Column | None = None) -> dict[str, int]:
+    """Write the rows of df that `keep` holds for to a new Parquet folder; counts over all rows of df are taken while they pass.
+
+    One job reads the rows once. A stage that runs again after a lost executor counts once if no shuffle stands between
+    df and the written rows, as the tasks then write what they count. No rows give counts of 0.
+    """
+    passed = Observation()
+    seen = df.observe(passed, *[F.count_if(test).alias(name) for name, test in counts.items()])
+    (seen if keep is None else seen.filter(keep)).write.mode("errorifexists").parquet(path)
+    return {**dict.fromkeys(counts, 0), **passed.get}
+
+
 def write_raw(df: DataFrame, out_dir: str, fmt: str = "csv") -> str:
     return _write(df, f"{out_dir}/raw_jobs_{_stamp()}", fmt)
 

@@ -140,3 +140,15 @@ def test_distribution_edges(spark):
     scored = spark.createDataFrame([("A", s) for s in (0.55, 0.549, 0.45, 0.449, None)], "strategy string, similarity_score double")
     row = compare.score_distribution(scored).first()
     assert (row["high"], row["middle"], row["low"]) == (1, 2, 1)
+
+
+def test_funnel_is_counted_by_the_job_that_writes(spark, jobs, tmp_path):
+    rules = Prefilter(min_salary=1)
+    spark.sparkContext.setJobGroup("funnel", "counted write")
+    counts = filters.write_prefiltered(jobs, rules, str(tmp_path / "kept"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("funnel")) == 1
+    assert counts == filters.prefilter_funnel(jobs, rules).first().asDict()
+    assert ids(spark.read.parquet(str(tmp_path / "kept"))) == ids(filters.prefilter(jobs, rules))
+    none = filters.write_prefiltered(jobs.filter("id < 0"), rules, str(tmp_path / "none"))
+    assert set(none.values()) == {0} and spark.read.parquet(str(tmp_path / "none")).isEmpty()

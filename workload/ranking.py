@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shortlist.functions.text import best_text, page_text
 from shortlist.operators import compare, filters, ranking
 from shortlist.operators.filters import Prefilter
+from shortlist.session import scratch_path
 from shortlist.sources.sinks import project_result
 from workload.registry import query
 from workload.sqltext import best_text_sql, page_text_sql
@@ -61,6 +62,19 @@ def _prefilter_funnel(spark, d):
     return filters.prefilter_funnel(postings(spark, d, *_FILTER_COLUMNS), RULES)
 
 
+@query("write_prefiltered", with_postings(f"""
+SELECT CAST(count(*) AS BIGINT) AS total, count(*) FILTER ({_RELEVANT}) AS after_relevant,
+  count(*) FILTER ({_RELEVANT} AND {_SENIOR} AND {_EMPLOYED} AND {_PAID}) AS remaining,
+  count(*) FILTER ({_RELEVANT} AND {_SENIOR} AND {_EMPLOYED} AND {_PAID}) AS rows_written,
+  CAST(sum(id) FILTER ({_RELEVANT} AND {_SENIOR} AND {_EMPLOYED} AND {_PAID}) AS BIGINT) AS sum_id FROM postings"""))
+def _write_prefiltered(spark, d):
+    path = scratch_path(spark, "prefiltered")
+    counts = filters.write_prefiltered(postings(spark, d, *_FILTER_COLUMNS), RULES, path)
+    return spark.read.parquet(path).agg(
+        *[F.lit(counts[c]).cast("long").alias(c) for c in ("total", "after_relevant", "remaining")],
+        F.count("*").alias("rows_written"), F.sum("id").cast("long").alias("sum_id"))
+
+
 def _rounded(df, *columns):
     return df.select(*columns, F.round("similarity_score", 6).alias("similarity_score"))
 

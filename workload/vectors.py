@@ -56,6 +56,22 @@ def _embedding_coverage(spark, d):
     return ops.embedding_coverage(rows, "current")
 
 
+_FRESH = f"(embedding IS NULL OR (CASE WHEN id % 3 = 0 THEN 'older-model' ELSE '{LETTERS.name}' END) <> '{LETTERS.name}')"
+
+
+@query("write_embedded", with_postings(f"""
+SELECT count(*) FILTER (fresh) AS embedded, count(*) FILTER (NOT fresh) AS skipped_cached,
+  count(*) FILTER (fresh) AS rows_renewed, CAST(sum(id) AS BIGINT) AS sum_id FROM (SELECT id, {_FRESH} AS fresh FROM postings)"""))
+def _write_embedded(spark, d):
+    rows = postings(spark, d, "embedding", "description_text").withColumn(
+        "embedding_model", F.when(F.col("id") % 3 == 0, "older-model").otherwise(LETTERS.name))
+    path = scratch_path(spark, "embedded")
+    counts = ops.write_embedded(rows, LETTERS, "description_text", path)
+    return spark.read.parquet(path).agg(
+        *[F.lit(counts[c]).cast("long").alias(c) for c in ("embedded", "skipped_cached")],
+        F.count_if("embedded_now").alias("rows_renewed"), F.sum("id").cast("long").alias("sum_id"))
+
+
 _OLD = f"CASE WHEN id % 3 = 0 THEN 'older-model' ELSE '{LETTERS.name}' END"
 _NEW = f"(embedding IS NULL OR ({_OLD}) <> '{LETTERS.name}')"
 _RENEWED = f"""len(w) AS dims, round(w[1], 5) AS first, round(w[5], 5) AS fifth, round(list_sum(w), 4) AS total, '{LETTERS.name}' AS embedding_model
