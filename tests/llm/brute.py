@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -225,3 +226,38 @@ def judged(url, rules, hosts):
     if fits:
         return host, path, max(fits)[3], max(fits)[4]
     return host, path, None, "block" if any(host == h or host.endswith("." + h) for h in hosts) else "allow"
+
+
+def language_grams(text, buckets):
+    """Buckets of the 1- to 3-grams of a text's small letters, runs of all else as one blank."""
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+    low = [c for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            if n == 1 and low[i] == " ":
+                continue
+            value = 0
+            for k, c in enumerate(low[i:i + n], 1):
+                value = (value * 0x100000001B3 + ord(c) + k) % 2 ** 64
+            out.append((value * 0x9E3779B97F4A7C15 % 2 ** 64 >> 40) % buckets)
+    return out
+
+
+def naive_bayes(learned, texts, buckets, smoothing=0.5):
+    """(language, posterior) of each text by multinomial naive Bayes with equal priors; learned: (lang, text) pairs."""
+    counts = {}
+    for lang, text in learned:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(language_grams(text, buckets))
+    sizes = {lang: sum(c.values()) + smoothing * buckets for lang, c in counts.items()}
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text) or not counts:
+            out.append(("und", 0.0))
+            continue
+        grams = Counter(language_grams(text, buckets))
+        logs = {lang: sum(n * math.log((counts[lang][g] + smoothing) / sizes[lang]) for g, n in grams.items()) for lang in sorted(counts)}
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out

@@ -59,6 +59,23 @@ def test_language(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def test_language_scores(spark, texts):
+    """Predictions and scores of every document, and of texts between languages, by a plain naive Bayes."""
+    from shortlist.llm.language import BUCKETS, predict_language, train_language
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    learned = [(r.lang, r.text) for r in rows if not brute.held_out(r.doc_id)]
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in result(spark, "op2_language_id")}
+    want = dict(zip(texts, brute.naive_bayes(learned, list(texts.values()), BUCKETS), strict=True))
+    assert all(out[d][0] == lang and abs(out[d][1] - score) < 1e-4 for d, (lang, score) in want.items())
+    odd = [None, "", "12 34", "a", "Das the de", "la die", "\u0130stanbul \u00df", "x" * 5000]
+    model = train_language(spark.createDataFrame(learned, "lang string, text string"))
+    some = predict_language(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in some.collect()}
+    for i, (lang, score) in enumerate(brute.naive_bayes(learned, odd, BUCKETS)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
 def test_lines(spark, texts):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in result(spark, "op3_line_dedup")} == brute.deduped_lines(texts)
 
