@@ -11,16 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shortlist.operators.groups import sliced, top_n_per_group
+from shortlist.session import pin
 
 MAX_BROADCAST_FLOATS = 16_000_000   # about 128 MB of doubles per pass
+PROFILES_OF_TILE, POSTINGS_OF_TILE = 256, 2048      # 2 MB of scores in single precision
+PAIRS_AT_ONCE = 100_000     # pairs scored in double precision together
+ROWS_OF_TASK = 500_000      # postings of a task at most, about 128 MB of vectors
 
 
 def match_profiles(postings: DataFrame, profiles: DataFrame, k: int = 10, digits: int = 6,
                    max_floats: int = MAX_BROADCAST_FLOATS) -> DataFrame:
     """Top k postings (id, embedding) per profile (profile_id, embedding) by cosine, rounded in the result.
 
-    Ids may be integers or strings. Postings stay where they are; the profile matrix goes to the tasks in slices of at
-    most max_floats numbers. Each slice takes two passes: a share of the postings gives every profile a lower bound of its
+    Ids may be integers or strings. Vectors of postings are dealt to tasks of equal size once; the profile matrix goes to the tasks
+    in slices, which with their results have at most max_floats numbers. Every pair is scored, so the time grows as postings times
+    profiles; memory does not. Each slice takes two passes: a share of the postings gives every profile a lower bound of its
     k-th score, then all postings are scored and only rows at or above the bound travel, so what is shuffled does not grow with the
     number of tasks. Pairs are never materialised. Scores that agree to twelve decimals are ties and go to the smaller
     posting id. All vectors must have one length; a null vector takes no part, another length is an error.
@@ -36,8 +41,9 @@ def match_profiles(postings: DataFrame, profiles: DataFrame, k: int = 10, digits
     fits = F.when(F.size("embedding") == wide, F.col("embedding")).otherwise(F.raise_error(F.concat(
         F.lit("a posting vector of another length than "), F.lit(str(wide)), F.lit(": "), F.size("embedding").cast("string"))))
     rows = postings.filter(F.col("embedding").isNotNull()).select("id", fits.alias("embedding"))
+    rows = pin(rows.repartition(tasks_for(postings)))       # read twice a slice
     passes = [_best_of_slice(rows, part, k)
-              for part in sliced(profiles, ["profile_id"], max(1, max_floats // wide))]
+              for part in sliced(profiles, ["profile_id"], max(1, max_floats // (wide + k)))]
     ranked = _ranked(reduce(DataFrame.unionByName, passes), k)
     return ranked.select(F.col("profile_id").cast(kinds["profile_id"]).alias("profile_id"),
                          F.col("id").cast(kinds["id"]).alias("id"), F.round("score", digits).alias("score"), "rank")
@@ -47,6 +53,12 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return top_n_per_group(rows, ["profile_id"], [F.desc("score"), F.asc("id")], k)
 
 
+def tasks_for(postings: DataFrame) -> int:
+    """Tasks for scoring these postings: enough of equal size to keep all cores busy, none with very many rows."""
+    total = postings.count()
+    return max(1, -(-total // ROWS_OF_TASK), min(4 * postings.sparkSession.sparkContext.defaultParallelism, total // 1000))
+
+
 def first_share(postings: DataFrame) -> DataFrame:
     """One of about sqrt(tasks) postings, in that much fewer tasks.
 
@@ -84,43 +96,100 @@ def _best_of_slice(postings: DataFrame, profiles: DataFrame, k: int) -> DataFram
 def best_rows(postings: DataFrame, profile_ids: list, matrix: np.ndarray, bounds: np.ndarray, k: int, schema: str) -> DataFrame:
     """Of every task's postings the k best of each profile, as far as they reach the profile's bound.
 
-    The matrix has a unit vector a profile. A task raises its bounds with the k-th scores that it finds.
+    The matrix has a unit vector a profile. All pairs are scored in single precision, in tiles that stay in a core's cache; the
+    few that come within its rounding error of the bound are scored again in double precision, and only these scores count. A
+    task raises its bounds with the k-th scores that it finds. Of equal vectors in a batch the k smallest ids take part.
     """
     shared = postings.sparkSession.sparkContext.broadcast((profile_ids, matrix, bounds))
+    high, wide, most = PROFILES_OF_TILE, POSTINGS_OF_TILE, PAIRS_AT_ONCE
 
     # everything the tasks call is local, so workers need not have this package installed
+    def places(own: np.ndarray) -> np.ndarray:
+        """Numbers in the order of the ids, null first."""
+        given = np.array([x is not None for x in own], bool)
+        out = np.zeros(len(own), np.int64)
+        if len(own):
+            out[given] = np.unique(own[given], return_inverse=True)[1] + 1
+        return out
+
+    def firsts(group: np.ndarray) -> np.ndarray:
+        """Place of each row in its group; groups are sorted."""
+        return np.arange(len(group)) - np.searchsorted(group, group)
+
+    def without_copies(block: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Rows that may be among the k best of a profile, as no k rows of the same vector have smaller ids."""
+        rows = np.ascontiguousarray(block).view(np.dtype((np.void, block.itemsize * block.shape[1]))).ravel()
+        group, counts = np.unique(rows, return_inverse=True, return_counts=True)[1:]
+        if counts.max() <= k:
+            return np.arange(len(block))
+        order = np.lexsort((places(names), group))
+        return np.sort(order[firsts(group[order]) < k])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile_ids, targets, bounds = shared.value
         bounds = bounds.copy()
-        best = {}        # profile -> (scores, ids) of at most k rows
-        step = max(k, 4_000_000 // len(profile_ids))
+        rough = targets.astype(np.float32)
+        error = (targets.shape[1] + 8) * 2.0 ** -23       # more than single precision is off by on unit vectors
+        scores = np.full((len(bounds), k), -np.inf)       # of the best rows so far, and their ids
+        ids = np.full((len(bounds), k), None, object)
+        tile = np.empty(high * wide, np.float32)
+
+        def candidates(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(profile, row) of the pairs that may reach the bound, or the k-th score in this block where there is no bound."""
+            across = np.ascontiguousarray(block.astype(np.float32).T)
+            found = []
+            for at in range(0, len(bounds), high):
+                n = min(high, len(bounds) - at)
+                part = tile[:n * len(block)].reshape(n, -1)
+                np.matmul(rough[at:at + n], across, out=part)
+                low = bounds[at:at + n] - error
+                unbound = np.flatnonzero(low == -np.inf)
+                if len(unbound) and len(block) > k:
+                    low[unbound] = np.partition(part[unbound], -k, axis=1)[:, -k].astype(np.float64) - 2 * error
+                hit = np.flatnonzero(part.max(axis=1) >= low)
+                p, row = np.nonzero(part[hit] >= low[hit, None])
+                found.append((at + hit[p], row))
+            return np.concatenate([p for p, _ in found]), np.concatenate([row for _, row in found])
+
+        def take(profile: np.ndarray, found: np.ndarray, own: np.ndarray) -> None:
+            """Put rows among the best of their profiles."""
+            which = np.unique(profile)
+            old = np.nonzero(scores[which] > -np.inf)
+            profile = np.concatenate([profile, which[old[0]]])
+            found = np.concatenate([found, scores[which][old]])
+            own = np.concatenate([own, ids[which][old]])
+            order = np.lexsort((places(own), -found, profile))
+            place = firsts(profile[order])
+            order, place = order[place < k], place[place < k]
+            scores[which], ids[which] = -np.inf, None
+            scores[profile[order], place], ids[profile[order], place] = found[order], own[order]
+            bounds[which] = np.maximum(bounds[which], scores[which, k - 1])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = np.array(batch.column(0).to_pylist(), dtype=object)
-            block = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(names), -1)
+            names = np.empty(batch.num_rows, object)
+            names[:] = batch.column(0).to_pylist()
+            given = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            kept = without_copies(given, names)
+            names, block = names[kept], given[kept].astype(np.float64)
             lengths = np.linalg.norm(block, axis=1, keepdims=True)
             block = np.divide(block, lengths, out=np.zeros_like(block), where=lengths != 0)
-            for at in range(0, len(names), step):
-                scores = np.round(targets @ block[at:at + step].T, 12)
-                if scores.shape[1] > k:     # the block's own k-th score is a bound, too
-                    bounds = np.maximum(bounds, np.partition(scores, -k, axis=1)[:, -k])
-                profile, row = np.nonzero(scores >= bounds[:, None])
-                cuts = np.searchsorted(profile, np.arange(len(bounds) + 1))
-                for p in np.flatnonzero(np.diff(cuts)):
-                    rows = row[cuts[p]:cuts[p + 1]]
-                    found, own = scores[p, rows], names[at + rows]
-                    if p in best:
-                        found, own = np.concatenate([best[p][0], found]), np.concatenate([best[p][1], own])
-                    keep = sorted(range(len(own)), key=lambda i: (-found[i], own[i]))[:k]
-                    best[p] = found[keep], own[keep]
-                    if len(keep) == k:
-                        bounds[p] = max(bounds[p], best[p][0][-1])
-        if best:
-            counts = [len(own) for _, own in best.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([profile_ids[p] for p, n in zip(best, counts, strict=True) for _ in range(n)]),
-                 pa.array(np.concatenate([own for _, own in best.values()]).tolist()),
-                 pa.array(np.concatenate([found for found, _ in best.values()]))], names=["profile_id", "id", "score"])
-
+            valid = ~np.isnan(block).any(axis=1)
+            names, block = names[valid], block[valid]
+            for start in range(0, len(names), wide):
+                profile, row = candidates(block[start:start + wide])
+                for at in range(0, len(row), most):
+                    p, r = profile[at:at + most], start + row[at:at + most]
+                    exact = np.round(np.einsum("ij,ij->i", targets[p], block[r]), 12)
+                    good = np.flatnonzero(exact >= bounds[p])
+                    if len(good):
+                        take(p[good], exact[good], names[r[good]])
+        profile, place = np.nonzero(scores > -np.inf)
+        for at in range(0, len(profile), most):
+            p, r = profile[at:at + most], place[at:at + most]
+            yield pa.RecordBatch.from_arrays([pa.array([profile_ids[i] for i in p]), pa.array(ids[p, r].tolist(), kind),
+                                              pa.array(scores[p, r])], names=["profile_id", "id", "score"])
+
+    kind = pa.string() if "id string" in schema.split(", ")[1] else pa.int64()
     return postings.mapInArrow(run, schema)

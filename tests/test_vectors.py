@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shortlist.functions.vectors import cosine, cosine_arrow, decode_vector, encode_vector, l2_normalise
 from shortlist.operators import embed as ops
 from shortlist.operators.embed import BatchVectoriser, HashedWords
-from shortlist.operators.match import best_rows, first_share, match_profiles
+from shortlist.operators.match import best_rows, first_share, match_profiles, tasks_for
 from shortlist.operators.profile import profile_skills, profile_text
 from shortlist.operators.ranking import cosine_scores, score_bounds, tier_hits_at_k, tier_quality
 from shortlist.plans.rank import fetch_rows, rank_file, rank_frame, with_address
@@ -80,6 +80,28 @@ def test_matching_sends_rows_by_profile_and_not_by_task(spark):
     assert best_rows(rows, names, matrix, bounds, k, schema).count() < 64 * 20 * k / 3
 
 
+def test_matching_by_tiles_against_brute_force(spark):
+    """Postings in one partition are dealt out; copies, null ids and a vector that is no number take nothing from the others."""
+    draw = np.random.default_rng(5)
+    posts, people = draw.normal(size=(9000, 16)), draw.normal(size=(600, 16))
+    posts[1000:1400] = posts[3]
+    people[1] = 2 * posts[3]
+    posts[2000:2010] = people[0] * draw.uniform(1, 2, size=(10, 1))        # ties but for rounding
+    names = [None if i in (1100, 1200) else f"p{i}" for i in range(9000)]
+    p = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, posts, strict=True)] + [("nan", [float("nan")] * 16)],
+                              "id string, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(people)], "profile_id string, embedding array<double>")
+    assert tasks_for(p) == 9
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(people) @ unit(posts).T, 12)
+    place = np.array([n or "" for n in names])
+    want = {f"v{i}": [names[j] for j in np.lexsort((place, -scores[i]))[:4]] for i in range(600)}
+    got = {}
+    for r in match_profiles(p, q, 4).orderBy("profile_id", "rank").collect():
+        got.setdefault(r["profile_id"], []).append(r["id"])
+    assert got == want and any(None in x for x in want.values())
+
+
 def test_matching_refuses_vectors_of_other_lengths(spark):
     four = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (9, None)], "profile_id long, embedding array<double>")
     even = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0] * 6)], "id long, embedding array<double>").coalesce(1)
