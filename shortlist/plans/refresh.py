@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shortlist.operators.embed import Vectoriser, embed_incremental, stale_embeddings, with_vector_columns
 from shortlist.session import staged
 
-PARTS = 64      # choose as many as make a partition a few hundred megabytes
+PARTS = 64      # a refresh reads and writes whole partitions, so more parts make smaller refreshes
 
 
 def write_vector_table(df: DataFrame, path: str, key: str = "id", parts: int = PARTS) -> str:
-    """Postings with or without vectors as a new table, partitioned by the hash of their key; one file a partition."""
+    """Postings with or without vectors as a new table, partitioned by the hash of their key."""
     rows = with_vector_columns(df).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    rows.repartition(parts, "part").write.mode("errorifexists").partitionBy("part").parquet(path)
+    by_part(rows).write.mode("errorifexists").partitionBy("part").parquet(path)
     return path
 
 
+def by_part(rows: DataFrame) -> DataFrame:
+    """Rows brought together by partition: a small partition becomes one file, a large one is split over tasks of even size."""
+    return rows.hint("rebalance", "part")
+
+
 def outdated(table: DataFrame, model: str, force: bool = False) -> DataFrame:
     """Per partition the rows that need a vector; a row that this model has met without a text needs none."""
     met = F.col("embedding").isNull() & F.col("embedding_model").eqNullSafe(F.lit(model))
@@ -37,6 +42,6 @@ def refresh_vectors(spark: SparkSession, path: str, vectoriser: Vectoriser, text
         table = spark.read.parquet(path)
         rows = embed_incremental(table.filter(F.col("part").isin([r["part"] for r in due])), vectoriser, text, force)
         fresh = staged(rows.select(table.columns), "renewed")
-        (fresh.repartition(len(due), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (by_part(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("part").parquet(path))
     return report

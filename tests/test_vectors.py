@@ -262,3 +262,21 @@ def test_refresh_writes_only_outdated_partitions(spark, tmp_path):
     want = {r["id"]: r["embedding"] for r in ops.embed(rows, "t", new).collect()}
     assert {r["id"]: r["embedding"] for r in out.collect()} == want
     assert refresh_vectors(spark, path, new, "t").count() == 0 and refresh_vectors(spark, path, old, "t").count() == len(before)
+
+
+def test_large_partitions_of_a_vector_table_are_split_over_tasks(spark, tmp_path):
+    old, new, size = HashedWords(dims=8), HashedWords(dims=16), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(20_000).select("id", F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 512)).alias("t")).repartition(16)
+    path, before = str(tmp_path / "table"), spark.conf.get(size)
+    spark.conf.set(size, "100k")
+    try:
+        write_vector_table(ops.embed(rows, "t", old), path, parts=2)
+        files = [glob.glob(f"{path}/part={i}/*.parquet") for i in range(2)]
+        assert min(map(len, files)) > 2
+        assert sum(r["renewed"] for r in refresh_vectors(spark, path, new, "t").collect()) == 20_000
+    finally:
+        spark.conf.set(size, before)
+    again = [glob.glob(f"{path}/part={i}/*.parquet") for i in range(2)]
+    assert min(map(len, again)) > 2 and not set(sum(again, [])) & set(sum(files, []))
+    out = spark.read.parquet(path)
+    assert out.count() == out.select("id").distinct().count() == 20_000 and out.filter(F.col("embedding_model") != new.name).isEmpty()
