@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shortlist.session import staged
 
 GRAM = 3                # letters of a gram; most shorter words would take a second size
 MAX_NEEDLES = 200_000   # needles of one index: a few megabytes, below Spark's own limit for broadcasting
+PART_BYTES = 200_000    # bytes of text looked at together
 LONG_WORD = 64          # longer words are cut into grams by a pattern, in one pass
 
 
@@ -50,23 +54,75 @@ def occurrences(texts: DataFrame, text: str, needles: DataFrame, needle: str = "
                 max_needles: int = MAX_NEEDLES) -> DataFrame:
     """Rows of `texts` with the columns of each needle that occurs in their `text`, once per row and needle.
 
-    Every needle is filed under its rarest gram. A text looks its distinct grams up there and tests only the needles it
-    finds, so the cost of a text is its length and its hits. The index is written first; of its size Spark sends it to the
-    tasks by itself, and the texts do not move. More than max_needles needles take a pass each. Needles without a letter
-    besides blanks are tested on every text.
+    Every needle is filed under its rarest gram. A text looks the bytes of its grams up there and tests only the needles it
+    finds, so the cost of a text is its length and its hits. The index is written first and sent to the tasks; the texts do not
+    move. More than max_needles needles take a pass each. Needles without a letter besides blanks are tested on every text.
     """
     filed = staged(gram_index(needles, needle, size), "grams")
-    sizes = {r[0]: r[1] for r in filed.groupBy(F.char_length("gram")).count().collect()}     # at most size + 1 numbers
-    total = sum(sizes.values())
-    emitted = text_grams(F.col(text), sorted(set(sizes) - {0}) or [size])
-    if 0 in sizes:
-        emitted = F.array_append(emitted, F.lit(""))
+    total = filed.count()
     slices = -(-2 * total // max_needles) if total > max_needles else 1
     found = []
     for i in range(slices if total else 0):
         index = filed if slices == 1 else staged(filed.filter(F.pmod(F.xxhash64(needle), F.lit(slices)) == i), "grams")
-        found.append(texts.select("*", F.explode(emitted).alias("gram")).join(index, "gram")
-                     .filter(F.contains(F.col(text), F.col(needle))).drop("gram"))
+        hits = texts.withColumn("_hits", needles_in(index, needle)(F.col(text).cast("binary")))
+        hits = hits.select(*texts.columns, F.explode("_hits").alias("_hit")).select(*texts.columns, "_hit.gram", F.col("_hit.needle").alias(needle))
+        found.append(hits.join(index, ["gram", needle]).select(*texts.columns, *needles.columns))
     if not found:
         return texts.join(needles.limit(0), F.lit(False))
     return reduce(DataFrame.unionByName, found)
+
+
+def needles_in(index: DataFrame, needle: str) -> Callable[[Column], Column]:
+    """A function of a text's bytes: the needles of the index that occur there, each once, with their grams.
+
+    Texts are looked at in parts of about PART_BYTES. The first bytes of a needle's gram, three at most, tell where to test it.
+    """
+    entries = index.select("gram", needle).toArrow()        # size checked by the caller
+    grams_, needles_ = (entries.column(i).to_pylist() for i in range(2))
+    filed: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
+    for number, (gram, word) in enumerate(zip(grams_, needles_, strict=True)):
+        head = gram.encode()[:GRAM]
+        filed.setdefault(len(head), {}).setdefault(int.from_bytes(head, "big"), []).append((number, word.encode()))
+    shared, limit = index.sparkSession.sparkContext.broadcast((filed, grams_, needles_)), PART_BYTES
+
+    # everything the tasks call is local, so workers need not have this package installed
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("needle", T.StringType())])))
+    def occurring(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        filed, grams_, needles_ = shared.value
+        grams_, needles_ = pa.array(grams_, pa.string()), pa.array(needles_, pa.string())
+        always = filed.get(0, {}).get(0, [])
+        marks = {}      # by length of a head whether a needle may have it, at the last 16 bits of a mixed code
+        for n in filed.keys() - {0}:
+            codes = np.array(list(filed[n]), np.uint32)
+            marks[n] = np.zeros(1 << 16, bool)
+            marks[n][(codes * np.uint32(2654435761)) >> np.uint32(16)] = True
+        for batch in batches:
+            column = batch.cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+            texts, out = column.to_pylist(), [[] for _ in range(len(column))]
+            start = 0
+            while start < len(texts):
+                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+                data = np.frombuffer(b"".join(texts[start:end]), np.uint8).astype(np.uint32)
+                ends = offsets[start + 1:end + 1] - offsets[start]
+                for n, mark in marks.items():
+                    codes = data[:max(0, len(data) - n + 1)].copy()
+                    for i in range(1, n):
+                        codes = (codes << np.uint32(8)) | data[i:i + len(codes)]
+                    at = np.flatnonzero(mark[(codes * np.uint32(2654435761)) >> np.uint32(16)])
+                    row = np.searchsorted(ends, at, side="right")
+                    inside = at + n <= ends[row]
+                    for pair in np.unique((row[inside] << 24) | codes[at[inside]]).tolist():
+                        text = start + (pair >> 24)
+                        out[text] += [i for i, x in filed[n].get(pair & 0xFFFFFF, ()) if x in texts[text]]
+                start = end
+            if always:
+                given = batch.is_valid().to_pylist()
+                for text, known in enumerate(out):
+                    known += [i for i, x in always if given[text] and x in texts[text]]
+            ends = np.cumsum([0] + [len(x) for x in out], dtype=np.int32)
+            flat = pa.array([i for x in out for i in x], pa.int32())
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                [grams_.take(flat), needles_.take(flat)], names=["gram", "needle"]))
+
+    return occurring

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist.plans.collect import collect_postings, search_plan
+from shortlist.operators.needles import occurrences
 from shortlist.operators.search import (expand_countries, filter_sites, plan_sources, route_locations, search_grid,
                                         search_postings)
 
@@ -114,6 +115,23 @@ def test_a_hundred_thousand_keywords_cost_an_index_lookup(spark):
     assert sorted(r["id"] for r in hits.collect()) == want and want
 
 
+def test_needles_are_found_by_bytes_in_any_script(spark):
+    words = ["go", "r", "é", "añb", "日本", "日本語 x", "data eng", "a b", "\n", " ", "𝄞y", "zzzz"]
+    texts = ["go data engineer r", "日本語 xé", "日", "añbañb 𝄞y", "", None, "da", "ta eng", "line\nline", "zzz", "a b"] * 700
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    needles = spark.createDataFrame([(w,) for w in words], "needle string")
+    got = sorted((r["id"], r["needle"]) for r in occurrences(rows, "t", needles).collect())
+    assert got == sorted((i, w) for i, t in enumerate(texts) if t is not None for w in words if w in t)
+
+
+def test_a_posting_of_several_strategies_is_read_once(spark, landed):
+    two = strategies(spark, ["data"], ["Berlin"]).unionByName(strategies(spark, ["engineer"], ["Berlin"]).withColumn("strategy", F.lit("t")))
+    out = collect_postings(landed, two)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate explode(_searched") < text.index("AS _found")       # the rules are below the strategies
+    assert sorted((r["strategy"], r["id"]) for r in out.collect()) == [("s", 1), ("s", 4), ("t", 1), ("t", 4)]
+
+
 def test_sources_of_a_strategy(spark):
     both = strategies(spark, ["kw"], ["Berlin", "Tokyo"]).withColumn("sources", F.array(F.lit("LinkedIn"), F.lit("japan"))).unionByName(
         strategies(spark, ["other"], ["Berlin"]).withColumn("strategy", F.lit("t")).withColumn("sources", F.array(F.lit("builtin"))))
