@@ -14,6 +14,10 @@ from shortlist.llm.common import written
 
 #: Set elements of a block of members that are compared with each other.
 BLOCK_ELEMENTS = 150_000
+#: Up to so many pairs a member, sets are compared pair by pair.
+FEW_PAIRS = 4
+#: Up to so many members all intersections come from one product of a small matrix.
+MATRIX_MEMBERS = 32
 
 
 def open_groups(lists: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
@@ -58,18 +62,35 @@ def links_across(groups: DataFrame, texts: DataFrame, sets_of: Callable[[pa.Arra
     return written(dealt.join(texts, "node").groupBy("task", "x", "y").applyInPandas(run, "a long, b long"), "groups")
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the similarity; sizes too far apart are told without a look at the elements."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
 def joined(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between the components of some nodes, one for each time that two of these come together."""
     _, label, number = np.unique(component, return_inverse=True, return_counts=True)
     if len(number) < 2:
         return []
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, which = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(which))])
+    outside = label != number.argmax()
+    if len(sets) <= MATRIX_MEMBERS and percent > 0:
+        return joined_few(nodes, component, sets, sizes, outside, percent)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    flat, holders = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    which = np.empty(len(flat), np.int64)
+    which[order] = np.cumsum(first) - 1
+    starts = np.append(np.flatnonzero(first), len(flat))
     ends, links = np.concatenate([[0], np.cumsum(sizes)]), []
-    for i in np.flatnonzero(label != number.argmax()):
+    for i in np.flatnonzero(outside):
         own = which[ends[i]:ends[i + 1]]
         begin, count = starts[own], starts[own + 1] - starts[own]
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -80,3 +101,37 @@ def joined(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray], per
                 links.append((nodes[i], nodes[j]))
                 component[component == component[j]] = component[i]
     return links
+
+
+def joined_few(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, outside: np.ndarray,
+               percent: int) -> list[tuple[int, int]]:
+    """The links of `joined` for few members, which are compared only where their sizes allow a link."""
+    near = (component[:, None] != component) & outside[:, None] & (sizes > 0) & (
+        100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes))
+    near &= ~(np.tri(len(sets), k=-1, dtype=bool) & outside)   # a pair of members outside has been looked at by the first of them
+    pairs = np.argwhere(near)
+    known = len(pairs) > FEW_PAIRS * len(sets)
+    if known:
+        both = intersections(sets, sizes)
+        pairs = pairs[(100 * both >= percent * (sizes[:, None] + sizes - both))[near]]
+    links = []
+    for i, j in pairs.tolist():
+        if component[j] != component[i] and (known or reaches(sets[i], sets[j], percent)):
+            links.append((nodes[i], nodes[j]))
+            component[component == component[j]] = component[i]
+    return links
+
+
+def intersections(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by a product of the matrix of the elements that two sets or more hold."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    flat, holders = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[1:] != flat[:-1]
+    several = ~first
+    several[:-1] |= several[1:]
+    holders, first = holders[several], first[several]
+    held = np.zeros((np.count_nonzero(first), len(sets)), np.float32)
+    held[np.cumsum(first) - 1, holders] = 1
+    return (held.T @ held).astype(np.int64)

@@ -68,9 +68,12 @@ def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))        # an array of its own, changed in place from here
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -107,8 +110,10 @@ def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * powers(BASES[0], len(values))[:len(values)], out=sums[1:])
-        moved = (sums[size:] - sums[:n]) * powers(INVERSES[0], len(values))[:n]
-        return mix(moved + np.uint64(size * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        moved = sums[size:] - sums[:n]
+        moved *= powers(INVERSES[0], len(values))[:n]
+        moved += np.uint64(size * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
+        return mix(moved)
 
 
 def byte_values(lower: bool, seed: int = 0) -> np.ndarray:

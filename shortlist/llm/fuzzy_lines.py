@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.blocks import links_across, open_groups
+from shortlist.llm.blocks import links_across, open_groups, reaches
 from shortlist.llm.common import byte_chunks, mix, process_cache, range_hashes, unused, window_hashes, written
 from shortlist.llm.components import components
 
@@ -25,7 +25,7 @@ PART_BYTES = 100_000
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(code points, first, end, row, number in its row) of all lines that are not blank."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    heads = offsets if len(points) == len(data) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     feeds = np.flatnonzero(points == 10)
     first = np.sort(np.concatenate([heads[:-1], feeds + 1]))
     row = np.sort(np.concatenate([np.arange(len(heads) - 1), np.searchsorted(heads, feeds, side="right") - 1]))
@@ -33,8 +33,12 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     last = np.concatenate([row[1:] == row[:-1], [False]])
     end = end - last
     number = np.arange(len(first)) - np.searchsorted(row, row)
-    full = np.concatenate([[0], np.cumsum((points > 32) & (points != 133) & (points != 160))])
-    keep = full[end] > full[first]
+    keep = end > first
+    begins = points[first[keep]]
+    blank = (begins <= 32) | (begins == 133) | (begins == 160)
+    if blank.any():                                 # only lines that begin with a blank need a look at the rest
+        full = np.concatenate([[0], np.cumsum((points > 32) & (points != 133) & (points != 160))])
+        keep = full[end] > full[first]
     return points, first[keep], end[keep], row[keep], number[keep]
 
 
@@ -51,29 +55,36 @@ def point_values(points: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of every line, and the line of each; a shorter line is one shingle.
+    """Hashes of the shingles of every line, and where those of each begin; a shorter line is one shingle.
 
-    Lines are parts of `values` in any order. All places are hashed from neighbouring sums, then those of lines are taken.
+    Lines are parts of `values` in ascending order. All places are hashed from neighbouring sums, then those of lines are taken.
     """
     counts = np.maximum(end - first - SHINGLE + 1, 1)
-    at = np.cumsum(counts) - counts
-    line = np.repeat(np.arange(len(first)), counts)
-    begin = np.repeat(first - at, counts) + np.arange(len(line))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.zeros(len(values) + 1, np.int8)
+    edges[first] += 1
+    edges[first + counts] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
     places = window_hashes(values, SHINGLE)
-    out = places[np.minimum(begin, len(places) - 1)] if len(places) else np.empty(len(line), np.uint64)
+    out = np.zeros(bounds[-1], np.uint64)
+    found = places[inside[:len(places)]]            # behind the last place only short lines begin
+    out[:len(found)] = found
     short = np.flatnonzero(end - first < SHINGLE)
-    out[at[short]] = range_hashes(values, first[short], end[short])
-    return out, line
+    if len(short):
+        out[bounds[short]] = range_hashes(values, first[short], end[short])
+    return out, bounds
 
 
-def signatures(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The smallest hash of each bin; an empty bin takes that of another, the same one for every line with the same bins.
 
     Only the bins that bands use are filled.
     """
-    empty = ~np.uint64(0)
+    n, empty = len(bounds) - 1, ~np.uint64(0)
     sig = np.full(n * BINS, empty)
-    np.minimum.at(sig, line * BINS + (hashes >> np.uint64(59)).astype(np.int64), hashes)
+    cell = np.repeat(np.arange(n) * BINS, np.diff(bounds))
+    cell += (hashes >> np.uint64(59)).view(np.int64)
+    np.minimum.at(sig, cell, hashes)
     own = sig.reshape(n, BINS)
     sig = own[:, :BANDS * ROWS].copy()
     rows, bins = np.nonzero(sig == empty)
@@ -108,8 +119,9 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(nodes), bool) if not len(seen) else seen[np.minimum(place, len(seen) - 1)] != nodes
                 nodes, at = nodes[new], at[new]
                 seen = np.insert(seen, place[new], nodes)
-                hashes, line = shingle_hashes(values, first[at], end[at])
-                sig = signatures(hashes, line, len(nodes)).reshape(len(nodes), BANDS, ROWS)
+                order = np.argsort(at)
+                nodes, at = nodes[order], at[order]
+                sig = signatures(*shingle_hashes(values, first[at], end[at])).reshape(len(nodes), BANDS, ROWS)
                 with np.errstate(over="ignore"):
                     keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
                     for r in range(ROWS):
@@ -186,10 +198,15 @@ def line_sets(column: pa.Array) -> list[np.ndarray]:
     out = []
     for _, _, data, offsets in byte_chunks(column, PART_BYTES):
         points, first, end, row, _ = split_lines(data, offsets)
-        values, _ = line_nodes(points, first, end)
-        hashes, line = shingle_hashes(values, first, end)
-        bounds = np.searchsorted(row[line], np.arange(len(offsets)))
-        out += [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        hashes, bounds = shingle_hashes(point_values(points), first, end)
+        bounds = bounds[np.searchsorted(row, np.arange(len(offsets)))]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            hashes[a:b].sort()
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        new[bounds[:-1][np.diff(bounds) > 0]] = True
+        hashes, bounds = hashes[new], np.concatenate([[0], np.cumsum(new)])[bounds].tolist()
+        out += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return out
 
 
@@ -206,9 +223,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
                 nodes, place, back = np.unique(np.concatenate([part.column(0), part.column(1)]), return_index=True, return_inverse=True)
                 sets = line_sets(pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(place)))
                 for i in range(part.num_rows):
-                    x, y = sets[back[i]], sets[back[i + part.num_rows]]
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    good[lo + i] = 100 * both >= percent * (len(x) + len(y) - both)
+                    good[lo + i] = reaches(sets[back[i]], sets[back[i + part.num_rows]], percent)
             keep = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
