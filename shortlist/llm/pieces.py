@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from shortlist.llm.common import process_cache, texts_of
+from shortlist.llm.common import byte_chunks, process_cache, texts_of
 
 #: Different word forms whose paths a Python process remembers.
 CACHE_WORDS = 400_000
+#: Bytes of text whose parts are told apart together, and rows of a batch that is sent on.
+PART_BYTES, SEND_ROWS = 2_000_000, 256
+NO_LIMIT = 1 << 62
 ENCODED = "doc_id long, ids array<int>, n_ids int"
 SPACE = "▁"
 INFINITE = float("inf")
@@ -61,14 +64,14 @@ class PieceTransducer:
                 node = node.setdefault(c, {})
             node[None] = number
         # no piece holds a mark behind another character, so paths through the parts below never depend on each other
-        separate = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if separate else r"(?s).+")
+        self.separate = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.split: dict[int, tuple[int, int] | None] = {}
         self.finite: dict[int, dict[int, bool]] = {}
         self.arcs = 0
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.text = [p.piece for p in model.pieces]
+        self.spelled = pa.array(self.out, pa.large_binary())
 
     def halves(self, piece: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes this one: None for a character, (-1, -1) if merging never makes it."""
@@ -171,33 +174,71 @@ class PieceTransducer:
         ids.reverse()
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text. Paths of parts are kept in two generations, so frequent ones stay when memory is bounded."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
-        if self.arcs > 4 * CACHE_WORDS:
-            self.finite, self.arcs = {}, 0
-        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known, older, out = self.words, self.older, []
-        for p in self.parts.findall(text):
-            path = known.get(p)
+    def path(self, part: bytes) -> bytes:
+        """The ids of a part, from memory or from the machine. Two generations are kept, so frequent parts stay in bounded memory."""
+        path = self.words.get(part)
+        if path is None:
+            path = self.older.get(part)
             if path is None:
-                path = older.get(p)
-                if path is None:
-                    path = np.array(self.shortest_path(p), "<i4").tobytes()
-                known[p] = path
-            out.append(path)
-        return np.frombuffer(b"".join(out), "<i4")
+                path = np.array(self.shortest_path(part.decode().replace(" ", SPACE)), "<i4").tobytes()
+            if len(self.words) > CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            if self.arcs > 4 * CACHE_WORDS:
+                self.finite, self.arcs = {}, 0
+            self.words[part] = path
+        return path
+
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, given as bytes with blanks for space marks, and where those of each begin.
+
+        A part begins where a text does and with each run of blanks. Equal parts are looked up once.
+        """
+        begins = np.zeros(len(data) + 1, bool)
+        if self.separate:
+            blank = data == 32
+            begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[offsets] = True
+        begins[-1] = True
+        edges = np.flatnonzero(begins)
+        if len(edges) < 2:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        parts = pa.Array.from_buffers(
+            pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        paths = [self.path(p) for p in parts.dictionary.to_pylist()]
+        which = parts.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.array([len(p) // 4 for p in paths])[which])])
+        _, _, ids = pa.array(paths, pa.large_binary()).take(parts.indices).buffers()
+        return np.frombuffer(ids, "<i4", ends[-1]), ends[np.searchsorted(edges, offsets)]
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of one text."""
+        text = text.replace(SPACE, " ")
+        data = np.frombuffer((" " + text if self.prefix and text else text).encode(), np.uint8)
+        return self.encode_texts(data, np.array([0, len(data)]))[0]
+
+    def decode_texts(self, ids: pa.Array, offsets: np.ndarray) -> pa.Array:
+        """The inverse, for lists of ids between offsets: bytes of all pieces, without the mark that was put first; broken bytes become U+FFFD."""
+        if ids.null_count:
+            raise ValueError("an id is null")
+        spelled = self.spelled.take(ids)
+        _, ends, data = spelled.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[offsets]
+        data = np.frombuffer(data, np.uint8, ends[-1]) if ends[-1] else np.zeros(0, np.uint8)
+        if self.prefix:
+            full = ends[:-1][ends[1:] > ends[:-1]]
+            marks = full[data[full] == 32]
+            ends = ends - np.searchsorted(marks, ends)
+            data = np.delete(data, marks)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The inverse: bytes of all pieces, without the mark that was put first; broken bytes become U+FFFD."""
-        out = self.out
-        text = b"".join([out[i] for i in ids])
-        if self.prefix and text[:1] == b" ":
-            text = text[1:]
-        return text.decode("utf-8", "replace")
+        """The text of one list of ids."""
+        ids = pa.array(ids, pa.int32())
+        return self.decode_texts(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 def transducer(model_file: str) -> PieceTransducer:
@@ -217,15 +258,21 @@ def encode_pieces(docs: DataFrame, model_file: str, id_column: str = "doc_id", t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
+        blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for at in range(0, batch.num_rows, 256):
-                ids = [machine.encode(t) for t in texts.slice(at, 256).to_pylist()]
-                sizes = np.array([len(x) for x in ids], np.int32)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                     pa.array(sizes)], names=["doc_id", "ids", "n_ids"])
+            for start, end, _, _ in byte_chunks(batch.column(1), PART_BYTES):   # copies are made of so much only
+                part = batch.slice(start, end - start)
+                texts = pc.replace_substring(texts_of(part.column(1)), SPACE, " ")
+                if machine.prefix:
+                    texts = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(blank, texts, none))
+                (_, _, data, offsets), = byte_chunks(texts, NO_LIMIT)
+                ids, bounds = machine.encode_texts(data, offsets)
+                for at in range(0, len(texts), SEND_ROWS):
+                    own = bounds[at:at + SEND_ROWS + 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(at, SEND_ROWS),
+                         pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(ids[own[0]:own[-1]])),
+                         pa.array(np.diff(own).astype(np.int32))], names=["doc_id", "ids", "n_ids"])
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(run, ENCODED)
 
@@ -242,12 +289,11 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids_column: str = "ids",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SEND_ROWS):
+                part = batch.slice(at, SEND_ROWS)
                 lists = part.column(place)
-                flat = lists.flatten().to_pylist()
-                ends = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])])
-                texts = [machine.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_column])
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                texts = machine.decode_texts(lists.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts.cast(pa.string())], names=[*part.schema.names, out_column])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_column, StringType())]))

@@ -8,6 +8,7 @@ import pytest
 
 from shortlist.llm.blocks import FEW_PAIRS, MATRIX_MEMBERS, joined, reaches
 from shortlist.llm.fuzzy_lines import line_sets
+from shortlist.llm.pieces import PieceTransducer, decode_pieces, encode_pieces
 
 
 class Untouched:
@@ -66,3 +67,43 @@ def test_line_sets_of_lines_of_any_length():
     sets = line_sets(pa.array(lines))
     assert [len(s) for s in sets] == [len({t[i:i + 8] for i in range(max(1, len(t) - 7))}) for t in lines]
     assert all((s[1:] > s[:-1]).all() for s in sets) and sets[0].tolist() == sets[-1].tolist()
+
+
+TEXTS = ["", None, " ", "  a  b\n\tc\u3000\u4e2d\u6587 \U0001f600 \u2581x", "\u2581\u2581a \u2581 b\u2581", "the cat and the cat", "ends in a blank ", " the"]
+
+
+def piece_model():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_equal_parts_are_looked_up_once():
+    machine, asked = PieceTransducer(piece_model()), []
+    path = machine.path
+    machine.path = lambda part: asked.append(part) or path(part)
+    data = np.frombuffer(b" the cat the cat the cat", np.uint8)
+    ids, bounds = machine.encode_texts(np.concatenate([data, data]), np.array([0, len(data), len(data), 2 * len(data)]))
+    assert sorted(asked) == [b" cat", b" the"]
+    one = machine.encode("the cat the cat the cat").tolist()
+    assert ids.tolist() == one * 2 and bounds.tolist() == [0, len(one), len(one), 2 * len(one)]
+
+
+def test_pieces_of_whole_batches(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 40)], "doc_id long, text string")
+    rows = decode_pieces(encode_pieces(docs, piece_model()), piece_model()).collect()
+    assert len(rows) == len(docs.collect())
+    for r in rows:
+        ids = library.encode(TEXTS[r.doc_id % len(TEXTS)] or "")
+        assert r.ids == ids and r.n_ids == len(ids) and r.decoded == library.decode(ids)
+
+
+def test_broken_bytes_and_null_ids():
+    machine = PieceTransducer(piece_model())
+    broken = [machine.bytes[0xF0], machine.bytes[0x9F], *machine.encode("the")]
+    assert machine.decode(broken) == "\ufffd the" and machine.decode([]) == ""
+    with pytest.raises(ValueError):
+        machine.decode([None])
