@@ -93,23 +93,31 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+def running_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """The sums that the hashes of slices of `values` are taken from."""
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    with np.errstate(over="ignore"):
+        np.multiply(values, powers(BASES[which], len(values))[:len(values)], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+    return sums
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, sums: np.ndarray | None = None) -> np.ndarray:
     """A hash of values[start:end] for every pair, from one running sum; equal slices hash alike wherever they stand."""
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(BASES[which], len(values))[:len(values)], out=sums[1:])
+        sums = running_sums(values, which) if sums is None else sums
         moved = (sums[ends] - sums[starts]) * powers(INVERSES[which], len(values))[starts]
         return mix(moved + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(values: np.ndarray, size: int, sums: np.ndarray | None = None) -> np.ndarray:
     """range_hashes of all runs of `size` values, by their first places; neighbouring sums need no look-ups."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(BASES[0], len(values))[:len(values)], out=sums[1:])
+        sums = running_sums(values) if sums is None else sums
         moved = sums[size:] - sums[:n]
         moved *= powers(INVERSES[0], len(values))[:n]
         moved += np.uint64(size * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)

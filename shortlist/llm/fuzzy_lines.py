@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.llm.blocks import links_across, open_groups, reaches
-from shortlist.llm.common import byte_chunks, mix, process_cache, range_hashes, unused, window_hashes, written
+from shortlist.llm.common import byte_chunks, mix, process_cache, range_hashes, running_sums, unused, window_hashes, written
 from shortlist.llm.components import components
 
 #: Characters of a shingle, bins of a signature, and bands of three bins: a pair of similarity 0.8 is missed once in 1,300.
@@ -20,6 +20,8 @@ TABLE_WORDS = 1 << 19
 NO_ID = (1 << 63) - 1
 #: Bytes of text looked at together; the arrays of a part then stay in a core's own cache.
 PART_BYTES = 100_000
+#: Keys travel in blocks by their highest bits. A task collects so many of them at a time, and a row has so many at most.
+BLOCK_BITS, HELD_KEYS, ROW_KEYS = 11, 1 << 18, 256
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -48,13 +50,15 @@ def point_values(points: np.ndarray) -> np.ndarray:
     cache = process_cache("point_values")
     if "plane" not in cache:
         cache["plane"] = mix(np.arange(1 << 16, dtype=np.uint64) + seed)
+    if not len(points) or points.max() <= 0xFFFF:
+        return cache["plane"][points]
     out = cache["plane"][np.minimum(points, 0xFFFF)]
     high = np.flatnonzero(points > 0xFFFF)
     out[high] = mix(points[high].astype(np.uint64) + seed)
     return out
 
 
-def shingle_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of every line, and where those of each begin; a shorter line is one shingle.
 
     Lines are parts of `values` in ascending order. All places are hashed from neighbouring sums, then those of lines are taken.
@@ -65,13 +69,14 @@ def shingle_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tu
     edges[first] += 1
     edges[first + counts] -= 1
     inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
-    places = window_hashes(values, SHINGLE)
+    sums = running_sums(values) if sums is None else sums
+    places = window_hashes(values, SHINGLE, sums)
     out = np.zeros(bounds[-1], np.uint64)
     found = places[inside[:len(places)]]            # behind the last place only short lines begin
     out[:len(found)] = found
     short = np.flatnonzero(end - first < SHINGLE)
     if len(short):
-        out[bounds[short]] = range_hashes(values, first[short], end[short])
+        out[bounds[short]] = range_hashes(values, first[short], end[short], sums=sums)
     return out, bounds
 
 
@@ -100,20 +105,41 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sig
 
 
-def line_nodes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_nodes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = point_values(points)
-    return values, range_hashes(values, first, end).view(np.int64)
+    sums = running_sums(values)
+    return values, sums, range_hashes(values, first, end, sums=sums).view(np.int64)
+
+
+def key_blocks(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """block, keys, nodes: keys with equal highest bits, at most ROW_KEYS a row, and their nodes, as bytes."""
+    keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+    for lo in range(0, len(keys), HELD_KEYS):
+        yield key_rows(keys[lo:lo + HELD_KEYS], nodes[lo:lo + HELD_KEYS])
+
+
+def key_rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    block = (keys >> np.uint64(64 - BLOCK_BITS)).astype(np.uint16)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    place = np.arange(len(block)) - np.repeat(starts, np.diff(np.append(starts, len(block))))
+    rows = np.flatnonzero(place % ROW_KEYS == 0)
+    offsets = pa.py_buffer((np.append(rows, len(block)) * 8).astype(np.int32))
+    packed = [pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(x[order])]) for x in (keys, nodes)]
+    return pa.RecordBatch.from_arrays([pa.array(block[rows].astype(np.int32)), *packed], names=["block", "keys", "nodes"])
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """v, node: BANDS keys of every different line of a batch."""
+    """block, keys, nodes: BANDS keys of every different line of a batch, many to a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             seen = np.zeros(0, np.int64)               # nodes of the batch so far, sorted
             for _, _, data, offsets in byte_chunks(batch.column(0), PART_BYTES):
                 points, first, end, _, _ = split_lines(data, offsets)
-                values, nodes = line_nodes(points, first, end)
+                values, sums, nodes = line_nodes(points, first, end)
                 nodes, at = np.unique(nodes, return_index=True)
                 place = np.searchsorted(seen, nodes)
                 new = np.ones(len(nodes), bool) if not len(seen) else seen[np.minimum(place, len(seen) - 1)] != nodes
@@ -121,44 +147,68 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 seen = np.insert(seen, place[new], nodes)
                 order = np.argsort(at)
                 nodes, at = nodes[order], at[order]
-                sig = signatures(*shingle_hashes(values, first[at], end[at])).reshape(len(nodes), BANDS, ROWS)
+                sig = signatures(*shingle_hashes(values, first[at], end[at], sums)).reshape(len(nodes), BANDS, ROWS)
                 with np.errstate(over="ignore"):
                     keys = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :]
                     for r in range(ROWS):
                         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(nodes, BANDS))], names=["v", "node"])
+                held.append((keys.ravel(), np.repeat(nodes, BANDS)))
+                if sum(len(k) for k, _ in held) >= HELD_KEYS:
+                    yield from key_blocks(held)
+                    held = []
+        if held:
+            yield from key_blocks(held)
+
+    return docs.select("text").mapInArrow(run, "block int, keys binary, nodes binary")
+
 
-    return docs.select("text").mapInArrow(run, "v long, node long")
+def packed_values(column: pa.Array) -> np.ndarray:
+    """The 64-bit numbers of all rows of a binary column, one after the other."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(data, np.int64, (offsets[-1] - offsets[0]) // 8, offsets[0])
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows whose key has two nodes or more. Rows sorted by key are streamed; a key of any size needs no memory.
+    """v, node: the keys that have two nodes or more, and these. Rows sorted by block are streamed; of the last block,
+    which may go on in the next batch, each key stays with one node, so a key of any size needs no memory.
 
     A row comes once from each batch that has it.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_node, open_shared = None, None, False   # of the last key, which may go on in the next batch
+        # of the open block: its keys, a node of each, and whether that node has been given
+        block, v0, node0, given0 = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         for batch in batches:
-            v, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(v):
+            if not batch.num_rows:
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            low, high = np.minimum.reduceat(node, starts), np.maximum.reduceat(node, starts)
-            shared, waiting = low != high, None
-            if v[0] == open_key:
-                shared[0] |= open_shared or low[0] != open_node
-                waiting = open_node if shared[0] and not open_shared else None
-            rows = np.repeat(shared, np.diff(np.append(starts, len(v))))
-            found = np.stack([v[rows], node[rows]])
-            if waiting is not None:
-                found = np.concatenate([found, [[open_key], [waiting]]], axis=1)
-            found = np.unique(found, axis=1) if found.size else found
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["v", "node"])
-            open_key, open_node, open_shared = v[-1], low[-1], bool(shared[-1])
-
-    return keys.repartition("v").sortWithinPartitions("v").mapInArrow(run, "v long, node long")
+            blocks = batch.column(0).to_numpy()
+            if blocks[0] != block:
+                v0, node0, given0 = v0[:0], node0[:0], given0[:0]
+            block = blocks[-1]
+            v, node = np.concatenate([v0, packed_values(batch.column(1))]), np.concatenate([node0, packed_values(batch.column(2))])
+            old = len(v0)
+            order = np.argsort(v)
+            sorted_v, sorted_node = v[order], node[order]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_v[1:] != sorted_v[:-1]]))
+            counts = np.diff(np.append(starts, len(v)))
+            low, high = np.minimum.reduceat(sorted_node, starts), np.maximum.reduceat(sorted_node, starts)
+            known = np.zeros(len(v), bool)
+            known[:old] = given0
+            shared = (low != high) | np.logical_or.reduceat(known[order], starts)
+            rows = np.repeat(shared, counts) & ~known[order]
+            found_v, found_node = sorted_v[rows], sorted_node[rows]
+            order = np.lexsort((found_node, found_v))
+            found_v, found_node = found_v[order], found_node[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (found_v[1:] != found_v[:-1]) | (found_node[1:] != found_node[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(found_v[new]), pa.array(found_node[new])], names=["v", "node"])
+            # keys of the last block: all with its highest bits
+            kept = (sorted_v[starts].view(np.uint64) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64) == block
+            v0, node0, given0 = sorted_v[starts][kept], low[kept], shared[kept]
+
+    return keys.repartition("block").sortWithinPartitions("block").mapInArrow(run, "v long, node long")
 
 
 def line_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -179,7 +229,7 @@ def line_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for start, _, data, offsets in byte_chunks(batch.column(2), PART_BYTES):
                 points, first, end, row, number = split_lines(data, offsets)
-                _, nodes = line_nodes(points, first, end)
+                _, _, nodes = line_nodes(points, first, end)
                 own, at = np.unique(nodes, return_index=True)
                 hit = at[(bits[own % TABLE_WORDS] >> ((own >> 20) % 64).astype(np.uint64)) & np.uint64(1) == 1]
                 texts = np.full(len(nodes), None, object)

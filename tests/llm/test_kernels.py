@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from shortlist.llm.blocks import FEW_PAIRS, MATRIX_MEMBERS, joined, reaches
-from shortlist.llm.fuzzy_lines import line_sets
+from shortlist.llm.fuzzy_lines import BANDS, BLOCK_BITS, ROW_KEYS, band_keys, line_sets, shared_keys
 from shortlist.llm.pieces import PieceTransducer, decode_pieces, encode_pieces
 
 
@@ -69,6 +69,50 @@ def test_line_sets_of_lines_of_any_length():
     assert all((s[1:] > s[:-1]).all() for s in sets) and sets[0].tolist() == sets[-1].tolist()
 
 
+def key_pairs(rows):
+    return [p for r in rows for p in zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["nodes"], np.int64).tolist(), strict=True)]
+
+
+def with_several_nodes(pairs):
+    nodes = {}
+    for v, node in pairs:
+        nodes.setdefault(v, set()).add(node)
+    return {(v, node) for v, several in nodes.items() if len(several) > 1 for node in several}
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_travel_many_to_a_row(spark):
+    texts = ["\n".join(f"line {i * j} of {i} documents, {'x' * (j % 9)}" for j in range(60)) for i in range(1, 40)] + [None, "", " \n"]
+    lines = {x for t in texts if t for x in t.split("\n") if x.strip()}
+    keys = band_keys(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    rows = keys.collect()
+    pairs = key_pairs(rows)
+    assert len(pairs) == BANDS * len(lines) and len({node for _, node in pairs}) == len(lines)
+    assert len(rows) <= (1 << BLOCK_BITS) + len(pairs) // ROW_KEYS < len(pairs) / 5
+    assert all((np.frombuffer(r["keys"], np.uint64) >> np.uint64(64 - BLOCK_BITS) == r["block"]).all() and len(r["keys"]) <= 8 * ROW_KEYS for r in rows)
+    found = [tuple(r) for r in shared_keys(keys).collect()]
+    assert set(found) == with_several_nodes(pairs) and len(found) == len(set(found)) > 0
+
+
+def test_shared_keys_over_many_batches(spark, small_batches):
+    rng, rows = np.random.default_rng(3), []
+    for block in (0, 1, 1, (1 << BLOCK_BITS) - 1) * 12:
+        low = rng.integers(0, 40, rng.integers(1, 9)).astype(np.uint64)
+        keys = (np.uint64(block) << np.uint64(64 - BLOCK_BITS)) + low
+        rows.append((block, keys.tobytes(), rng.integers(-6, 6, len(low)).tobytes()))
+    hot = np.full(4, 7, np.uint64).tobytes()        # one key of block 0 in every batch
+    rows += [(0, hot, np.arange(4 * i, 4 * i + 4).tobytes()) for i in range(40)] + [(2, hot[:8], np.arange(1).tobytes())]
+    found = {tuple(r) for r in shared_keys(spark.createDataFrame(rows, "block int, keys binary, nodes binary")).collect()}
+    expected = with_several_nodes(key_pairs([{"keys": k, "nodes": n} for b, k, n in rows if b != 2]))
+    assert found == expected and sum(v == 7 for v, _ in found) >= 160
+
+
 TEXTS = ["", None, " ", "  a  b\n\tc\u3000\u4e2d\u6587 \U0001f600 \u2581x", "\u2581\u2581a \u2581 b\u2581", "the cat and the cat", "ends in a blank ", " the"]
 
 
