@@ -8,13 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shortlist.llm.common import byte_chunks, process_cache
 from shortlist.llm.counts import COUNTS, TaskCounts, count_matrix
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
+#: Bytes of text whose n-grams are in memory at a time: about 140 bytes for each. Longer texts come in parts.
+PART_BYTES = 100_000
 PREDICTED = "doc_id long, lang_pred string, score double"
+NOTHING = np.zeros(0, np.uint32)
 
 
 def letters_table() -> np.ndarray:
@@ -31,15 +35,20 @@ def letters_table() -> np.ndarray:
     return cache["table"]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram of 1 to 3 letters and blanks, bounds by row); no n-gram crosses rows or is all blank."""
+def grams(data: np.ndarray, offsets: np.ndarray, buckets: int, before: np.ndarray = NOTHING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of every n-gram of 1 to 3 letters and blanks, bounds by row, last letters); no n-gram crosses rows or is all blank.
+
+    before: the last letters of the part that the only row of `data` goes on from; n-grams that end there are left out.
+    """
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    heads[1:] += len(before)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(heads))
-    low = letters_table()[points]
+    low = np.concatenate([before, letters_table()[points]])
     blank = low == 32
     stays = np.ones(len(low), bool)
     stays[1:] = ~(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
+    last = low[stays][-2:]
     low, row, blank = low[stays].astype(np.uint64), row[stays], blank[stays]
     codes, rows = [], []
     value = np.zeros(len(low), np.uint64)
@@ -52,13 +61,32 @@ def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarr
             whole = row[:m] == row[n - 1:]
             if n == 1:
                 whole &= ~blank
+            whole[:max(len(before) - n + 1, 0)] = False
             codes.append(((value[whole] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets)
             rows.append(row[:m][whole])
     if not codes:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), last
     codes, rows = np.concatenate(codes), np.concatenate(rows)
     order = np.argsort(rows, kind="stable")
-    return codes[order], np.searchsorted(rows[order], np.arange(len(offsets)))
+    return codes[order], np.searchsorted(rows[order], np.arange(len(offsets))), last
+
+
+def gram_parts(column: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, buckets of n-grams, bounds by row) of consecutive rows; a long text comes in several parts of its row."""
+    for first, _, data, offsets in byte_chunks(column, PART_BYTES):
+        if len(data) <= PART_BYTES:
+            codes, bounds, _ = grams(data, offsets, buckets)
+            yield first, codes, bounds
+            continue
+        at, last = 0, NOTHING
+        while at < len(data):
+            end = at + PART_BYTES
+            while end < len(data) and data[end] & 0xC0 == 0x80:     # characters stay whole
+                end += 1
+            part = data[at:end]
+            codes, bounds, last = grams(part, np.array([0, len(part)]), buckets, last)
+            yield first, codes, bounds
+            at = end
 
 
 def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -68,10 +96,9 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         counts = TaskCounts(buckets)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, end, data, offsets in byte_chunks(batch.column(1)):
-                codes, bounds = grams(data, offsets, buckets)
-                for i in range(first, end):
-                    counts.add(names[i], codes[bounds[i - first]:bounds[i - first + 1]])
+            for first, codes, bounds in gram_parts(batch.column(1), buckets):
+                for i in range(len(bounds) - 1):
+                    counts.add(names[first + i], codes[bounds[i]:bounds[i + 1]])
                 yield from counts.rows(False)
         yield from counts.rows(True)
 
@@ -106,27 +133,29 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            known = np.array(batch.column(2).to_pylist(), bool)
-            labels, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for first, end, data, offsets in byte_chunks(batch.column(1)) if names else ():
-                codes, bounds = grams(data, offsets, buckets)
+            sums, told = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, bool)
+            for first, codes, bounds in gram_parts(batch.column(1), buckets) if names else ():
                 full = np.flatnonzero(np.diff(bounds))
-                if not len(full):
-                    continue
-                sums = np.empty((len(full), len(names)))
-                for j in range(len(names)):
-                    sums[:, j] = np.add.reduceat(weights[:, j][codes], bounds[full], dtype=np.float64)
-                sums += priors
+                told[first + full] = True
+                for j in range(len(names) if len(full) else 0):
+                    sums[first + full, j] += np.add.reduceat(weights[:, j][codes], bounds[full], dtype=np.float64)
+            told &= np.array(batch.column(2).to_pylist(), bool)
+            labels, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            rows = np.flatnonzero(told)
+            if len(rows):
+                sums = sums[rows] + priors
                 top = sums.argmax(axis=1)
-                post = 1 / np.exp(np.minimum(sums - sums.max(axis=1, keepdims=True), 0)).sum(axis=1)
-                for i, k, p in zip(full + first, top, post, strict=True):
-                    if known[i]:
-                        labels[i], scores[i] = names[k], p
+                scores[rows] = 1 / np.exp(np.minimum(sums - sums.max(axis=1, keepdims=True), 0)).sum(axis=1)
+                for i, k in zip(rows, top, strict=True):
+                    labels[i] = names[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *batch.columns[3:]], names=["doc_id", "lang_pred", "score", *keep])
+                [batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *[batch.column(places.get(c, 1)) for c in keep]],
+                names=["doc_id", "lang_pred", "score", *keep])
 
     text = docs[text_column].cast("string")
-    kept = [docs[c].alias(f"kept{i}") for i, c in enumerate(keep)]
+    others = [c for c in keep if c != text_column or docs.schema[c].dataType != StringType()]    # a kept text travels once
+    places = {c: 3 + i for i, c in enumerate(others)}
+    kept = [docs[c].alias(f"kept{i}") for i, c in enumerate(others)]
     schema = ", ".join([PREDICTED, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
     return docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"),
                        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("known"), *kept).mapInArrow(run, schema)
