@@ -17,6 +17,8 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 #: Bytes of text whose n-grams are in memory at a time: about 140 bytes for each. Longer texts come in parts.
 PART_BYTES = 100_000
+#: Rows that go back to Spark in one batch.
+RETURNED = 1000
 PREDICTED = "doc_id long, lang_pred string, score double"
 NOTHING = np.zeros(0, np.uint32)
 
@@ -148,9 +150,11 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
                 scores[rows] = 1 / np.exp(np.minimum(sums - sums.max(axis=1, keepdims=True), 0)).sum(axis=1)
                 for i, k in zip(rows, top, strict=True):
                     labels[i] = names[k]
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(labels, pa.string()), pa.array(scores), *[batch.column(places.get(c, 1)) for c in keep]],
                 names=["doc_id", "lang_pred", "score", *keep])
+            for at in range(0, out.num_rows, RETURNED):     # texts go back to Spark some at a time
+                yield out.slice(at, RETURNED)
 
     text = docs[text_column].cast("string")
     others = [c for c in keep if c != text_column or docs.schema[c].dataType != StringType()]    # a kept text travels once

@@ -18,6 +18,8 @@ from shortlist.llm.components import components
 RETAINED = 48
 #: Chance that a link at the threshold is missed by its sketches, at most: half by the lists, half by the estimate.
 MISSED = 1e-6
+#: Bytes of text whose words and shingles are in memory at a time.
+PART_BYTES = 100_000
 SKETCH = "doc_id long, n_shingles long, hi long, lo long, sketch array<long>"
 
 
@@ -35,7 +37,7 @@ def least_shared(percent: int, k: int) -> float:
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row) by chunk; A-Z count as a-z; short texts are one shingle."""
     values = byte_values(True)
-    for first, _, data, offsets in byte_chunks(column):
+    for first, _, data, offsets in byte_chunks(column, PART_BYTES):
         starts, ends, bounds = word_spans(data, offsets)
         words = range_hashes(values[data], starts, ends)
         runs, at = windows_of(bounds, size)

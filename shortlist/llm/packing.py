@@ -30,10 +30,11 @@ def byte_bpe(tokenizer_file: str, ranks_file: str | None, pattern: str | None) -
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    loaded = [Tokenizer.from_file(tokenizer_file)]
+    special = [t.content for t in loaded[0].get_added_tokens_decoder().values()]
     plain = None
     if ranks_file:
+        loaded.clear()      # about 30 MB, seldom needed beside the ranks
         import base64
 
         import tiktoken
@@ -45,7 +46,9 @@ def byte_bpe(tokenizer_file: str, ranks_file: str | None, pattern: str | None) -
     cut = re.compile(r"(?<=\S) (?=\S)")
 
     def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not loaded:
+            loaded.append(Tokenizer.from_file(tokenizer_file))
+        return np.array(loaded[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE_WORDS:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shortlist.llm import language
+from shortlist.llm import language, near_copies
 from shortlist.llm.blocks import FEW_PAIRS, MATRIX_MEMBERS, joined, reaches
 from shortlist.llm.fuzzy_lines import BANDS, BLOCK_BITS, ROW_KEYS, band_keys, line_sets, shared_keys
 from shortlist.llm.pieces import PieceTransducer, decode_pieces, encode_pieces
@@ -184,3 +184,14 @@ def test_grams_take_little_memory(texts):
         assert tracemalloc.get_traced_memory()[1] < 20_000_000
     finally:
         tracemalloc.stop()
+
+
+def test_shingles_take_little_memory():
+    texts = [f"some words of text {i} and more of them again" for i in range(40_000)]
+    column = pa.array(texts)
+    tracemalloc.start()
+    try:
+        assert sum(len(sets) for _, sets in near_copies.shingle_sets(column, 3)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
